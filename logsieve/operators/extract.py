@@ -380,8 +380,8 @@ def python_tracebacks(text: Column, root: Column) -> Column:
     return F.filter(found, lambda b: b["error"].isNotNull() | (F.size(b["frames"]) > 0))
 
 
-def python_failures(text: Column, lines: Column, root: Column) -> Column:
-    def traced(kept: Column, tests: Column) -> Column:
+def python_traced(text: Column, lines: Column, root: Column) -> Column:
+    def pair(kept: Column, tests: Column) -> Column:
         # The k-th kept traceback belongs to the k-th FAILED line.
         return F.transform(
             kept,
@@ -395,44 +395,50 @@ def python_failures(text: Column, lines: Column, root: Column) -> Column:
             ),
         )
 
-    def standalone(tests: Column) -> Column:
-        pip = F.array(failure(F.regexp_extract(text, PY_PIP, 1), F.lit("PipError"), no_frames()))
-        first = F.slice(positions(lines, lambda l: trimmed(l).rlike(PY_ERROR)), 1, 1)
-        alone = F.transform(
-            first,
-            lambda at: failure(
-                F.regexp_extract(trimmed(F.get(lines, at)), PY_ERROR, 2),
-                F.regexp_extract(trimmed(F.get(lines, at)), PY_ERROR, 1),
-                _python_frames(
-                    F.slice(
-                        lines, F.greatest(at - 3, F.lit(0)) + 1, F.least(at, F.lit(3))
-                    ),
-                    root,
-                ),
-            ),
-        )
-        failed = F.transform(
-            tests,
-            lambda m: failure(
-                F.concat(F.lit("Test failed: "), F.regexp_extract(m, PY_TEST, 3)),
-                F.regexp_extract(m, PY_TEST, 3),
-                no_frames(),
-                None,
-                F.regexp_extract(m, PY_TEST, 2),
-                F.regexp_extract(m, PY_TEST, 1),
-            ),
-        )
-        return F.when(gated(text, "ERROR:", PY_PIP), pip).otherwise(F.concat(alone, failed))
-
     return let(
-        pytest_lines(text),
-        lambda tests: let(
-            python_tracebacks(text, root),
-            lambda kept: F.when(F.size(kept) > 0, traced(kept, tests)).otherwise(
-                standalone(tests)
+        pytest_lines(text), lambda tests: pair(python_tracebacks(text, root), tests)
+    )
+
+
+def _python_alone(text: Column, lines: Column, root: Column) -> Column:
+    pip = F.array(failure(F.regexp_extract(text, PY_PIP, 1), F.lit("PipError"), no_frames()))
+    first = F.slice(positions(lines, lambda l: trimmed(l).rlike(PY_ERROR)), 1, 1)
+    alone = F.transform(
+        first,
+        lambda at: failure(
+            F.regexp_extract(trimmed(F.get(lines, at)), PY_ERROR, 2),
+            F.regexp_extract(trimmed(F.get(lines, at)), PY_ERROR, 1),
+            _python_frames(
+                F.slice(lines, F.greatest(at - 3, F.lit(0)) + 1, F.least(at, F.lit(3))), root
             ),
         ),
     )
+    failed = F.transform(
+        pytest_lines(text),
+        lambda m: failure(
+            F.concat(F.lit("Test failed: "), F.regexp_extract(m, PY_TEST, 3)),
+            F.regexp_extract(m, PY_TEST, 3),
+            no_frames(),
+            None,
+            F.regexp_extract(m, PY_TEST, 2),
+            F.regexp_extract(m, PY_TEST, 1),
+        ),
+    )
+    return F.when(gated(text, "ERROR:", PY_PIP), pip).otherwise(F.concat(alone, failed))
+
+
+def python_standalone(text: Column, lines: Column, root: Column) -> Column:
+    """Installer errors, single error lines and FAILED lines of runs without a traceback."""
+    return F.when(F.size(python_tracebacks(text, root)) > 0, no_failures()).otherwise(
+        _python_alone(text, lines, root)
+    )
+
+
+def python_failures(text: Column, lines: Column, root: Column) -> Column:
+    return let(
+        python_traced(text, lines, root),
+        lambda t: F.when(F.size(t) > 0, t).otherwise(_python_alone(text, lines, root)),
+    )
 
 
 # ── java ─────────────────────────────────────────────────────────────────────────────────

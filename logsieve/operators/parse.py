@@ -8,14 +8,11 @@ from pyspark.sql import functions as F
 from logsieve.functions.text import (
     captured,
     captured_int,
-    detect_library,
-    detect_test_word,
     each,
     language_from_ext,
     let,
     lines_of,
     resolve_path,
-    trimmed,
 )
 from logsieve.functions.text import is_project_file as owned_by
 from logsieve.operators import extract as X
@@ -71,6 +68,26 @@ def parse_texts(texts: DataFrame, dispatch: bool = True) -> DataFrame:
     return prepared.withColumn("failures", found).drop("lines")
 
 
+def parse_with(texts: DataFrame, fmt: str, extractor) -> DataFrame:
+    """Parse the texts of one format with one given extractor.
+
+    Other texts get an empty list instead of being filtered out: a filter on the computed
+    format would be pushed below the text and repeat its expression per pattern.
+    """
+    prepared = texts.select(
+        "*", lines_of(F.col("text")).alias("lines"), *text_hints(F.col("text"))
+    )
+    found = extractor(F.col("text"), F.col("lines"), F.col("project_root"))
+    mine = F.when(F.col("format") == fmt, found).otherwise(X.no_failures())
+    return prepared.withColumn("failures", mine).drop("lines")
+
+
+def texts_of_format(texts: DataFrame, fmt: str) -> DataFrame:
+    """texts with the text of other formats set to null."""
+    marked = texts.withColumn("format", format_of(F.col("text")))
+    return marked.withColumn("text", F.when(F.col("format") == fmt, F.col("text")))
+
+
 def failures_of(parsed: DataFrame, keep_raw: bool = True) -> DataFrame:
     """parsed runs -> failures(run_id, failure_idx, test_name, …, raw_output) plus hint columns.
 
@@ -113,12 +130,6 @@ def parse_errors(runs: DataFrame, dispatch: bool = True) -> tuple[DataFrame, Dat
     return failures_of(parsed).drop("frames"), frames_of(parsed)
 
 
-def extract(runs: DataFrame, fmt: str) -> DataFrame:
-    """Failures of the runs of one format, through that format's extractor."""
-    texts = run_texts(runs, strip=False).withColumn("format", format_of(F.col("text")))
-    return parse_texts(texts.filter(F.col("format") == fmt))
-
-
 def normalise_frames(frames: DataFrame) -> DataFrame:
     """frames -> frames + resolved_file, is_project_file, language."""
     file, root = F.col("file"), F.col("project_root")
@@ -258,12 +269,12 @@ def java_exception_chain(texts: DataFrame, root_only: bool = False) -> DataFrame
     )
 
 
-def split_failure_blocks(texts: DataFrame) -> DataFrame:
+def split_failure_blocks(texts: DataFrame, *keep: str) -> DataFrame:
     """(run_id, text) -> (run_id, failure_idx, strategy, block)."""
     text = F.col("text")
-    cut = texts.select("run_id", "text", X.split_strategy(text).alias("strategy"))
+    cut = texts.select("run_id", "text", X.split_strategy(text).alias("strategy"), *keep)
     blocks = X.failure_blocks(text)
-    return each(cut, blocks, "failure_idx", "block", "run_id", "strategy")
+    return each(cut, blocks, "failure_idx", "block", "run_id", "strategy", *keep)
 
 
 def extract_error_info(blocks: DataFrame) -> DataFrame:
@@ -307,11 +318,3 @@ def pair_pytest(texts: DataFrame) -> DataFrame:
             captured(F.col("mark"), X.PY_TEST, 2).alias("test_name"),
         )
     )
-
-
-def raw_words(raw: Column) -> tuple[Column, Column]:
-    return detect_library(raw), detect_test_word(raw)
-
-
-def not_blank(text: Column) -> Column:
-    return trimmed(text) != ""
