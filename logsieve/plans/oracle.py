@@ -672,3 +672,321 @@ def _declare_rule_part() -> None:
 
 _declare_text_part()
 _declare_rule_part()
+
+
+# ── other derived inputs ─────────────────────────────────────────────────────────────────
+
+SOURCE_LINES = """source_lines AS (SELECT '/repo/p' || (doc_id % 12) AS project_root, '/repo/p' || (doc_id % 12) || '/src/f' || doc_id || '.ts' AS file,
+  unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1)::INTEGER AS line_no FROM documents)"""
+
+FILE_CHANGES = """file_changes AS (SELECT '/repo/p' || (o_custkey % 12) AS project_root, md5(o_orderkey::VARCHAR) AS commit_hash, o_orderdate AS commit_ts,
+  o_orderpriority AS subject, 'src/f' || l_partkey || '.ts' AS path, l_linenumber AS change_no,
+  'diff --git src/f' || l_partkey || '.ts' || chr(10) || '@@ -1,' || l_linenumber || ' +1 @@' || chr(10) || '-old ' || l_partkey || chr(10) || '+new' || chr(10)
+    || repeat('c' || chr(10), (l_quantity * 4)::INTEGER) || '+end' AS diff FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+SEARCH_RESULTS = """search_results AS (SELECT event_id AS run_id, j // 3 AS query_idx, 'query ' || (j // 3) AS query, j % 3 AS result_idx,
+  regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+  CASE page_id % 7 WHEN 1 THEN upper(url) WHEN 2 THEN regexp_replace(url, '(://[^/]+)', '\\1:8080') WHEN 3 THEN 'not a url ' || (page_id % 5) ELSE url END AS url,
+  html AS content, (page_id * 37 % 100) / 100.0::DOUBLE AS score
+  FROM events CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4, 5])::INTEGER AS j) JOIN pages ON page_id = user_id + j * 8)"""
+
+RUN_STEPS = values("steps", "step_idx, step", list(enumerate(B.STEPS))) + """, run_steps AS (SELECT event_id AS run_id, step_idx, step,
+  CASE WHEN (event_id + step_idx) % 7 < 4 THEN 'success' WHEN (event_id + step_idx) % 7 < 6 THEN 'skipped' ELSE 'failed' END AS status,
+  floor(value + step_idx) AS duration_ms, CASE WHEN (event_id + step_idx) % 7 = 6 AND event_id % 2 = 0 THEN 'boom' END AS error FROM events CROSS JOIN steps)"""
+
+_PROJECT_TOKENS = {"key": "c_custkey::VARCHAR", "name": "lower(c_name)", "segment": "lower(c_mktsegment)"}
+PROJECT_FILES = (
+    values("manifests", "idx, body", list(enumerate(B.MANIFESTS)))
+    + ", "
+    + values("placed", "modulus, rest, path, body", B.PROJECT_FILES)
+    + f""", project_files AS (SELECT '/repo/p' || c_custkey AS project_root, 'package.json' AS path, {fill('body', _PROJECT_TOKENS)} AS content
+  FROM customer JOIN manifests ON idx = c_custkey % {len(B.MANIFESTS)}
+  UNION ALL SELECT '/repo/p' || c_custkey, path, {fill('body', _PROJECT_TOKENS)} FROM customer JOIN placed ON c_custkey % modulus = rest)"""
+)
+
+MODEL_REPLIES = (
+    values("reply_texts", "idx, body", list(enumerate(B.REPLIES)))
+    + f""", replies AS (SELECT event_id AS run_id, 'small' AS model, {fill('body', {'doc': 'user_id::VARCHAR'})} AS text
+  FROM events JOIN reply_texts ON idx = event_id % {len(B.REPLIES)})"""
+)
+
+
+def locations() -> list[str]:
+    """Ordered distinct locations and files, by window over one row per mention."""
+    file = f"({resolved('f.file')})"
+    test = f"({resolved('test_file')})"
+    roots = "JOIN (SELECT run_id, project_root FROM runs) USING (run_id)"
+    return [
+        f"""mentions AS (SELECT run_id, failure_idx, 0 AS kind, frame_idx, {file} AS file, line FROM frames f {roots} WHERE is_project_file AND f.file <> ''
+          UNION ALL SELECT run_id, failure_idx, 1, 0, {test}, 1 FROM failures {roots} WHERE test_file <> '')""",
+        """located AS (SELECT run_id, file, line, (row_number() OVER (PARTITION BY run_id ORDER BY failure_idx, kind, frame_idx))::INTEGER AS loc_idx FROM
+          (SELECT * FROM mentions WHERE line <> 0 QUALIFY row_number() OVER (PARTITION BY run_id, file, line ORDER BY failure_idx, kind, frame_idx) = 1))""",
+        """related AS (SELECT run_id, file, (row_number() OVER (PARTITION BY run_id ORDER BY failure_idx, kind, frame_idx))::INTEGER AS file_idx FROM
+          (SELECT * FROM mentions QUALIFY row_number() OVER (PARTITION BY run_id, file ORDER BY failure_idx, kind, frame_idx) = 1))""",
+    ]
+
+
+def snippets() -> list[str]:
+    return [
+        SOURCE_LINES,
+        "sizes AS (SELECT file, max(line_no) AS n_lines, string_agg(text, '') AS whole FROM source_lines GROUP BY file)",
+        """picked AS (SELECT run_id, l.file, line, n_lines, row_number() OVER (PARTITION BY run_id ORDER BY loc_idx) AS snippet_idx
+          FROM located l JOIN sizes USING (file) WHERE NOT (n_lines = 1 AND whole = '') QUALIFY snippet_idx <= 10)""",
+        f"""snips AS (SELECT run_id, snippet_idx::INTEGER AS snippet_idx, p.file, p.line AS focus_line, greatest(1, p.line - 15)::INTEGER AS start_line,
+          least(n_lines, p.line + 15)::INTEGER AS end_line, coalesce(string_agg(s.text, chr(10) ORDER BY s.line_no), '') AS content, {language_case('p.file')} AS language
+          FROM picked p LEFT JOIN source_lines s ON s.file = p.file AND s.line_no BETWEEN p.line - 15 AND p.line + 15 GROUP BY run_id, snippet_idx, p.file, p.line, n_lines)""",
+    ]
+
+
+def summaries(min_score: float = 0.3) -> list[str]:
+    domain = f"coalesce(lower({cap('url', T.DOMAIN)}), url)"
+    sentences = f"regexp_extract_all(content, {q(T.SENTENCE)})"
+    first_two = f"CASE WHEN len({sentences}) = 0 THEN substr(content, 1, 200) ELSE {trim(f'array_to_string({sentences}[1:2], {q('')})')} END"
+    return [
+        SEARCH_RESULTS,
+        f"""kept AS (SELECT *, {domain} AS domain FROM search_results WHERE score >= {min_score}
+          QUALIFY row_number() OVER (PARTITION BY run_id, domain ORDER BY query_idx, result_idx) = 1)""",
+        f"""listed AS (SELECT run_id, count(*) OVER (PARTITION BY run_id) AS n, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, query_idx, result_idx) AS rk,
+          '- **[' || title || '](' || url || ')**: ' || {first_two} AS line FROM kept)""",
+        """summed AS (SELECT run_id, max(n) AS n, string_agg(line, chr(10) ORDER BY rk) FILTER (WHERE rk <= 8) AS body FROM listed GROUP BY run_id)""",
+        """summaries AS (SELECT run_id, coalesce(n, 0)::INTEGER AS n_sources, CASE WHEN s.run_id IS NULL THEN '' WHEN n IS NULL THEN 'Web search returned no highly relevant results.'
+          ELSE 'Found ' || n || ' relevant source(s) across ' || n || ' domain(s):' || chr(10) || chr(10) || body END AS summary, s.run_id IS NOT NULL AS available
+          FROM (SELECT run_id FROM runs) LEFT JOIN (SELECT DISTINCT run_id FROM search_results) s USING (run_id) LEFT JOIN summed USING (run_id))""",
+    ]
+
+
+def replies() -> list[str]:
+    t = "regexp_replace(text, '\\A\\s+|\\s+\\z', '', 'g')"
+    bare = f"CASE WHEN starts_with({t}, '{{') THEN {t} ELSE regexp_replace(regexp_replace({t}, '\\A```(?:json)?\\n?', ''), '\\n?```\\z', '') END"
+
+    def part(name: str, default: str) -> str:
+        return f"CASE WHEN ok THEN coalesce(json_extract_string(j, '$.{name}'), {q(default)}) END"
+
+    return [
+        MODEL_REPLIES,
+        f"bare AS (SELECT run_id, model, {bare} AS b FROM replies)",
+        "jr AS (SELECT run_id, model, json_valid(b) AS ok, CASE WHEN json_valid(b) THEN b END AS j FROM bare)",
+        f"""enhanced AS (SELECT run_id, {part('rootCauseNarrative', 'Analysis unavailable')} AS narrative, {part('codeFix', '')} AS code_fix, {part('fixFile', '')} AS fix_file,
+          {part('fixExplanation', '')} AS fix_explanation, CASE WHEN ok THEN array_to_string(coalesce(json_extract_string(j, '$.fixAlternatives[*]'), []), ' | ') END AS alternatives,
+          CASE WHEN ok THEN json_extract_string(j, '$.externalSynthesis') END AS external_synthesis, model, NOT ok AS failed FROM jr)""",
+    ]
+
+
+def condensed(dispatch: bool = True) -> list[str]:
+    hint = "string_split(summary, chr(10))"
+    external = (
+        f"trim(list_filter({hint}, lambda l: starts_with(l, '-'))[1]) AS external_hint"
+        if dispatch
+        else "NULL::VARCHAR AS external_hint, narrative, code_fix, fix_file, fix_explanation, alternatives"
+    )
+    return [
+        *all_failures(dispatch), *matches(), *hypotheses(), *locations(), *snippets(),
+        *(summaries() if dispatch else replies()),
+        """shown AS (SELECT run_id, file || ':' || coalesce(line::VARCHAR, 'null') AS file FROM frames WHERE failure_idx = 0
+          QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY is_project_file DESC, frame_idx) = 1)""",
+        f"""condensed AS (SELECT r.run_id, coalesce(f.error_message, 'No failures detected') AS error, shown.file, f.test_name, h.category, h.confidence, h.explanation, h.suggested_fix,
+          '// ' || s.file || ' (lines ' || s.start_line || '-' || s.end_line || ')' || chr(10) || s.content AS code_context, {external}
+          FROM runs r LEFT JOIN (SELECT * FROM failures WHERE failure_idx = 0) f USING (run_id) LEFT JOIN shown USING (run_id)
+          LEFT JOIN (SELECT * FROM hypotheses WHERE hyp_idx = 1) h USING (run_id) LEFT JOIN (SELECT * FROM snips WHERE snippet_idx = 1) s USING (run_id)
+          LEFT JOIN {'(SELECT * FROM summaries WHERE available) x' if dispatch else '(SELECT * FROM enhanced WHERE NOT failed) x'} USING (run_id))""",
+    ]
+
+
+def history() -> list[str]:
+    return [
+        FILE_CHANGES,
+        """commits AS (SELECT project_root, commit_hash, commit_ts, min(subject) AS subject FROM file_changes GROUP BY ALL)""",
+        """numbered AS (SELECT *, row_number() OVER (PARTITION BY project_root ORDER BY commit_ts DESC, commit_hash)::INTEGER AS rk FROM commits)""",
+        """diffs AS (SELECT project_root, CASE WHEN len(d) > 5000 THEN substr(d, 1, 4997) || '...' ELSE d END AS diff FROM
+          (SELECT project_root, string_agg(diff, chr(10) ORDER BY path, change_no) AS d FROM file_changes JOIN (SELECT project_root, commit_hash FROM numbered WHERE rk = 1) USING (project_root, commit_hash) GROUP BY project_root))""",
+    ]
+
+
+def inventory() -> list[str]:
+    return [
+        PROJECT_FILES,
+        "roots AS (SELECT DISTINCT project_root FROM project_files)",
+        "pkg AS (SELECT project_root, CASE WHEN json_valid(content) THEN content END AS j FROM project_files WHERE path = 'package.json')",
+        "ts AS (SELECT project_root, content AS j FROM project_files WHERE path = 'tsconfig.json')",
+        """based AS (SELECT project_root, bool_or(starts_with(path, 'src/')) AS has_src FROM project_files GROUP BY ALL)""",
+        """segs AS (SELECT project_root, has_src, path, string_split(CASE WHEN has_src THEN substr(path, 5) ELSE path END, '/') AS p FROM project_files JOIN based USING (project_root)
+          WHERE NOT has_src OR starts_with(path, 'src/'))""",
+        """tree AS (SELECT DISTINCT project_root, CASE WHEN has_src THEN 'src/' ELSE '' END || array_to_string(p[1:d + 1], '/') AS path, d AS depth, d < len(p) - 1 AS is_dir,
+          array_to_string(list_transform(p[1:d + 1], lambda s, i: CASE WHEN i < len(p) THEN '0' ELSE '1' END || s), '/') AS key, p[d + 1] AS name
+          FROM segs CROSS JOIN (SELECT unnest([0, 1, 2, 3])::INTEGER AS d)
+          WHERE d < len(p) AND len(list_filter(p[1:d + 1], lambda s: starts_with(s, '.') OR s IN ('node_modules', 'dist', 'output', 'coverage'))) = 0)""",
+    ]
+
+
+def queries_of() -> list[str]:
+    clean = trim(
+        f"regexp_replace(regexp_replace(error_message, {q(T.PATH_IN_TEXT)}, '', 'g'), '\\s{{2,}}', ' ', 'g')"
+    )
+
+    def cut(value: str, limit: int = 120) -> str:
+        return f"CASE WHEN len({value}) > {limit} THEN substr({value}, 1, {limit - 3}) || '...' ELSE {value} END"
+
+    def library(column: str) -> str:
+        whens = " ".join(f"WHEN contains(lower({column}), {q(w)}) THEN {q(w)}" for w in T.LIBRARIES)
+        return f"CASE {whens} END"
+
+    from logsieve.operators.external import PATTERN_QUERIES
+
+    known = " ".join(
+        f"WHEN {hit('error_message', p)}{' OR error_type = ' + q('AssertionError') if a.startswith('AssertionError') else ''} THEN {q(a)}"
+        for p, a in PATTERN_QUERIES
+    )
+    fix = "coalesce(error_type || ': ', '') || clean || ' fix'"
+    stack = "'\"' || error_type || '\" in \"' || fn || '\" typescript'"
+    lib = f"lib || ' \"' || {cut('clean', 60)} || '\"'"
+    word = f"CASE WHEN regexp_matches(test_file, '\\.spec\\.') THEN 'testing framework' ELSE coalesce({cap('lower(raw_output)', '(vitest|jest|mocha)')}, 'testing') END"
+    frame = f"error_type || ' ' || {word} || ' troubleshooting'"
+    return [
+        """tops AS (SELECT run_id, failure_idx, function AS fn FROM frames WHERE is_project_file QUALIFY row_number() OVER (PARTITION BY run_id, failure_idx ORDER BY frame_idx) = 1)""",
+        f"""ready AS (SELECT f.*, fn, {clean} AS clean, coalesce({library('error_message')}, {library('raw_output')}) AS lib FROM failures f LEFT JOIN tops USING (run_id, failure_idx))""",
+        f"""asked AS (SELECT run_id, failure_idx, 1 AS c, CASE WHEN clean <> '' THEN {cut(fix)} END AS query FROM ready
+          UNION ALL SELECT run_id, failure_idx, 2, {cut(stack)} FROM ready UNION ALL SELECT run_id, failure_idx, 3, {cut(lib)} FROM ready
+          UNION ALL SELECT run_id, failure_idx, 4, CASE {known} END FROM ready UNION ALL SELECT run_id, failure_idx, 5, CASE WHEN test_file <> '' THEN {cut(frame)} END FROM ready)""",
+        """once AS (SELECT run_id, query, failure_idx, c FROM asked WHERE query IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run_id, query ORDER BY failure_idx, c) = 1)""",
+        """questions AS (SELECT run_id, query, (row_number() OVER (PARTITION BY run_id ORDER BY failure_idx, c))::INTEGER AS query_idx FROM once QUALIFY query_idx <= 5)""",
+    ]
+
+
+def _declare_table_part() -> None:
+    base = all_failures()
+    where = [*base, *locations()]
+    ORACLE["failure_locations"] = statement(where, "SELECT * FROM located")
+    ORACLE["related_files"] = statement(where, "SELECT * FROM related")
+    ORACLE["collect_snippets"] = statement([*where, *snippets()], "SELECT * FROM snips")
+    ORACLE["mark_error_lines"] = statement(
+        [*where, *snippets(),
+         """numbered AS (SELECT run_id, snippet_idx, start_line + generate_subscripts(string_split(content, chr(10)), 1) - 1 AS line_no FROM snips)"""],
+        """SELECT run_id, snippet_idx, line_no::INTEGER AS line_no, EXISTS (SELECT 1 FROM frames f WHERE f.run_id = n.run_id AND f.line = n.line_no AND f.is_project_file) AS is_error FROM numbered n""",
+    )
+    reason = "CASE WHEN line <= 0 THEN 'line must be positive' WHEN col <= 0 THEN 'column must be positive' END"
+    ORACLE["validate_frames"] = statement(
+        base,
+        f"SELECT run_id, failure_idx::INTEGER AS failure_idx, frame_idx::INTEGER AS frame_idx, line, col, {reason} IS NULL AS valid, {reason} AS reason FROM frames",
+    )
+    names = ", ".join(q(c) for c in R.CATEGORIES)
+    why = f"CASE WHEN category NOT IN ({names}) THEN 'unknown category' WHEN confidence NOT IN ('high', 'medium', 'low') THEN 'unknown confidence' END"
+    ORACLE["validate_hypotheses"] = statement(
+        [*base, *matches(), *hypotheses()],
+        f"SELECT run_id, hyp_idx, category, confidence, {why} IS NULL AS valid, {why} AS reason FROM hypotheses",
+    )
+    found = [*INPUTS, *summaries()]
+    ORACLE["dedupe_by_domain"] = statement(
+        found, "SELECT run_id, query_idx, query, result_idx, title, url, score, domain FROM kept"
+    )
+    ORACLE["external_summary"] = statement(found, "SELECT * FROM summaries")
+    ORACLE["dedupe_by_url"] = statement(
+        [*INPUTS, SEARCH_RESULTS,
+         "once AS (SELECT * FROM search_results QUALIFY row_number() OVER (PARTITION BY run_id, url ORDER BY query_idx, result_idx) = 1)"],
+        """SELECT run_id, (row_number() OVER (PARTITION BY run_id ORDER BY query_idx, result_idx))::INTEGER AS rk, title, url, substr(content, 1, 200) AS preview FROM once QUALIFY rk <= 8""",
+    )
+    ORACLE["search_queries"] = statement([*base, *queries_of()], "SELECT * FROM questions")
+    ORACLE["hot_files"] = statement(
+        [*history(),
+         "touched AS (SELECT DISTINCT project_root, path, rk FROM file_changes JOIN (SELECT project_root, commit_hash, rk FROM numbered WHERE rk <= 30) USING (project_root, commit_hash))",
+         "counted AS (SELECT project_root, path, count(*) AS changes, min(rk) AS first_rk FROM touched GROUP BY ALL)"],
+        "SELECT project_root, path, changes, (row_number() OVER (PARTITION BY project_root ORDER BY changes DESC, first_rk, path))::INTEGER AS rk FROM counted QUALIFY rk <= 10",
+    )
+    ORACLE["recent_commits"] = statement(history(), "SELECT project_root, rk, commit_hash AS hash, subject FROM numbered WHERE rk <= 10")
+    ORACLE["latest_commit"] = statement(
+        history(), "SELECT project_root, commit_hash AS hash, substr(commit_hash, 1, 8) AS short_hash, subject FROM numbered WHERE rk = 1"
+    )
+    ORACLE["diff_for_project"] = statement(history(), "SELECT project_root, diff FROM diffs")
+    ORACLE["diff_line_stats"] = statement(
+        [*history(),
+         "dl AS (SELECT project_root, unnest(string_split(diff, chr(10))) AS l, generate_subscripts(string_split(diff, chr(10)), 1) AS i FROM diffs)"],
+        """SELECT project_root, count_if(i <= 500 AND starts_with(l, '+'))::INTEGER AS added, count_if(i <= 500 AND starts_with(l, '-'))::INTEGER AS removed,
+        count_if(i <= 500 AND starts_with(l, '@@'))::INTEGER AS ranges, count_if(i <= 500 AND NOT regexp_matches(l, '^(\\+|-|@@)'))::INTEGER AS context, max(i) > 500 AS truncated FROM dl GROUP BY project_root""",
+    )
+    bar = hit("text", X.COUNTS_BAR)
+
+    def count(a: int, b: int) -> str:
+        return f"CASE WHEN {bar} THEN {num('text', X.COUNTS_BAR, a)} ELSE {num('text', X.COUNTS_TOTAL, b)} END"
+
+    counts = [
+        *INPUTS, texts(strip=True),
+        f"counts AS (SELECT run_id, project_root, {count(3, 3)} AS total, coalesce({count(2, 2)}, 0) AS passed, coalesce({count(1, 1)}, 0) AS failed FROM texts)",
+        "filled AS (SELECT run_id, project_root, passed, failed, coalesce(total, passed + failed) AS total FROM counts)",
+    ]
+    ratio = "CASE WHEN total > 0 THEN passed / total * 100 ELSE 0 END::DOUBLE AS ratio"
+    ORACLE["test_pass_ratio"] = statement(counts, f"SELECT run_id, passed, failed, total, {ratio} FROM filled")
+    ORACLE["pass_ratio_by_project"] = statement(
+        [*counts, "s AS (SELECT project_root, sum(passed)::BIGINT AS passed, sum(failed)::BIGINT AS failed, sum(total)::BIGINT AS total FROM filled GROUP BY ALL)"],
+        f"SELECT project_root, passed, failed, total, {ratio} FROM s",
+    )
+    label = "CASE status WHEN 'success' THEN 'OK' WHEN 'skipped' THEN 'SKIP' ELSE 'FAIL: ' || coalesce(error, 'unknown') END"
+    ORACLE["step_summary"] = statement(
+        [RUN_STEPS],
+        f"SELECT run_id, step, {label} AS label, duration_ms, t.total_ms FROM run_steps JOIN (SELECT run_id, sum(duration_ms) AS total_ms FROM run_steps GROUP BY run_id) t USING (run_id)",
+    )
+    ORACLE["step_totals"] = statement(
+        [RUN_STEPS], "SELECT step, status, count(*) AS runs, sum(duration_ms) AS duration_ms FROM run_steps GROUP BY ALL"
+    )
+    ORACLE["outcome_counts"] = statement(
+        [*base, *matches()],
+        """SELECT run_id, coalesce(nf, 0)::INTEGER AS n_failures, coalesce(nh, 0)::INTEGER AS n_hypotheses, CASE WHEN nf > 0 THEN 1 ELSE 0 END AS code FROM runs
+        LEFT JOIN (SELECT run_id, count(*) AS nf FROM failures GROUP BY ALL) USING (run_id) LEFT JOIN (SELECT run_id, count(*) AS nh FROM ranked GROUP BY ALL) USING (run_id)""",
+    )
+    inv = inventory()
+    dep = " UNION ALL ".join(
+        f"SELECT project_root, unnest(json_keys(j, '$.{f}')) AS name, {d} AS is_dev, generate_subscripts(json_keys(j, '$.{f}'), 1)::INTEGER AS nth FROM pkg WHERE json_exists(j, '$.{f}')"
+        for f, d in (("dependencies", "false"), ("devDependencies", "true"))
+    )
+    ORACLE["dependencies"] = statement(inv, dep)
+    ORACLE["scripts"] = statement(
+        [*inv, "names AS (SELECT project_root, j, unnest(json_keys(j, '$.scripts')) AS name, generate_subscripts(json_keys(j, '$.scripts'), 1)::INTEGER AS nth FROM pkg WHERE json_exists(j, '$.scripts'))"],
+        "SELECT project_root, name, json_extract_string(j, '$.scripts.\"' || name || '\"') AS command, nth FROM names",
+    )
+    js = "json_extract_string"
+    ORACLE["manifest_facts"] = statement(
+        inv,
+        f"""SELECT project_root, coalesce({js}(j, '$.name'), 'unknown') AS name, coalesce({js}(j, '$.description'), '') AS description, coalesce({js}(j, '$.type'), 'commonjs') AS type,
+        coalesce('Node.js ' || nullif({js}(j, '$.engines.node'), ''), 'Node.js') AS runtime FROM roots LEFT JOIN pkg USING (project_root)""",
+    )
+    o = "$.compilerOptions"
+    ORACLE["compiler_options"] = statement(
+        inv,
+        f"""SELECT project_root, coalesce({js}(j, '{o}.strict'), 'false') = 'true' AS strict, coalesce({js}(j, '{o}.target'), 'unknown') AS target, coalesce({js}(j, '{o}.module'), 'unknown') AS module,
+        coalesce({js}(j, '{o}.noUncheckedIndexedAccess'), 'false') = 'true' AS unchecked_index, json_extract(j, '{o}.paths')::VARCHAR AS paths FROM ts WHERE json_exists(j, '{o}')""",
+    )
+    ORACLE["env_vars"] = statement(
+        [*inv,
+         f"el AS (SELECT project_root, {trim('l')} AS l, i FROM (SELECT project_root, unnest(string_split(content, chr(10))) AS l, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM project_files WHERE path = '.env.example'))"],
+        """SELECT project_root, split_part(l, '=', 1) AS name, (row_number() OVER (PARTITION BY project_root ORDER BY i))::INTEGER AS nth FROM el
+        WHERE l <> '' AND NOT starts_with(l, '#') AND contains(l, '=') AND NOT starts_with(l, '=')""",
+    )
+    ORACLE["test_framework"] = statement(
+        inv,
+        """SELECT project_root, CASE WHEN json_exists(j, '$.devDependencies.vitest') THEN 'vitest' WHEN json_exists(j, '$.devDependencies.jest') THEN 'jest'
+        WHEN json_exists(j, '$.devDependencies.mocha') THEN 'mocha' WHEN json_exists(j, '$.devDependencies.ava') THEN 'ava' END AS framework FROM roots LEFT JOIN pkg USING (project_root)""",
+    )
+    ORACLE["project_language"] = statement(
+        inv, "SELECT project_root, CASE WHEN bool_or(path = 'tsconfig.json') THEN 'TypeScript' ELSE 'JavaScript' END AS language FROM project_files GROUP BY ALL"
+    )
+    ORACLE["file_listing"] = statement(inv, "SELECT project_root, path, depth, is_dir FROM tree")
+    from logsieve.operators.inventory import ENTRY_NAME, KNOWN_ENTRIES, TEST_NAME
+
+    ORACLE["key_files"] = statement(
+        [*inv,
+         values("known_dim", "nth, path", list(enumerate(KNOWN_ENTRIES))),
+         f"entries AS (SELECT project_root, name, 0 AS kind, key FROM tree WHERE {hit('name', ENTRY_NAME)})",
+         f"tests AS (SELECT project_root, name, 1 AS kind, key FROM tree WHERE NOT is_dir AND {hit('name', TEST_NAME)} QUALIFY row_number() OVER (PARTITION BY project_root ORDER BY key) = 1)",
+         "named AS (SELECT * FROM entries UNION ALL SELECT * FROM tests)",
+         """everything AS (SELECT * FROM named UNION ALL SELECT p.project_root, p.path, 2, lpad(nth::VARCHAR, 2, '0') FROM project_files p JOIN known_dim USING (path)
+           WHERE NOT EXISTS (SELECT 1 FROM named n WHERE n.project_root = p.project_root AND n.name = p.path))"""],
+        "SELECT project_root, (row_number() OVER (PARTITION BY project_root ORDER BY kind, key))::INTEGER AS rk, name AS path FROM everything QUALIFY rk <= 5",
+    )
+    ORACLE["readme_excerpt"] = statement(
+        inv,
+        "SELECT project_root, substr(content, 1, 500) AS excerpt FROM project_files WHERE path IN ('README.md', 'readme.md') QUALIFY row_number() OVER (PARTITION BY project_root ORDER BY path) = 1",
+    )
+    ORACLE["parse_enhancements"] = statement(replies(), "SELECT * FROM enhanced")
+    ORACLE["condense"] = statement(condensed(), "SELECT * FROM condensed")
+    ORACLE["condense_command"] = statement(condensed(False), "SELECT * FROM condensed")
+
+
+_declare_table_part()

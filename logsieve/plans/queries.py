@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logsieve.operators import assemble as A
+from logsieve.operators import context as C
+from logsieve.operators import external as E
 from logsieve.operators import extract as X
+from logsieve.operators import history as H
 from logsieve.operators import infer as I
+from logsieve.operators import inventory as G
+from logsieve.operators import metrics as M
 from logsieve.operators import parse as P
 from logsieve.operators.detect import detect_format, format_of
+from logsieve.plans.analysis import analyse_runs, condense_runs
 from logsieve.sources import bridge as B
 from logsieve.sources import runs as S
 
@@ -316,3 +323,252 @@ def infer_root_causes_command(spark, sf_dir):
 
 
 QUERIES["detect_format"] = QUERIES.pop("detect_format_")
+
+
+# ── context ──────────────────────────────────────────────────────────────────────────────
+
+
+def analysed(spark, sf_dir, dispatch=True):
+    return analyse_runs(B.runs(spark, sf_dir), dispatch)
+
+
+@query
+def failure_locations(spark, sf_dir):
+    return C.failure_locations(parsed(spark, sf_dir))
+
+
+@query
+def related_files(spark, sf_dir):
+    return C.related_files(parsed(spark, sf_dir))
+
+
+def snippets(spark, sf_dir, k=C.MAX_SNIPPETS):
+    return C.collect_snippets(
+        C.failure_locations(parsed(spark, sf_dir)), B.source_lines(spark, sf_dir), k=k
+    )
+
+
+@query
+def collect_snippets(spark, sf_dir):
+    return snippets(spark, sf_dir)
+
+
+@query
+def mark_error_lines(spark, sf_dir):
+    return C.mark_error_lines(snippets(spark, sf_dir), P.frames_of(parsed(spark, sf_dir)))
+
+
+@query
+def validate_frames(spark, sf_dir):
+    rows = A.validate_frames(P.frames_of(parsed(spark, sf_dir)))
+    return rows.select("run_id", "failure_idx", "frame_idx", "line", "col", "valid", "reason")
+
+
+@query
+def validate_hypotheses(spark, sf_dir):
+    rows = A.validate_hypotheses(P.hypotheses_of(parsed(spark, sf_dir)))
+    return rows.select("run_id", "hyp_idx", "category", "confidence", "valid", "reason")
+
+
+# ── external knowledge ───────────────────────────────────────────────────────────────────
+
+
+@query
+def dedupe_by_domain(spark, sf_dir):
+    return E.dedupe_by_domain(B.search_results(spark, sf_dir)).drop("content")
+
+
+@query
+def external_summary(spark, sf_dir):
+    return E.external_summary(B.runs(spark, sf_dir), B.search_results(spark, sf_dir))
+
+
+@query
+def dedupe_by_url(spark, sf_dir):
+    return E.dedupe_by_url(B.search_results(spark, sf_dir))
+
+
+@query
+def search_queries(spark, sf_dir):
+    return E.search_queries(parsed(spark, sf_dir))
+
+
+# ── history and metrics ──────────────────────────────────────────────────────────────────
+
+
+@query
+def hot_files(spark, sf_dir):
+    return H.hot_files(B.file_changes(spark, sf_dir))
+
+
+@query
+def recent_commits(spark, sf_dir):
+    return H.recent_commits(B.file_changes(spark, sf_dir))
+
+
+@query
+def latest_commit(spark, sf_dir):
+    return H.latest_commit(B.file_changes(spark, sf_dir))
+
+
+@query
+def diff_for_project(spark, sf_dir):
+    return H.diff_for_project(B.file_changes(spark, sf_dir))
+
+
+@query
+def diff_line_stats(spark, sf_dir):
+    return H.diff_line_stats(H.diff_for_project(B.file_changes(spark, sf_dir)))
+
+
+@query
+def test_pass_ratio(spark, sf_dir):
+    return M.test_pass_ratio(P.extract_test_counts(generic_texts(spark, sf_dir)))
+
+
+@query
+def pass_ratio_by_project(spark, sf_dir):
+    return M.pass_ratio_by_project(
+        P.extract_test_counts(generic_texts(spark, sf_dir)), B.runs(spark, sf_dir)
+    )
+
+
+@query
+def step_summary(spark, sf_dir):
+    return M.step_summary(B.run_steps(spark, sf_dir))
+
+
+@query
+def step_totals(spark, sf_dir):
+    return M.step_totals(B.run_steps(spark, sf_dir))
+
+
+@query
+def outcome_counts(spark, sf_dir):
+    return M.outcome_counts(analysed(spark, sf_dir))
+
+
+# ── project inventory ────────────────────────────────────────────────────────────────────
+
+
+@query
+def dependencies(spark, sf_dir):
+    return G.dependencies(B.project_files(spark, sf_dir))
+
+
+@query
+def scripts(spark, sf_dir):
+    return G.scripts(B.project_files(spark, sf_dir))
+
+
+@query
+def manifest_facts(spark, sf_dir):
+    return G.manifest_facts(B.project_files(spark, sf_dir))
+
+
+@query
+def compiler_options(spark, sf_dir):
+    return G.compiler_options(B.project_files(spark, sf_dir))
+
+
+@query
+def env_vars(spark, sf_dir):
+    return G.env_vars(B.project_files(spark, sf_dir))
+
+
+@query
+def test_framework(spark, sf_dir):
+    return G.test_framework(B.project_files(spark, sf_dir))
+
+
+@query
+def project_language(spark, sf_dir):
+    return G.project_language(B.project_files(spark, sf_dir))
+
+
+@query
+def file_listing(spark, sf_dir):
+    return G.file_listing(B.project_files(spark, sf_dir)).drop("sort_key")
+
+
+@query
+def key_files(spark, sf_dir):
+    return G.key_files(B.project_files(spark, sf_dir))
+
+
+@query
+def readme_excerpt(spark, sf_dir):
+    return G.readme_excerpt(B.project_files(spark, sf_dir))
+
+
+# ── assembled outputs ────────────────────────────────────────────────────────────────────
+
+
+@query
+def parse_enhancements(spark, sf_dir):
+    rows = A.parse_enhancements(B.model_replies(spark, sf_dir))
+    return rows.withColumn("alternatives", F.array_join("alternatives", " | "))
+
+
+@query
+def condense(spark, sf_dir):
+    """The flagship: one condensed row per run."""
+    return condense_runs(
+        B.runs(spark, sf_dir),
+        B.source_lines(spark, sf_dir),
+        B.search_results(spark, sf_dir),
+    )
+
+
+@query
+def condense_command(spark, sf_dir):
+    """Condensed rows of the run-a-command path, with model replies and without a search."""
+    replies = A.parse_enhancements(B.model_replies(spark, sf_dir)).withColumn(
+        "alternatives", F.array_join("alternatives", " | ")
+    )
+    return condense_runs(
+        B.runs(spark, sf_dir), B.source_lines(spark, sf_dir), enhancements=replies, dispatch=False
+    )
+
+
+def parts(spark, sf_dir) -> dict[str, DataFrame]:
+    rows = analysed(spark, sf_dir)
+    changes = B.file_changes(spark, sf_dir)
+    return {
+        "analysed": rows,
+        "hypotheses": P.explain_top(rows),
+        "snippets": snippets(spark, sf_dir),
+        "summaries": E.external_summary(B.runs(spark, sf_dir), B.search_results(spark, sf_dir)),
+        "repo": A.repo_state(H.latest_commit(changes), H.diff_for_project(changes)),
+    }
+
+
+@query
+def assemble_packets(spark, sf_dir):
+    counts = P.extract_test_counts(generic_texts(spark, sf_dir))
+    rows = A.assemble_packets(
+        B.runs(spark, sf_dir),
+        related=C.related_files(parsed(spark, sf_dir)),
+        counts=counts,
+        steps=B.run_steps(spark, sf_dir),
+        **parts(spark, sf_dir),
+    )
+    return rows.select("run_id", "project_root", F.to_json("packet").alias("packet"))
+
+
+@query
+def agent_prompts(spark, sf_dir):
+    return A.agent_prompts(**parts(spark, sf_dir))
+
+
+@query
+def enhancement_prompts(spark, sf_dir):
+    return A.enhancement_prompts(**parts(spark, sf_dir), contexts=project_briefs(spark, sf_dir))
+
+
+@query
+def project_briefs(spark, sf_dir):
+    changes = B.file_changes(spark, sf_dir)
+    return A.project_briefs(
+        B.project_files(spark, sf_dir), H.recent_commits(changes), H.hot_files(changes)
+    )

@@ -196,7 +196,7 @@ def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "value")
-    state = (F.col("event_id") + F.col("step_idx")) % 7
+    state = (F.col("run_id") + F.col("step_idx")) % 7
     return events.select(
         F.col("event_id").alias("run_id"),
         F.posexplode(F.array(*[F.lit(s) for s in STEPS])).alias("step_idx", "step"),
@@ -208,7 +208,7 @@ def run_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(state < 4, "success").when(state < 6, "skipped").otherwise("failed").alias("status"),
         # Whole milliseconds, so sums do not depend on the order of addition.
         F.floor(F.col("value") + F.col("step_idx")).cast("double").alias("duration_ms"),
-        F.when((state == 6) & (F.col("event_id") % 2 == 0), "boom").alias("error"),
+        F.when((state == 6) & (F.col("run_id") % 2 == 0), "boom").alias("error"),
     )
 
 

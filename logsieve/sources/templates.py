@@ -336,12 +336,13 @@ PROJECT_FILES = [
     (4, 1, "README.md", "# {name}\n" + "A project of the {segment} segment. " * 20),
     (4, 2, "readme.md", "lower case readme {key}"),
     (8, 1, "readme.md", "shadowed readme"),
-    (1, 0, "src/index.ts", "export const key = {key};"),
+    (4, 3, "src/index.ts", "export const key = {key};"),
+    (8, 3, "src/lib/index.ts", "export {};"),
     (3, 1, "src/app.ts", "app"),
     (5, 2, "src/cli.ts", "cli"),
     (7, 0, "src/main.js", "main"),
-    (2, 1, "src/lib/util.test.ts", "test"),
-    (2, 0, "src/lib/deep/server.tsx", "server"),
+    (6, 1, "src/lib/util.test.ts", "test"),
+    (6, 2, "src/lib/deep/server.tsx", "server"),
     (4, 0, "src/a/b/c/d/e/too-deep.ts", "deep"),
     (3, 2, "src/node_modules/x/index.js", "dep"),
     (3, 0, "src/.hidden/x.ts", "hidden"),
