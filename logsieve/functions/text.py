@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ LIBRARIES = [
 
 DOMAIN = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)"
 SENTENCE = r"[^.!?]+[.!?]+"
+SENTENCE_END = r"[^.!?][.!?]"
 PATH_IN_TEXT = r"/[\w/.:\-]+"
 
 
@@ -110,14 +112,36 @@ def resolve_path(file: Column, root: Column) -> Column:
     )
 
 
-def is_project_file(file: Column, root: Column) -> Column:
-    """Prefix test on purpose: a sibling '/repo/p10' counts for root '/repo/p1'."""
-    full = resolve_path(file, root)
+def owned_path(file: Column, full: Column, root: Column) -> Column:
+    """Whether the resolved path ``full`` belongs to the project.
+
+    Prefix test on purpose: a sibling '/repo/p10' counts for root '/repo/p1'.
+    """
     return F.coalesce(
         (file != "") & F.startswith(full, root) & ~has(full, "node_modules"), F.lit(False)
     )
 
 
+def is_project_file(file: Column, root: Column) -> Column:
+    return owned_path(file, resolve_path(file, root), root)
+
+
+def reusable(build: Callable) -> Callable:
+    """Build an expression over fixed column names once per session and use it in every plan.
+
+    The larger expressions take thousands of calls into the JVM to put together.
+    """
+    made: dict = {}
+
+    def once(*args):
+        key = (id(SparkContext._gateway), *args)
+        if key not in made:
+            made[key] = build(*args)
+        return made[key]
+
+    return once
+
+
 def language_from_ext(file: Column) -> Column:
     ext = F.lower(F.regexp_extract(file, r"[^/](\.[^./]*)\z", 1))
     table = F.create_map(*[F.lit(v) for pair in LANGUAGES.items() for v in pair])
@@ -148,10 +172,9 @@ def extract_domain(url: Column) -> Column:
 
 
 def first_sentences(text: Column, count: int) -> Column:
-    found = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
-    return let(
-        found,
-        lambda s: F.when(F.size(s) == 0, F.substring(text, 1, 200)).otherwise(
-            trimmed(F.array_join(F.slice(s, 1, count), ""))
-        ),
-    )
+    """First sentences of a text, or its first 200 characters when no sentence ends.
+
+    Sentences follow each other without a gap, so one match covers the wanted number.
+    """
+    found = F.regexp_extract(text, f"(?:{SENTENCE}){{1,{count}}}", 0)
+    return F.when(text.rlike(SENTENCE_END), trimmed(found)).otherwise(F.substring(text, 1, 200))

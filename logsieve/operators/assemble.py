@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from logsieve.functions.text import let
 from logsieve.operators import inventory as G
+from logsieve.operators.context import location_keys
 from logsieve.operators.infer import first_project_frame
-from logsieve.operators.parse import explain_top
+from logsieve.operators.parse import explained_by_rules as first_cause
 from logsieve.operators.rules import CATEGORIES, CONFIDENCE
 
 VERSION = "1.0.0"
@@ -52,36 +53,52 @@ def first_hint(summary: Column) -> Column:
     return F.trim(F.get(lines, F.lit(0)))
 
 
+def digest(analysed: DataFrame) -> DataFrame:
+    """What condensing needs of a run's analysis: one flat row and the location keys; narrow.
+
+    The first failure, its place and the first cause's texts are taken inside the row.
+    """
+    first = F.get("failures", F.lit(0))
+    place = F.coalesce(first_project_frame(first["frames"]), F.get(first["frames"], F.lit(0)))
+    cause = F.get(first_cause(), F.lit(0))
+    return (
+        analysed.withColumn("chosen", F.slice("top", 1, 1))
+        .select(
+            "run_id",
+            first.alias("first"),
+            place.alias("place"),
+            cause.alias("cause"),
+            location_keys().alias("keys"),
+        )
+        .select(
+            "run_id",
+            F.coalesce("first.error_message", F.lit(NO_FAILURES)).alias("error"),
+            F.concat(
+                truthy(F.col("place.file")),
+                F.lit(":"),
+                F.coalesce(F.col("place.line").cast("string"), F.lit("null")),
+            ).alias("file"),
+            F.col("first.test_name").alias("test_name"),
+            *[
+                F.col(f"cause.{name}").alias(name)
+                for name in ("category", "confidence", "explanation", "suggested_fix")
+            ],
+            "keys",
+        )
+    )
+
+
 def condense(
-    analysed: DataFrame,
+    digests: DataFrame,
     snippets: DataFrame | None = None,
     summaries: DataFrame | None = None,
     enhancements: DataFrame | None = None,
 ) -> DataFrame:
     """One flat row per run: first failure, first cause, first snippet, first hint.
 
-    ``analysed`` has one row per run with ``failures`` and ``top``. The first cause's texts are
-    built in place; every other input holds at most one row per run after its filter.
+    Every input holds at most one row per run after its filter, so no join can fan out.
     """
-    first = F.get("failures", F.lit(0))
-    place = F.coalesce(
-        first_project_frame(F.col("first.frames")), F.get("first.frames", F.lit(0))
-    )
-    base = analysed.select("run_id", first.alias("first")).select(
-        "run_id",
-        F.coalesce("first.error_message", F.lit(NO_FAILURES)).alias("error"),
-        let(
-            place,
-            lambda p: F.concat(
-                truthy(p["file"]), F.lit(":"), F.coalesce(p["line"].cast("string"), F.lit("null"))
-            ),
-        ).alias("file"),
-        F.col("first.test_name").alias("test_name"),
-    )
-    causes = explain_top(analysed, k=1).select(
-        "run_id", "category", "confidence", "explanation", "suggested_fix"
-    )
-    rows = base.join(causes, "run_id", "left")
+    rows = digests.drop("keys")
     nothing = F.lit(None).cast("string")
     if snippets is None:
         rows = rows.withColumn("code_context", nothing)

@@ -21,16 +21,14 @@ from logsieve.functions.text import (
     captured_int,
     gated,
     has,
-    is_project_file,
     let,
     lines_of,
+    owned_path,
     resolve_path,
     trimmed,
 )
 
-FRAME_TYPE = (
-    "struct<function:string,file:string,line:int,col:int,is_project_file:boolean>"
-)
+FRAME_TYPE = "struct<function:string,file:string,line:int,col:int>"
 FAILURE_TYPE = (
     "struct<test_name:string,test_file:string,error_message:string,error_type:string,"
     f"raw_block:string,frames:array<{FRAME_TYPE}>>"
@@ -127,20 +125,36 @@ def no_failures() -> Column:
     return F.array().cast(f"array<{FAILURE_TYPE}>")
 
 
-def frame(function: Column, file: Column, line: Column, col: Column | None, owned: Column) -> Column:
+def frame(function: Column, file: Column, line: Column, col: Column | None = None) -> Column:
     return F.struct(
         function.alias("function"),
         file.alias("file"),
         line.cast("int").alias("line"),
         (F.lit(None).cast("int") if col is None else col).alias("col"),
-        owned.alias("is_project_file"),
     ).cast(FRAME_TYPE)
 
 
-def resolved_frame(
-    function: Column, file: Column, line: Column, col: Column | None, root: Column
-) -> Column:
-    return frame(function, resolve_path(file, root), line, col, is_project_file(file, root))
+def finished(failures: Column, root: Column, keep_paths: Column) -> Column:
+    """Failures with ``is_project_file`` on every frame and, unless kept, resolved paths.
+
+    One pass for all formats: the linter and the generic extractor show paths as printed.
+    """
+
+    def place(s: Column) -> Column:
+        return let(
+            resolve_path(s["file"], root),
+            lambda full: F.struct(
+                s["function"].alias("function"),
+                F.when(keep_paths, s["file"]).otherwise(full).alias("file"),
+                s["line"].alias("line"),
+                s["col"].alias("col"),
+                owned_path(s["file"], full, root).alias("is_project_file"),
+            ),
+        )
+
+    return F.transform(
+        failures, lambda f: f.withField("frames", F.transform(f["frames"], place))
+    )
 
 
 def failure(
@@ -188,7 +202,7 @@ def positions(lines: Column, test: Callable[[Column], Column]) -> Column:
 # ── compiler: one failure per matching line ──────────────────────────────────────────────
 
 
-def tsc_failures(text: Column, lines: Column, root: Column) -> Column:
+def tsc_failures(text: Column, lines: Column) -> Column:
     hits = F.filter(F.transform(lines, trimmed), lambda l: gated(l, "error", TSC))
 
     def build(l: Column) -> Column:
@@ -202,7 +216,7 @@ def tsc_failures(text: Column, lines: Column, root: Column) -> Column:
         return failure(
             message,
             F.lit("TypeError"),
-            F.array(resolved_frame(_null(), file, row, col, root)),
+            F.array(frame(_null(), file, row, col)),
             F.concat(file, place, message),
         )
 
@@ -259,14 +273,14 @@ def eslint_message(rule: Column, message: Column) -> Column:
     return F.concat(F.lit("["), rule, F.lit("] "), message, hint)
 
 
-def eslint_failures(text: Column, lines: Column, root: Column) -> Column:
+def eslint_failures(text: Column, lines: Column) -> Column:
     def build(e: Column) -> Column:
         place = F.concat_ws(":", e["file"], e["line"].cast("string"), e["col"].cast("string"))
         return failure(
             eslint_message(e["rule"], e["message"]),
             F.when(e["severity"] == "error", "ESLintError").otherwise("ESLintWarning"),
             F.array(
-                frame(_null(), e["file"], e["line"], e["col"], is_project_file(e["file"], root))
+                frame(_null(), e["file"], e["line"], e["col"])
             ),
             F.concat_ws(" ", place, e["severity"], e["message"], e["rule"]),
         )
@@ -277,7 +291,7 @@ def eslint_failures(text: Column, lines: Column, root: Column) -> Column:
 # ── package manager: at most one failure per run ─────────────────────────────────────────
 
 
-def npm_failures(text: Column, lines: Column, root: Column) -> Column:
+def npm_failures(text: Column, lines: Column) -> Column:
     t = NPM_TEXTS
     code = F.regexp_extract(text, NPM_CODE, 1)
     package = F.coalesce(captured(text, NPM_PACKAGE), F.lit(t["missing_package"][2]))
@@ -338,15 +352,13 @@ def npm_failures(text: Column, lines: Column, root: Column) -> Column:
 # ── python ───────────────────────────────────────────────────────────────────────────────
 
 
-def _python_frames(lines: Column, root: Column) -> Column:
+def _python_frames(lines: Column) -> Column:
     return F.transform(
         F.filter(lines, lambda l: gated(l, "File", PY_FRAME)),
-        lambda l: resolved_frame(
+        lambda l: frame(
             captured(l, PY_FRAME, 3),
             F.regexp_extract(l, PY_FRAME, 1),
             captured_int(l, PY_FRAME, 2),
-            None,
-            root,
         ),
     )
 
@@ -361,7 +373,7 @@ def pytest_lines(text: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def python_tracebacks(text: Column, root: Column) -> Column:
+def python_tracebacks(text: Column) -> Column:
     """Kept traceback blocks: those with a frame or an error line, in order."""
 
     def read(block: Column) -> Column:
@@ -369,7 +381,7 @@ def python_tracebacks(text: Column, root: Column) -> Column:
             lines_of(block),
             lambda ls: F.struct(
                 F.try_element_at(_python_error_lines(ls), F.lit(-1)).alias("error"),
-                _python_frames(ls, root).alias("frames"),
+                _python_frames(ls).alias("frames"),
                 F.concat(F.lit(PY_MARK), block).alias("raw"),
             ),
         )
@@ -380,7 +392,7 @@ def python_tracebacks(text: Column, root: Column) -> Column:
     return F.filter(found, lambda b: b["error"].isNotNull() | (F.size(b["frames"]) > 0))
 
 
-def python_traced(text: Column, lines: Column, root: Column) -> Column:
+def python_traced(text: Column, lines: Column) -> Column:
     def pair(kept: Column, tests: Column) -> Column:
         # The k-th kept traceback belongs to the k-th FAILED line.
         return F.transform(
@@ -396,11 +408,11 @@ def python_traced(text: Column, lines: Column, root: Column) -> Column:
         )
 
     return let(
-        pytest_lines(text), lambda tests: pair(python_tracebacks(text, root), tests)
+        pytest_lines(text), lambda tests: pair(python_tracebacks(text), tests)
     )
 
 
-def _python_alone(text: Column, lines: Column, root: Column) -> Column:
+def _python_alone(text: Column, lines: Column) -> Column:
     pip = F.array(failure(F.regexp_extract(text, PY_PIP, 1), F.lit("PipError"), no_frames()))
     first = F.slice(positions(lines, lambda l: trimmed(l).rlike(PY_ERROR)), 1, 1)
     alone = F.transform(
@@ -409,7 +421,7 @@ def _python_alone(text: Column, lines: Column, root: Column) -> Column:
             F.regexp_extract(trimmed(F.get(lines, at)), PY_ERROR, 2),
             F.regexp_extract(trimmed(F.get(lines, at)), PY_ERROR, 1),
             _python_frames(
-                F.slice(lines, F.greatest(at - 3, F.lit(0)) + 1, F.least(at, F.lit(3))), root
+                F.slice(lines, F.greatest(at - 3, F.lit(0)) + 1, F.least(at, F.lit(3)))
             ),
         ),
     )
@@ -427,17 +439,17 @@ def _python_alone(text: Column, lines: Column, root: Column) -> Column:
     return F.when(gated(text, "ERROR:", PY_PIP), pip).otherwise(F.concat(alone, failed))
 
 
-def python_standalone(text: Column, lines: Column, root: Column) -> Column:
+def python_standalone(text: Column, lines: Column) -> Column:
     """Installer errors, single error lines and FAILED lines of runs without a traceback."""
-    return F.when(F.size(python_tracebacks(text, root)) > 0, no_failures()).otherwise(
-        _python_alone(text, lines, root)
+    return F.when(F.size(python_tracebacks(text)) > 0, no_failures()).otherwise(
+        _python_alone(text, lines)
     )
 
 
-def python_failures(text: Column, lines: Column, root: Column) -> Column:
+def python_failures(text: Column, lines: Column) -> Column:
     return let(
-        python_traced(text, lines, root),
-        lambda t: F.when(F.size(t) > 0, t).otherwise(_python_alone(text, lines, root)),
+        python_traced(text, lines),
+        lambda t: F.when(F.size(t) > 0, t).otherwise(_python_alone(text, lines)),
     )
 
 
@@ -452,7 +464,7 @@ def java_is_head(line: Column) -> Column:
     )
 
 
-def java_compile_failures(lines: Column, root: Column) -> Column:
+def java_compile_failures(lines: Column) -> Column:
     hits = F.filter(lines, lambda l: has(l, ".java:") & (l.rlike(JAVAC) | l.rlike(MAVEN)))
 
     def build(l: Column) -> Column:
@@ -466,12 +478,11 @@ def java_compile_failures(lines: Column, root: Column) -> Column:
             pick(F.regexp_extract(l, JAVAC, 3), F.regexp_extract(l, MAVEN, 4)),
             F.lit("CompilerError"),
             F.array(
-                resolved_frame(
+                frame(
                     _null(),
                     file,
                     pick(captured_int(l, JAVAC, 2), captured_int(l, MAVEN, 2)),
                     pick(F.lit(None).cast("int"), captured_int(l, MAVEN, 3)),
-                    root,
                 )
             ),
             l,
@@ -480,7 +491,7 @@ def java_compile_failures(lines: Column, root: Column) -> Column:
     return F.transform(hits, build)
 
 
-def java_exception_failures(lines: Column, root: Column) -> Column:
+def java_exception_failures(lines: Column) -> Column:
     def build(b: Column) -> Column:
         stack = F.filter(b["body"], lambda l: gated(l, ".java:", JAVA_FRAME))
         return let(
@@ -490,12 +501,10 @@ def java_exception_failures(lines: Column, root: Column) -> Column:
                 F.regexp_extract(b["head"], JAVA_HEAD, 1),
                 F.transform(
                     s,
-                    lambda l: resolved_frame(
+                    lambda l: frame(
                         F.regexp_extract(l, JAVA_FRAME, 1),
                         F.regexp_extract(l, JAVA_FRAME, 2),
                         captured_int(l, JAVA_FRAME, 3),
-                        None,
-                        root,
                     ),
                 ),
                 F.array_join(F.concat(F.array(b["head"]), s), "\n"),
@@ -505,29 +514,28 @@ def java_exception_failures(lines: Column, root: Column) -> Column:
     return F.transform(blocks_by(lines, java_is_head), build)
 
 
-def java_failures(text: Column, lines: Column, root: Column) -> Column:
+def java_failures(text: Column, lines: Column) -> Column:
     return let(
-        java_compile_failures(lines, root),
-        lambda c: F.when(F.size(c) > 0, c).otherwise(java_exception_failures(lines, root)),
+        java_compile_failures(lines),
+        lambda c: F.when(F.size(c) > 0, c).otherwise(java_exception_failures(lines)),
     )
 
 
 # ── go ───────────────────────────────────────────────────────────────────────────────────
 
 
-def go_compile_failures(lines: Column, root: Column) -> Column:
+def go_compile_failures(lines: Column) -> Column:
     return F.transform(
         F.filter(lines, lambda l: gated(l, ".go:", GO_COMPILE)),
         lambda l: failure(
             F.regexp_extract(l, GO_COMPILE, 4),
             F.lit("CompilerError"),
             F.array(
-                resolved_frame(
+                frame(
                     _null(),
                     F.regexp_extract(l, GO_COMPILE, 1),
                     captured_int(l, GO_COMPILE, 2),
                     captured_int(l, GO_COMPILE, 3),
-                    root,
                 )
             ),
             l,
@@ -535,7 +543,7 @@ def go_compile_failures(lines: Column, root: Column) -> Column:
     )
 
 
-def go_panic_failures(text: Column, lines: Column, root: Column) -> Column:
+def go_panic_failures(text: Column, lines: Column) -> Column:
     marks = F.filter(lines, lambda l: l.rlike(GO_FUNC) | l.rlike(GO_FRAME))
 
     def stack(m: Column) -> Column:
@@ -546,12 +554,10 @@ def go_panic_failures(text: Column, lines: Column, root: Column) -> Column:
         )
         return F.transform(
             F.filter(paired, lambda p: p["text"].rlike(GO_FRAME)),
-            lambda p: resolved_frame(
+            lambda p: frame(
                 captured(p["before"], GO_FUNC),
                 F.regexp_extract(p["text"], GO_FRAME, 1),
                 captured_int(p["text"], GO_FRAME, 2),
-                None,
-                root,
             ),
         )
 
@@ -561,7 +567,7 @@ def go_panic_failures(text: Column, lines: Column, root: Column) -> Column:
     ).otherwise(no_failures())
 
 
-def go_test_failures(text: Column, lines: Column, root: Column) -> Column:
+def go_test_failures(text: Column, lines: Column) -> Column:
     names = F.regexp_extract_all(text, F.lit(GO_TEST), F.lit(1))
     marks = positions(lines, lambda l: has(l, "--- FAIL: "))
 
@@ -582,12 +588,10 @@ def go_test_failures(text: Column, lines: Column, root: Column) -> Column:
                 F.lit("TestFailure"),
                 F.transform(
                     d,
-                    lambda l: resolved_frame(
+                    lambda l: frame(
                         name,
                         F.regexp_extract(l, GO_DETAIL, 1),
                         captured_int(l, GO_DETAIL, 2),
-                        None,
-                        root,
                     ),
                 ),
                 None,
@@ -606,14 +610,14 @@ def go_test_failures(text: Column, lines: Column, root: Column) -> Column:
     return let(marks, per_test)
 
 
-def go_failures(text: Column, lines: Column, root: Column) -> Column:
+def go_failures(text: Column, lines: Column) -> Column:
     return let(
-        go_compile_failures(lines, root),
+        go_compile_failures(lines),
         lambda c: F.when(F.size(c) > 0, c).otherwise(
             let(
-                go_panic_failures(text, lines, root),
+                go_panic_failures(text, lines),
                 lambda p: F.when(F.size(p) > 0, p).otherwise(
-                    go_test_failures(text, lines, root)
+                    go_test_failures(text, lines)
                 ),
             )
         ),
@@ -623,7 +627,7 @@ def go_failures(text: Column, lines: Column, root: Column) -> Column:
 # ── rust ─────────────────────────────────────────────────────────────────────────────────
 
 
-def rust_compile_failures(lines: Column, root: Column) -> Column:
+def rust_compile_failures(lines: Column) -> Column:
     heads = positions(lines, lambda l: gated(l, "error", r"^\s*error") & trimmed(l).rlike(RUST_ERROR))
 
     def build(at: Column) -> Column:
@@ -635,12 +639,11 @@ def rust_compile_failures(lines: Column, root: Column) -> Column:
         place = F.filter(
             F.transform(
                 F.array(arrow),
-                lambda a: resolved_frame(
+                lambda a: frame(
                     _null(),
                     F.regexp_extract(a, RUST_ARROW, 1),
                     captured_int(a, RUST_ARROW, 2),
                     captured_int(a, RUST_ARROW, 3),
-                    root,
                 ),
             ),
             lambda f: f["line"].isNotNull() & (f["line"] != 0),
@@ -658,7 +661,7 @@ def rust_compile_failures(lines: Column, root: Column) -> Column:
     return F.transform(heads, build)
 
 
-def rust_panic_failures(text: Column, lines: Column, root: Column) -> Column:
+def rust_panic_failures(text: Column, lines: Column) -> Column:
     thread = F.regexp_extract(text, RUST_PANIC, 1)
     said = captured(text, RUST_PANIC, 2)
     file = F.regexp_extract(text, RUST_PANIC, 3)
@@ -671,12 +674,11 @@ def rust_panic_failures(text: Column, lines: Column, root: Column) -> Column:
         F.coalesce(message, F.concat(F.lit("panic in thread '"), thread, F.lit("'"))),
         F.lit("panic"),
         F.array(
-            resolved_frame(
+            frame(
                 F.nullif(thread, F.lit("main")),
                 file,
                 captured_int(text, RUST_PANIC, 4),
                 captured_int(text, RUST_PANIC, 5),
-                root,
             )
         ),
         None,
@@ -685,10 +687,10 @@ def rust_panic_failures(text: Column, lines: Column, root: Column) -> Column:
     return F.when(gated(text, "panicked at", RUST_PANIC), F.array(one)).otherwise(no_failures())
 
 
-def rust_failures(text: Column, lines: Column, root: Column) -> Column:
+def rust_failures(text: Column, lines: Column) -> Column:
     return let(
-        rust_compile_failures(lines, root),
-        lambda c: F.when(F.size(c) > 0, c).otherwise(rust_panic_failures(text, lines, root)),
+        rust_compile_failures(lines),
+        lambda c: F.when(F.size(c) > 0, c).otherwise(rust_panic_failures(text, lines)),
     )
 
 
@@ -760,7 +762,7 @@ def error_of(lines: Column) -> Column:
     return let(clean, read)
 
 
-def frames_of(lines: Column, root: Column) -> Column:
+def frames_of(lines: Column) -> Column:
     """Frames of the three generic shapes; the first shape that fits a line wins."""
     shapes = [(STACK_FRAME, 1, "at"), (ARROW_FRAME, 1, "❯"), (FILE_NOTE, 0, "File:")]
     hits = F.filter(
@@ -779,7 +781,6 @@ def frames_of(lines: Column, root: Column) -> Column:
                 file,
                 captured_int(l, pattern, 2 + shift),
                 captured_int(l, pattern, 3 + shift),
-                is_project_file(file, root),
             )
             test = l.rlike(pattern)
             chosen = F.when(test, built) if chosen is None else chosen.when(test, built)
@@ -788,7 +789,7 @@ def frames_of(lines: Column, root: Column) -> Column:
     return F.transform(hits, read)
 
 
-def generic_failures(text: Column, lines: Column, root: Column) -> Column:
+def generic_failures(text: Column, lines: Column) -> Column:
     def build(block: Column) -> Column:
         return let(
             lines_of(block),
@@ -797,7 +798,7 @@ def generic_failures(text: Column, lines: Column, root: Column) -> Column:
                 lambda e: failure(
                     e["error_message"],
                     e["error_type"],
-                    frames_of(ls, root),
+                    frames_of(ls),
                     block,
                     captured(block, TEST_NAME),
                     captured(block, TEST_FILE),

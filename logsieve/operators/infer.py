@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsieve.functions.text import has, let
+from logsieve.functions.text import has, let, reusable
 from logsieve.operators.rules import (
     CATEGORIES,
     CONFIDENCE,
@@ -28,6 +28,8 @@ from logsieve.operators.rules import (
 )
 
 NO_FILE = "the source file"
+# The rule whose evidence lists project frames.
+FRAMES_RULE = next(r.rank for r in RULES if r.evidence == "frames")
 # Words the raw-output patterns cannot match without; looked for before the regex runs.
 RAW_GATES = {
     next(p for alt in r.test for f, p in alt if f == "raw"): gate
@@ -294,55 +296,68 @@ def _evidence(kind: str, v: dict) -> Column:
     return F.array(v["m"])
 
 
-def explain(
-    ranked: DataFrame,
-    extra_rules: list[Rule] | None = None,
-) -> DataFrame:
-    """Texts of the surviving hypotheses only (at most five per run).
-
-    ``ranked`` carries ``error_message``, ``test_name``, ``p_file``, ``p_line`` (first project
-    frame) and ``p_frames`` (up to five project frames as text).
-    """
-    line = F.col("p_line")
+def cause_texts(
+    rank: Column, v: Column, extra_rules: list[Rule] | None = None
+) -> tuple[Column, Column, Column]:
+    """explanation, evidence and suggested_fix of a rule for the failure facts in ``v``."""
+    line = v["p_line"]
     values = {
-        "m": F.col("error_message"),
-        "loc": location_text(F.col("p_file"), line),
-        "file": F.coalesce("p_file", F.lit(NO_FILE)),
-        "test": F.coalesce("test_name", F.lit("unknown")),
-        "frames": F.col("p_frames"),
+        "m": v["error_message"],
+        "loc": location_text(v["p_file"], line),
+        "file": F.coalesce(v["p_file"], F.lit(NO_FILE)),
+        "test": F.coalesce(v["test_name"], F.lit("unknown")),
+        "frames": v["p_frames"],
     }
     templated = dict(values, line=line.cast("string"))
     rules = [*_rules(extra_rules), UNKNOWN]
 
-    def per_rule(build) -> Column:
+    def per_rule(text_of) -> Column:
         chosen = None
         for r in rules:
-            test = F.col("rule_rank") == r.rank
-            built = build(r)
+            built = _text(text_of(r), templated)
+            test = rank == r.rank
             chosen = F.when(test, built) if chosen is None else chosen.when(test, built)
         return chosen
 
-    def text_of(text: Text) -> Column:
-        return _text(text, dict(templated, line=line.cast("string")))
-
-    kinds = {r.evidence for r in rules} - {"m"}
     evidence = None
-    for kind in sorted(kinds):
-        ranks = [r.rank for r in rules if r.evidence == kind]
+    for kind in sorted({r.evidence for r in rules} - {"m"}):
+        test = rank.isin([r.rank for r in rules if r.evidence == kind])
         built = _evidence(kind, values)
-        test = F.col("rule_rank").isin(ranks)
         evidence = F.when(test, built) if evidence is None else evidence.when(test, built)
-
-    return ranked.select(
-        "run_id",
-        "hyp_idx",
-        "category",
-        "confidence",
-        per_rule(lambda r: text_of(r.explain)).alias("explanation"),
+    return (
+        per_rule(lambda r: r.explain).alias("explanation"),
         evidence.otherwise(_evidence("m", values)).alias("evidence"),
-        per_rule(lambda r: text_of(r.fix)).alias("suggested_fix"),
-        "failure_idx",
-        "rule_rank",
+        per_rule(lambda r: r.fix).alias("suggested_fix"),
+    )
+
+
+FACTS = ["error_message", "test_name", "p_file", "p_line", "p_frames"]
+
+
+@reusable
+def _explained() -> Column:
+    # A lambda keeps the many branches out of generated code, where they exceed a method.
+    return let(
+        F.struct("rule_rank", *FACTS), lambda v: F.struct(*cause_texts(v["rule_rank"], v))
+    )
+
+
+def explain(ranked: DataFrame, extra_rules: list[Rule] | None = None) -> DataFrame:
+    """Texts of the surviving hypotheses only (at most five per run).
+
+    ``ranked`` carries ``error_message``, ``test_name``, ``p_file``, ``p_line`` (first project
+    frame) and ``p_frames`` (up to five project frames as text).
+    """
+    texts = (
+        let(
+            F.struct("rule_rank", *FACTS),
+            lambda v: F.struct(*cause_texts(v["rule_rank"], v, extra_rules)),
+        )
+        if extra_rules
+        else _explained()
+    )
+    return ranked.withColumn("x", texts).select(
+        "run_id", "hyp_idx", "category", "confidence", "x.*", "failure_idx", "rule_rank"
     )
 
 

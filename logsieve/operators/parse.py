@@ -13,6 +13,7 @@ from logsieve.functions.text import (
     let,
     lines_of,
     resolve_path,
+    reusable,
 )
 from logsieve.functions.text import is_project_file as owned_by
 from logsieve.operators import extract as X
@@ -20,8 +21,9 @@ from logsieve.operators.detect import format_of
 from logsieve.operators.infer import (
     SYNTAX_RAW,
     UNHANDLED_RAW,
+    FRAMES_RULE,
+    cause_texts,
     confidence_name,
-    explain,
     first_project_frame,
     project_frame_texts,
     ranked_causes,
@@ -50,22 +52,34 @@ def parse_runs(runs: DataFrame, dispatch: bool = True) -> DataFrame:
     return parse_texts(texts, dispatch)
 
 
-def parse_texts(texts: DataFrame, dispatch: bool = True) -> DataFrame:
-    prepared = texts.select(
-        "*",
-        lines_of(F.col("text")).alias("lines"),
-        *text_hints(F.col("text")),
-    )
-    args = (F.col("text"), F.col("lines"), F.col("project_root"))
+KEEPS_PATHS = ["eslint"]
+
+
+@reusable
+def _failures(dispatch: bool) -> Column:
+    """Failures of a row with the columns text, lines, project_root and format."""
+    args = (F.col("text"), F.col("lines"))
     found = X.generic_failures(*args)
-    if dispatch:
-        chosen = None
-        for name, extractor in X.EXTRACTORS.items():
-            test = F.col("format") == name
-            built = extractor(*args)
-            chosen = F.when(test, built) if chosen is None else chosen.when(test, built)
-        found = chosen.otherwise(found)
-    return prepared.withColumn("failures", found).drop("lines")
+    if not dispatch:
+        return X.finished(found, F.col("project_root"), F.lit(True))
+    chosen = None
+    for name, extractor in X.EXTRACTORS.items():
+        test = F.col("format") == name
+        built = extractor(*args)
+        chosen = F.when(test, built) if chosen is None else chosen.when(test, built)
+    resolves = [name for name in X.EXTRACTORS if name not in KEEPS_PATHS]
+    return X.finished(
+        chosen.otherwise(found), F.col("project_root"), ~F.col("format").isin(resolves)
+    )
+
+
+def _prepared(texts: DataFrame) -> DataFrame:
+    text = F.col("text")
+    return texts.select("*", lines_of(text).alias("lines"), *text_hints(text))
+
+
+def parse_texts(texts: DataFrame, dispatch: bool = True) -> DataFrame:
+    return _prepared(texts).withColumn("failures", _failures(dispatch)).drop("lines")
 
 
 def parse_with(texts: DataFrame, fmt: str, extractor) -> DataFrame:
@@ -74,12 +88,13 @@ def parse_with(texts: DataFrame, fmt: str, extractor) -> DataFrame:
     Other texts get an empty list instead of being filtered out: a filter on the computed
     format would be pushed below the text and repeat its expression per pattern.
     """
-    prepared = texts.select(
-        "*", lines_of(F.col("text")).alias("lines"), *text_hints(F.col("text"))
+    found = X.finished(
+        extractor(F.col("text"), F.col("lines")),
+        F.col("project_root"),
+        F.lit(fmt in KEEPS_PATHS or fmt not in X.EXTRACTORS),
     )
-    found = extractor(F.col("text"), F.col("lines"), F.col("project_root"))
-    mine = F.when(F.col("format") == fmt, found).otherwise(X.no_failures())
-    return prepared.withColumn("failures", mine).drop("lines")
+    mine = F.when(F.col("format") == fmt, found)
+    return _prepared(texts).withColumn("failures", mine).drop("lines")
 
 
 def texts_of_format(texts: DataFrame, fmt: str) -> DataFrame:
@@ -141,47 +156,74 @@ def normalise_frames(frames: DataFrame) -> DataFrame:
     )
 
 
-def hypotheses_of(parsed: DataFrame, extra_rules: list[Rule] | None = None) -> DataFrame:
-    """parsed runs -> hypotheses; no shuffle, texts built for the survivors only."""
+@reusable
+def _top() -> Column:
+    return ranked_causes(F.col("failures"), F.col("text_syntax"), F.col("text_unhandled"))
+
+
+def with_causes(parsed: DataFrame, extra_rules: list[Rule] | None = None) -> DataFrame:
+    """parsed runs -> + ``top``, the ranked causes of each run; narrow."""
+    if not extra_rules:
+        return parsed.withColumn("top", _top())
     top = ranked_causes(
         F.col("failures"), F.col("text_syntax"), F.col("text_unhandled"), extra_rules
     )
-    return explain_top(parsed.select("run_id", "failures", top.alias("top")), extra_rules)
-
-
-def cause_payload(failures: Column, cause: Column) -> Column:
-    """The few fields of a cause's failure that its texts need."""
-    return let(
-        F.get(failures, cause["failure_idx"]),
-        lambda f: F.struct(
-            cause["order"].alias("order"),
-            cause["failure_idx"].alias("failure_idx"),
-            cause["rule_rank"].alias("rule_rank"),
-            cause["category"].alias("category"),
-            f["error_message"].alias("error_message"),
-            f["test_name"].alias("test_name"),
-            first_project_frame(f["frames"])["file"].alias("p_file"),
-            first_project_frame(f["frames"])["line"].alias("p_line"),
-            F.when(cause["rule_rank"] == 10, project_frame_texts(f["frames"]))
-            .otherwise(F.array().cast("array<string>"))
-            .alias("p_frames"),
-        ),
-    )
+    return parsed.withColumn("top", top)
 
 
-def explain_top(rows: DataFrame, extra_rules: list[Rule] | None = None, k: int | None = None) -> DataFrame:
+def hypotheses_of(parsed: DataFrame, extra_rules: list[Rule] | None = None) -> DataFrame:
+    """parsed runs -> hypotheses; no shuffle, texts built for the survivors only."""
+    return explain_top(with_causes(parsed, extra_rules), extra_rules)
+
+
+def _explained(extra_rules: list[Rule] | None) -> Column:
+    """The causes in ``chosen`` with their texts, one rule's branch evaluated per cause."""
+
+    def texts(c: Column) -> Column:
+        def of_failure(f: Column) -> Column:
+            first = first_project_frame(f["frames"])
+            return let(
+                F.struct(
+                    f["error_message"].alias("error_message"),
+                    f["test_name"].alias("test_name"),
+                    first["file"].alias("p_file"),
+                    first["line"].alias("p_line"),
+                    F.when(c["rule_rank"] == FRAMES_RULE, project_frame_texts(f["frames"]))
+                    .otherwise(F.array().cast("array<string>"))
+                    .alias("p_frames"),
+                ),
+                lambda v: F.struct(
+                    c["category"].alias("category"),
+                    confidence_name(-c["order"]).alias("confidence"),
+                    *cause_texts(c["rule_rank"], v, extra_rules),
+                    c["failure_idx"].alias("failure_idx"),
+                    c["rule_rank"].alias("rule_rank"),
+                ),
+            )
+
+        return let(F.get("failures", c["failure_idx"]), of_failure)
+
+    return F.transform("chosen", texts)
+
+
+@reusable
+def explained_by_rules() -> Column:
+    """Texts of the causes in the columns ``chosen`` and ``failures``."""
+    return _explained(None)
+
+
+def explain_top(
+    rows: DataFrame, extra_rules: list[Rule] | None = None, k: int | None = None
+) -> DataFrame:
+    """(run_id, failures, top) -> hypotheses, of the first ``k`` causes if given."""
     top = F.col("top") if k is None else F.slice("top", 1, k)
-    small = rows.select(
-        "run_id",
-        F.transform(top, lambda c: cause_payload(F.col("failures"), c)).alias("top"),
+    texts = _explained(extra_rules) if extra_rules else explained_by_rules()
+    shown = rows.select("run_id", "failures", top.alias("chosen")).select(
+        "run_id", texts.alias("causes")
     )
-    ranked = each(small, "top", "at", "c", "run_id").select(
-        "run_id",
-        (F.col("at") + 1).alias("hyp_idx"),
-        confidence_name(-F.col("c.order")).alias("confidence"),
-        "c.*",
+    return each(shown, "causes", "at", "c", "run_id").select(
+        "run_id", (F.col("at") + 1).alias("hyp_idx"), "c.*"
     )
-    return explain(ranked, extra_rules)
 
 
 # ── single steps as table jobs ───────────────────────────────────────────────────────────
@@ -295,9 +337,14 @@ def extract_test_info(blocks: DataFrame) -> DataFrame:
 
 def extract_frames(blocks: DataFrame) -> DataFrame:
     """blocks (with project_root) -> frames."""
-    found = X.frames_of(lines_of(F.col("block")), F.col("project_root"))
-    return each(blocks, found, "frame_idx", "s", "run_id", "failure_idx").select(
-        "run_id", "failure_idx", "frame_idx", "s.*"
+    found = X.frames_of(lines_of(F.col("block")))
+    keep = ("run_id", "failure_idx", "project_root")
+    return each(blocks, found, "frame_idx", "s", *keep).select(
+        "run_id",
+        "failure_idx",
+        "frame_idx",
+        "s.*",
+        owned_by(F.col("s.file"), F.col("project_root")).alias("is_project_file"),
     )
 
 
@@ -305,7 +352,7 @@ def pair_pytest(texts: DataFrame) -> DataFrame:
     """Kept tracebacks with the FAILED line of the same position; both sides stay in the row."""
     text = F.col("text")
     tests = texts.select("*", X.pytest_lines(text).alias("tests"))
-    kept = X.python_tracebacks(text, F.col("project_root"))
+    kept = X.python_tracebacks(text)
     return (
         each(tests, kept, "k", "b", "run_id", "tests")
         .withColumn("mark", F.get("tests", F.col("k")))

@@ -144,15 +144,15 @@ def python_standalone(spark, sf_dir):
 
 @query
 def extract_java_compile(spark, sf_dir):
-    return only(spark, sf_dir, "java", lambda t, ls, root: X.java_compile_failures(ls, root))
+    return only(spark, sf_dir, "java", lambda t, ls: X.java_compile_failures(ls))
 
 
 @query
 def extract_java_exceptions(spark, sf_dir):
-    def traces(text, lines, root):
-        return F.when(F.size(X.java_compile_failures(lines, root)) > 0, X.no_failures()).otherwise(
-            X.java_exception_failures(lines, root)
-        )
+    def traces(text, lines):
+        return F.when(
+            F.size(X.java_compile_failures(lines)) > 0, X.no_failures()
+        ).otherwise(X.java_exception_failures(lines))
 
     return only(spark, sf_dir, "java", traces)
 
@@ -169,14 +169,14 @@ def java_root_causes(spark, sf_dir):
 
 @query
 def extract_go_compile(spark, sf_dir):
-    return only(spark, sf_dir, "go", lambda t, ls, root: X.go_compile_failures(ls, root))
+    return only(spark, sf_dir, "go", lambda t, ls: X.go_compile_failures(ls))
 
 
 @query
 def extract_go_panic(spark, sf_dir):
-    def panics(text, lines, root):
-        return F.when(F.size(X.go_compile_failures(lines, root)) > 0, X.no_failures()).otherwise(
-            X.go_panic_failures(text, lines, root)
+    def panics(text, lines):
+        return F.when(F.size(X.go_compile_failures(lines)) > 0, X.no_failures()).otherwise(
+            X.go_panic_failures(text, lines)
         )
 
     return only(spark, sf_dir, "go", panics)
@@ -184,12 +184,12 @@ def extract_go_panic(spark, sf_dir):
 
 @query
 def extract_go_tests(spark, sf_dir):
-    def tests(text, lines, root):
+    def tests(text, lines):
         earlier = F.concat(
-            X.go_compile_failures(lines, root), X.go_panic_failures(text, lines, root)
+            X.go_compile_failures(lines), X.go_panic_failures(text, lines)
         )
         return F.when(F.size(earlier) > 0, X.no_failures()).otherwise(
-            X.go_test_failures(text, lines, root)
+            X.go_test_failures(text, lines)
         )
 
     return only(spark, sf_dir, "go", tests)
@@ -197,14 +197,14 @@ def extract_go_tests(spark, sf_dir):
 
 @query
 def extract_rust_compile(spark, sf_dir):
-    return only(spark, sf_dir, "rust", lambda t, ls, root: X.rust_compile_failures(ls, root))
+    return only(spark, sf_dir, "rust", lambda t, ls: X.rust_compile_failures(ls))
 
 
 @query
 def extract_rust_panic(spark, sf_dir):
-    def panics(text, lines, root):
-        return F.when(F.size(X.rust_compile_failures(lines, root)) > 0, X.no_failures()).otherwise(
-            X.rust_panic_failures(text, lines, root)
+    def panics(text, lines):
+        return F.when(F.size(X.rust_compile_failures(lines)) > 0, X.no_failures()).otherwise(
+            X.rust_panic_failures(text, lines)
         )
 
     return only(spark, sf_dir, "rust", panics)

@@ -26,6 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events spread over the cores: the driver keeps them in one small file, one row group.
+
+    The rows move before the log texts are built from them. Real run outputs come in many files.
+    """
+    return table(spark, sf_dir, "events").repartition(spark.sparkContext.defaultParallelism)
+
+
 def _numbered(spark: SparkSession, texts: list[str], name: str) -> DataFrame:
     """A fixed list (about a hundred rows) as a table; small enough to broadcast by design."""
     rows = list(enumerate(texts))
@@ -43,7 +51,7 @@ def _project(key: Column) -> Column:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+    events = events_table(spark, sf_dir)
     bodies = _numbered(spark, [t for _, t in TEMPLATES], "body")
     commands = _numbered(spark, [c for c, _ in TEMPLATES], "command")
     pick = (F.col("event_id") % len(TEMPLATES)).cast("int")
