@@ -172,13 +172,18 @@ def _fields_of(failures: DataFrame) -> dict:
     return {"m": F.col("error_message"), "t": F.coalesce("error_type", F.lit("")), "raw": raw}
 
 
-def match_rules(failures: DataFrame, extra_rules: list[Rule] | None = None) -> DataFrame:
+def match_rules(
+    failures: DataFrame,
+    extra_rules: list[Rule] | None = None,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
     """Every rule against every failure; one output row per match."""
     matched = rule_matches(_fields_of(failures), _rules(extra_rules))
     return failures.select(
-        "run_id", "failure_idx", "error_message", F.explode(matched).alias("r")
+        "run_id", "failure_idx", "error_message", *keep, F.explode(matched).alias("r")
     ).select(
         "run_id",
+        *keep,
         "failure_idx",
         F.col("r.rank").alias("rule_rank"),
         F.col("r.category").alias("category"),

@@ -34,21 +34,21 @@ from logsieve.operators.rules import Rule
 from logsieve.sources.runs import combined, without_ansi
 
 
-def run_texts(runs: DataFrame, strip: bool) -> DataFrame:
+def run_texts(runs: DataFrame, strip: bool, keep: tuple[str, ...] = ()) -> DataFrame:
     text = combined(F.col("stdout"), F.col("stderr"))
     return runs.select(
-        "run_id", "project_root", (without_ansi(text) if strip else text).alias("text")
+        "run_id", "project_root", *keep, (without_ansi(text) if strip else text).alias("text")
     )
 
 
-def parse_runs(runs: DataFrame, dispatch: bool = True) -> DataFrame:
+def parse_runs(runs: DataFrame, dispatch: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per run: run_id, project_root, format, text, text hints and ``failures``.
 
     With ``dispatch`` the text goes to the extractor of its format, as for supplied output;
     without it every run takes the generic extractor on colour-free text, as for a command
     that was run. The formats share one scan: a CASE picks the extractor per row.
     """
-    texts = run_texts(runs, strip=not dispatch).withColumn("format", format_of(F.col("text")))
+    texts = run_texts(runs, not dispatch, keep).withColumn("format", format_of(F.col("text")))
     return parse_texts(texts, dispatch)
 
 
@@ -103,7 +103,9 @@ def texts_of_format(texts: DataFrame, fmt: str) -> DataFrame:
     return marked.withColumn("text", F.when(F.col("format") == fmt, F.col("text")))
 
 
-def failures_of(parsed: DataFrame, keep_raw: bool = True) -> DataFrame:
+def failures_of(
+    parsed: DataFrame, keep_raw: bool = True, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """parsed runs -> failures(run_id, failure_idx, test_name, …, raw_output) plus hint columns.
 
     A failure that stands for the whole text gets it back here, and only if a later step
@@ -111,12 +113,13 @@ def failures_of(parsed: DataFrame, keep_raw: bool = True) -> DataFrame:
     """
     rows = each(
         parsed, "failures", "failure_idx", "f",
-        "run_id", "project_root", "text", "text_syntax", "text_unhandled",
+        "run_id", "project_root", "text", "text_syntax", "text_unhandled", *keep,
     )
     block = F.col("f.raw_block")
     columns = [
         "run_id",
         "project_root",
+        *keep,
         "failure_idx",
         F.col("f.test_name").alias("test_name"),
         F.col("f.test_file").alias("test_file"),

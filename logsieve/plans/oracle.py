@@ -990,3 +990,23 @@ def _declare_table_part() -> None:
 
 
 _declare_table_part()
+
+
+def _declare_stream_part() -> None:
+    base = [*all_failures(), *matches()]
+    ORACLE["stream_classify"] = statement(
+        base,
+        """SELECT run_id, ts, format, hyp_idx, category, confidence, failure_idx::INTEGER AS failure_idx, rule_rank FROM ranked
+        JOIN (SELECT run_id, ts FROM runs) USING (run_id) JOIN (SELECT run_id, format FROM formats) USING (run_id)""",
+    )
+    ORACLE["dedupe_failures_stream"] = statement(
+        base, f"SELECT DISTINCT run_id, category, substr(error_message, 1, {R.KEY_LENGTH}) AS prefix FROM matches"
+    )
+    ORACLE["category_rate"] = statement(
+        base,
+        """SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS window_end, category, count(*) AS n
+        FROM ranked JOIN (SELECT run_id, ts FROM runs) USING (run_id) GROUP BY ALL""",
+    )
+
+
+_declare_stream_part()

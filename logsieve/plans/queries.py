@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,8 @@ from logsieve.operators.detect import detect_format, format_of
 from logsieve.plans.analysis import analyse_runs, condense_runs
 from logsieve.sources import bridge as B
 from logsieve.sources import runs as S
+from logsieve.sources.sinks import shared_dir, stage
+from logsieve.streaming import jobs as J
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -532,12 +535,15 @@ def condense_command(spark, sf_dir):
 
 
 def parts(spark, sf_dir) -> dict[str, DataFrame]:
-    rows = analysed(spark, sf_dir)
+    """Inputs of the assembled outputs; the analysis is staged because several of them read it."""
+    rows = stage(
+        analysed(spark, sf_dir).select("run_id", "project_root", "format", "failures", "top")
+    )
     changes = B.file_changes(spark, sf_dir)
     return {
         "analysed": rows,
         "hypotheses": P.explain_top(rows),
-        "snippets": snippets(spark, sf_dir),
+        "snippets": C.collect_snippets(C.failure_locations(rows), B.source_lines(spark, sf_dir)),
         "summaries": E.external_summary(B.runs(spark, sf_dir), B.search_results(spark, sf_dir)),
         "repo": A.repo_state(H.latest_commit(changes), H.diff_for_project(changes)),
     }
@@ -545,13 +551,13 @@ def parts(spark, sf_dir) -> dict[str, DataFrame]:
 
 @query
 def assemble_packets(spark, sf_dir):
-    counts = P.extract_test_counts(generic_texts(spark, sf_dir))
+    ready = parts(spark, sf_dir)
     rows = A.assemble_packets(
         B.runs(spark, sf_dir),
-        related=C.related_files(parsed(spark, sf_dir)),
-        counts=counts,
+        related=C.related_files(ready["analysed"]),
+        counts=P.extract_test_counts(generic_texts(spark, sf_dir)),
         steps=B.run_steps(spark, sf_dir),
-        **parts(spark, sf_dir),
+        **ready,
     )
     return rows.select("run_id", "project_root", F.to_json("packet").alias("packet"))
 
@@ -572,3 +578,40 @@ def project_briefs(spark, sf_dir):
     return A.project_briefs(
         B.project_files(spark, sf_dir), H.recent_commits(changes), H.hot_files(changes)
     )
+
+
+# ── streams: the events table read as a file stream, run to its end ──────────────────────
+
+
+def drained(spark, stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there now and read back what it wrote."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    running = J.write_batches(stream, lambda rows: rows, f"{folder}/out", f"{folder}/state", mode)
+    running.awaitTermination()
+    rows = spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    if mode == "complete":
+        # Every batch wrote the whole result; the last one counts.
+        last = running.lastProgress["batchId"] if running.lastProgress else 0
+        rows = spark.read.schema(stream.schema).parquet(f"{folder}/out/batch={last}")
+    return rows.select(stream.columns)
+
+
+def stream_runs(spark, sf_dir):
+    return B.runs_of(spark, B.events_stream(spark, sf_dir))
+
+
+@query
+def stream_classify(spark, sf_dir):
+    return drained(spark, J.stream_classify(stream_runs(spark, sf_dir)))
+
+
+@query
+def dedupe_failures_stream(spark, sf_dir):
+    keys = J.dedupe_failures_stream(J.stream_matches(stream_runs(spark, sf_dir)))
+    return drained(spark, keys.select("run_id", "category", "prefix"))
+
+
+@query
+def category_rate(spark, sf_dir):
+    rates = J.category_rate(J.stream_classify(stream_runs(spark, sf_dir)), "1 day")
+    return drained(spark, rates, "complete")

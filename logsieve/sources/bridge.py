@@ -51,7 +51,21 @@ def _project(key: Column) -> Column:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = events_table(spark, sf_dir)
+    return runs_of(spark, events_table(spark, sf_dir))
+
+
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a file stream."""
+    schema = table(spark, sf_dir, "events").schema
+    return (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf_dir)
+        .repartition(spark.sparkContext.defaultParallelism)
+    )
+
+
+def runs_of(spark: SparkSession, events: DataFrame) -> DataFrame:
     bodies = _numbered(spark, [t for _, t in TEMPLATES], "body")
     commands = _numbered(spark, [c for c, _ in TEMPLATES], "command")
     pick = (F.col("event_id") % len(TEMPLATES)).cast("int")
@@ -83,7 +97,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise("")
             .alias("stderr"),
             F.col("value").alias("duration_ms"),
-            "ts",
+            F.col("ts").cast("timestamp").alias("ts"),
         )
     )
 
