@@ -400,10 +400,34 @@ def infer_root_causes(
 ) -> DataFrame:
     """failures, frames -> hypotheses, for tables that no longer hold the run texts.
 
-    Frames are reduced to one row per surviving failure; they join after the top five.
+    Failures are read once: the message and test name ride along with the matches, and a run's
+    first failure brings an ``unknown`` of the lowest rank, kept only where it comes out first.
+    Frames are reduced to one row per failure and join after the top five.
     """
-    ranked = rank_hypotheses(dedupe_hypotheses(match_rules(failures, extra_rules)))
-    ranked = unknown_fallback(failures, ranked).drop("error_message")
+    unknown = F.struct(
+        F.lit(UNKNOWN.rank).alias("rank"), F.lit(UNKNOWN.category).alias("category"),
+        F.lit(0).alias("conf"),
+    )
+    matched = rule_matches(_fields_of(failures), _rules(extra_rules))
+    tried = F.when(
+        F.col("failure_idx") == 0, F.concat(matched, F.array(unknown))
+    ).otherwise(matched)
+    candidates = failures.select(
+        "run_id", "failure_idx", "error_message", "test_name", F.explode(tried).alias("r")
+    ).select(
+        "run_id", "failure_idx", "error_message", "test_name",
+        F.col("r.rank").alias("rule_rank"), "r.category", "r.conf",
+    )
+    best = Window.partitionBy("run_id").orderBy(
+        F.col("conf").desc(), "failure_idx", "rule_rank"
+    )
+    ranked = (
+        dedupe_hypotheses(candidates)
+        .withColumn("hyp_idx", F.row_number().over(best))
+        .filter(F.col("hyp_idx") <= MAX_HYPOTHESES)
+        .filter((F.col("rule_rank") != UNKNOWN_RANK) | (F.col("hyp_idx") == 1))
+        .withColumn("confidence", confidence_name(F.col("conf")))
+    )
     owned = frames.filter("is_project_file").withColumn(
         "nth",
         F.row_number().over(Window.partitionBy("run_id", "failure_idx").orderBy("frame_idx")),
@@ -420,11 +444,8 @@ def infer_root_causes(
             lambda s: s["text"],
         ).alias("p_frames"),
     )
-    texts = failures.select("run_id", "failure_idx", "error_message", "test_name")
-    joined = (
-        ranked.join(texts, ["run_id", "failure_idx"])
-        .join(places, ["run_id", "failure_idx"], "left")
-        .withColumn("p_frames", F.coalesce("p_frames", F.array().cast("array<string>")))
+    joined = ranked.join(places, ["run_id", "failure_idx"], "left").withColumn(
+        "p_frames", F.coalesce("p_frames", F.array().cast("array<string>"))
     )
     return explain(joined, extra_rules)
 

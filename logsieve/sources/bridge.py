@@ -139,7 +139,7 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six results (two queries of three) per run, taken from the pages table."""
-    asked = table(spark, sf_dir, "events").select(
+    asked = events_table(spark, sf_dir).select(
         F.col("event_id").alias("run_id"),
         "user_id",
         F.explode(F.sequence(F.lit(0), F.lit(5))).alias("j"),
@@ -161,7 +161,8 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         asked.withColumn("page_id", F.col("user_id") + F.col("j") * 8)
-        .join(found, "page_id")
+        # Neither side may be broadcast: both grow with the data.
+        .join(found.hint("merge"), "page_id")
         .select(
             "run_id",
             F.floor(F.col("j") / 3).cast("int").alias("query_idx"),
@@ -217,7 +218,7 @@ def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("event_id", "value")
+    events = events_table(spark, sf_dir).select("event_id", "value")
     state = (F.col("run_id") + F.col("step_idx")) % 7
     return events.select(
         F.col("event_id").alias("run_id"),
@@ -235,7 +236,7 @@ def run_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("event_id", "user_id")
+    events = events_table(spark, sf_dir).select("event_id", "user_id")
     bodies = _numbered(spark, REPLIES, "body")
     return (
         events.withColumn("idx", (F.col("event_id") % len(REPLIES)).cast("int"))
