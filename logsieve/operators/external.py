@@ -61,7 +61,7 @@ def external_summary(
     """(run_id, n_sources, summary, available) for every run.
 
     The line of a result is built before the shuffle, so page contents do not travel. The count
-    is a plain aggregate and the top ``k`` a row-number filter: no group is collected whole.
+    is an aggregate and the top ``k`` a row-number filter: no group is collected whole.
     """
     slim = results.select(
         "run_id",
@@ -71,18 +71,24 @@ def external_summary(
         "score",
         source_line(F.col("title"), F.col("url"), F.col("content")).alias("line"),
     )
-    kept = dedupe_by_domain(slim, min_score)
-    counts = kept.groupBy("run_id").agg(F.count(F.lit(1)).cast("int").alias("n_sources"))
+    # A row per searched run; the distinct count shuffles by run and host before it does by run.
+    host = F.when(F.col("score") >= min_score, extract_domain(F.col("url")))
+    searched = results.groupBy("run_id").agg(
+        F.countDistinct(host).cast("int").alias("n_sources")
+    )
     best = Window.partitionBy("run_id").orderBy(
         F.col("score").desc(), "query_idx", "result_idx"
     )
-    top = kept.withColumn("rk", F.row_number().over(best)).filter(F.col("rk") <= k)
+    top = (
+        dedupe_by_domain(slim, min_score)
+        .withColumn("rk", F.row_number().over(best))
+        .filter(F.col("rk") <= k)
+    )
     listed = top.groupBy("run_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rk", "line"))), lambda s: s["line"]).alias(
             "lines"
         )
     )
-    searched = results.select("run_id").distinct().withColumn("searched", F.lit(True))
     n = F.coalesce("n_sources", F.lit(0))
     head = F.concat(
         F.lit(FOUND[0]), n.cast("string"), F.lit(FOUND[1]), n.cast("string"), F.lit(FOUND[2])
@@ -91,16 +97,15 @@ def external_summary(
     return (
         runs.select("run_id")
         .join(searched, "run_id", "left")
-        .join(counts, "run_id", "left")
         .join(listed, "run_id", "left")
         .select(
             "run_id",
             n.alias("n_sources"),
-            F.when(F.col("searched").isNull(), "")
+            F.when(F.col("n_sources").isNull(), "")
             .when(n == 0, NOTHING_RELEVANT)
             .otherwise(full)
             .alias("summary"),
-            F.coalesce("searched", F.lit(False)).alias("available"),
+            F.col("n_sources").isNotNull().alias("available"),
         )
     )
 

@@ -1010,3 +1010,108 @@ def _declare_stream_part() -> None:
 
 
 _declare_stream_part()
+
+
+# ── prompts and briefs ───────────────────────────────────────────────────────────────────
+
+NL = "chr(10)"
+
+
+def agg(expr: str, order: str, where: str = "") -> str:
+    return f"string_agg({expr}, {NL} ORDER BY {order})" + (f" FILTER (WHERE {where})" if where else "")
+
+
+def prompt_parts() -> list[str]:
+    head = "file || ' (lines ' || start_line || '-' || end_line || ')'"
+    error = "coalesce(nullif(error_type, '') || ': ', '') || error_message"
+    return [
+        *all_failures(), *matches(), *hypotheses(), *locations(), *snippets(), *summaries(), *history(),
+        f"""ft AS (SELECT run_id, {agg(f"concat_ws({NL}, '---' || {NL}, 'ERROR: ' || {error}, CASE WHEN p_line <> 0 THEN 'FILE: ' || p_file || ':' || p_line END, 'TEST: ' || nullif(test_name, ''), '')", 'failure_idx')} AS failed
+          FROM failures LEFT JOIN places USING (run_id, failure_idx) GROUP BY run_id)""",
+        f"""ct AS (SELECT run_id, {agg(f"'[' || upper(confidence) || '] ' || replace(category, '_', ' ') || ': ' || explanation || {NL} || '  SUGGESTED FIX: ' || suggested_fix || {NL}", 'hyp_idx')} AS causes
+          FROM hypotheses GROUP BY run_id)""",
+        f"""st AS (SELECT run_id, {agg(f"'--- ' || {head} || ' ---' || {NL} || '```' || language || {NL} || content || {NL} || '```' || {NL}", 'snippet_idx', 'snippet_idx <= 3')} AS agent_code,
+          string_agg('### ' || {head} || {NL} || '```' || language || {NL} || content || {NL} || '```', {NL} || {NL} ORDER BY snippet_idx) FILTER (WHERE snippet_idx <= 4) AS model_code
+          FROM snips GROUP BY run_id)""",
+        f"""pf AS (SELECT run_id, {agg("coalesce(function, '') || ' ' || file || ':' || coalesce(line::VARCHAR, 'null')", 'frame_idx')} AS stack
+          FROM frames WHERE failure_idx = 0 AND is_project_file GROUP BY run_id)""",
+        f"""ready AS (SELECT r.run_id, r.project_root, failed, causes, agent_code, model_code, stack, CASE WHEN available THEN nullif(summary, '') END AS external, nullif(diff, '') AS diff,
+          {error} AS error, category, confidence, explanation, suggested_fix, p_file, p_line
+          FROM runs r LEFT JOIN ft USING (run_id) LEFT JOIN ct USING (run_id) LEFT JOIN st USING (run_id) LEFT JOIN pf USING (run_id) LEFT JOIN summaries USING (run_id)
+          LEFT JOIN diffs USING (project_root) LEFT JOIN (SELECT run_id, error_type, error_message FROM failures WHERE failure_idx = 0) f USING (run_id)
+          LEFT JOIN (SELECT run_id, category, confidence, explanation, suggested_fix FROM hypotheses WHERE hyp_idx = 1) h USING (run_id)
+          LEFT JOIN (SELECT run_id, p_file, p_line FROM places WHERE failure_idx = 0) p USING (run_id))""",
+    ]
+
+
+def briefs() -> list[str]:
+    js = "json_extract_string"
+    o = "$.compilerOptions"
+    dep = "json_keys(j, '$.dependencies')"
+    scripts = "json_keys(j, '$.scripts')"
+
+    def block(title: str, body: str) -> str:
+        return f"{q(title)} || {NL} || {body} || {NL}"
+
+    options = " || ".join(
+        [
+            f"'- strict: ' || coalesce({js}(t.j, '{o}.strict'), 'false') || {NL}",
+            f"'- target: ' || coalesce({js}(t.j, '{o}.target'), 'unknown') || {NL}",
+            f"'- module: ' || coalesce({js}(t.j, '{o}.module'), 'unknown') || {NL}",
+            f"'- noUncheckedIndexedAccess: ' || coalesce({js}(t.j, '{o}.noUncheckedIndexedAccess'), 'false')",
+            f"coalesce({NL} || '- paths: ' || json_extract(t.j, '{o}.paths')::VARCHAR, '')",
+        ]
+    )
+    framework = "CASE " + " ".join(
+        f"WHEN json_exists(p.j, '$.devDependencies.{f}') THEN '{f}'" for f in ("vitest", "jest", "mocha", "ava")
+    ) + " END"
+    return [
+        *inventory(), *history(),
+        f"bd AS (SELECT project_root, {agg(chr(39) + '- ' + chr(39) + ' || name', 'i', 'i <= 20')} AS deps FROM (SELECT project_root, unnest({dep}) AS name, generate_subscripts({dep}, 1) AS i FROM pkg WHERE json_exists(j, '$.dependencies')) GROUP BY ALL)",
+        f"""bs AS (SELECT project_root, {agg("'- `npm run ' || name || '`: ' || json_extract_string(j, '$.scripts." + chr(34) + "' || name || '" + chr(34) + "')", 'i', 'i <= 10')} AS scr
+          FROM (SELECT project_root, j, unnest({scripts}) AS name, generate_subscripts({scripts}, 1) AS i FROM pkg WHERE json_exists(j, '$.scripts')) GROUP BY project_root)""",
+        f"bt AS (SELECT project_root, {agg('repeat(' + chr(39) + '  ' + chr(39) + ', depth) || name || CASE WHEN is_dir THEN ' + q('/') + ' ELSE ' + q('') + ' END', 'key')} AS structure FROM tree GROUP BY project_root)",
+        f"""be AS (SELECT project_root, {agg("'- ' || split_part(l, '=', 1)", 'i')} AS env FROM (SELECT project_root, {trim('l')} AS l, i FROM
+          (SELECT project_root, unnest(string_split(content, {NL})) AS l, generate_subscripts(string_split(content, {NL}), 1) AS i FROM project_files WHERE path = '.env.example'))
+          WHERE l <> '' AND NOT starts_with(l, '#') AND contains(l, '=') AND NOT starts_with(l, '=') GROUP BY project_root)""",
+        f"bc AS (SELECT project_root, {agg(chr(39) + '- ' + chr(39) + ' || substr(commit_hash, 1, 7) || ' + q(' ') + ' || subject', 'rk', 'rk <= 5')} AS commits FROM numbered GROUP BY project_root)",
+        """bh0 AS (SELECT project_root, path, count(DISTINCT rk) AS changes, min(rk) AS first_rk FROM file_changes JOIN (SELECT project_root, commit_hash, rk FROM numbered WHERE rk <= 30)
+          USING (project_root, commit_hash) GROUP BY ALL)""",
+        f"""bh AS (SELECT project_root, {agg("'- ' || path || ' (' || changes || ' changes)'", 'rk', 'rk <= 5')} AS hot FROM
+          (SELECT *, row_number() OVER (PARTITION BY project_root ORDER BY changes DESC, first_rk, path) AS rk FROM bh0) GROUP BY project_root)""",
+        f"""briefs AS (SELECT r.project_root, concat_ws({NL}, '# Project Context' || {NL}, '## Overview', '- **Name**: ' || coalesce({js}(p.j, '$.name'), 'unknown'),
+          '- **Description**: ' || nullif({js}(p.j, '$.description'), ''), '- **Language**: ' || CASE WHEN t.project_root IS NULL THEN 'JavaScript' ELSE 'TypeScript' END,
+          '- **Module system**: ' || CASE WHEN {js}(p.j, '$.type') = 'module' THEN 'ESM' ELSE 'CommonJS' END,
+          '- **Runtime**: ' || coalesce('Node.js ' || nullif({js}(p.j, '$.engines.node'), ''), 'Node.js'), '- **Test framework**: ' || {framework}, '',
+          {block('## Dependencies', 'deps')}, CASE WHEN json_exists(t.j, '{o}') THEN {block('## TypeScript Configuration', options)} END,
+          {block('## Project Structure', f"'```' || {NL} || structure || {NL} || '```'")}, {block('## Environment Variables', 'env')},
+          CASE WHEN commits IS NOT NULL THEN {block('## Recent Git Activity', f"concat_ws({NL}, {NL} || 'Recent commits:' || {NL} || commits, {NL} || 'Most active files:' || {NL} || hot)")} END,
+          {block('## Available Scripts', 'scr')}) AS text
+          FROM roots r LEFT JOIN pkg p USING (project_root) LEFT JOIN ts t USING (project_root) LEFT JOIN bd USING (project_root) LEFT JOIN bs USING (project_root) LEFT JOIN bt USING (project_root)
+          LEFT JOIN be USING (project_root) LEFT JOIN bc USING (project_root) LEFT JOIN bh USING (project_root))""",
+    ]
+
+
+def _declare_prompt_part() -> None:
+    ORACLE["project_briefs"] = statement(briefs(), "SELECT project_root, text FROM briefs")
+    parts = prompt_parts()
+    ORACLE["agent_prompts"] = statement(
+        parts,
+        f"""SELECT run_id, concat_ws({NL}, 'You are debugging a test failure. Here is the structured analysis:' || {NL}, failed, 'ROOT CAUSE ANALYSIS:' || {NL} || {NL} || causes,
+        'RELEVANT CODE:' || {NL} || {NL} || agent_code, 'EXTERNAL CONTEXT (from web search):' || {NL} || external || {NL},
+        'GIT DIFF (recent changes that may be relevant):' || {NL} || '```diff' || {NL} || diff || {NL} || '```' || {NL}, '---' || {NL},
+        'Please fix this issue. Focus on the root cause analysis above.',
+        'Start with ' || replace(category, '_', ' ') || ' in ' || p_file || CASE WHEN p_line <> 0 THEN ' near line ' || p_line ELSE '' END || '.') AS text FROM ready""",
+    )
+    two = f"{NL} || {NL}"
+    shared = [c for c in briefs() if not c.lstrip().startswith(("file_changes AS", "commits AS", "numbered AS", "diffs AS"))]
+    ORACLE["enhancement_prompts"] = statement(
+        [*parts, *shared],
+        f"""SELECT run_id, concat_ws({two}, nullif(substr(text, 1, 2000), ''), '## Error' || {NL} || error, '## Stack Trace' || {NL} || stack,
+        '## Heuristic Analysis' || {NL} || 'Category: ' || category || ' (' || confidence || ' confidence)' || {NL} || 'Explanation: ' || explanation || {NL} || 'Suggested fix: ' || coalesce(suggested_fix, 'none'),
+        '## Relevant Code' || {NL} || substr(model_code, 1, 3000), '## External Context (web search results)' || {NL} || substr(external, 1, 1500),
+        '## Recent Git Changes' || {NL} || '```diff' || {NL} || substr(diff, 1, 1000) || {NL} || '```') AS text FROM ready LEFT JOIN briefs USING (project_root) WHERE error IS NOT NULL""",
+    )
+
+
+_declare_prompt_part()
