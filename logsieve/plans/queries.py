@@ -549,17 +549,42 @@ def parts(spark, sf_dir) -> dict[str, DataFrame]:
     }
 
 
-@query
-def assemble_packets(spark, sf_dir):
+def packets(spark, sf_dir):
     ready = parts(spark, sf_dir)
-    rows = A.assemble_packets(
+    return A.assemble_packets(
         B.runs(spark, sf_dir),
         related=C.related_files(ready["analysed"]),
         counts=P.extract_test_counts(generic_texts(spark, sf_dir)),
         steps=B.run_steps(spark, sf_dir),
         **ready,
     )
-    return rows.select("run_id", "project_root", F.to_json("packet").alias("packet"))
+
+
+@query
+def assemble_packets(spark, sf_dir):
+    """Packets with their nested parts read back as flat columns."""
+    p = "packet."
+
+    def listed(array: str, field: str) -> Column:
+        return F.array_join(F.transform(F.col(p + array), lambda s: s[field].cast("string")), "|")
+
+    return packets(spark, sf_dir).select(
+        "run_id",
+        "project_root",
+        F.col(p + "version").alias("version"),
+        F.col(p + "test_run.command").alias("command"),
+        F.col(p + "test_run.exit_code").alias("exit_code"),
+        F.col(p + "test_run.total").alias("total"),
+        listed("test_run.failures", "error_message").alias("errors"),
+        listed("root_causes", "category").alias("categories"),
+        listed("local_context.snippets", "start_line").alias("snippet_starts"),
+        F.array_join(p + "local_context.related_files", "|").alias("related_files"),
+        F.col(p + "git_context.last_commit_hash").alias("last_commit_hash"),
+        F.length(p + "git_context.diff").alias("diff_length"),
+        F.col(p + "external_knowledge.search_available").alias("search_available"),
+        F.length(p + "external_knowledge.summary").alias("summary_length"),
+        listed("metadata.analysis_steps", "status").alias("steps"),
+    )
 
 
 @query

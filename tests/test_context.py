@@ -1,7 +1,5 @@
 """Snippets, prompts, packets and sources on small hand-made tables."""
 
-import json
-
 import pytest
 
 from logsieve.operators import assemble as A
@@ -171,13 +169,13 @@ def test_model_prompt(spark, runs_of):
 
 
 def test_packets_are_written_per_project(spark, tmp_path):
-    import __spark_entry__ as entry
+    from logsieve.plans.queries import packets
 
-    rows = entry.queries()["assemble_packets"](spark, "/root/testdata/sf0.001")
+    rows = packets(spark, "/root/testdata/sf0.001")
     sinks.write_packets(rows, str(tmp_path / "packets"))
     back = spark.read.json(str(tmp_path / "packets"))
     assert back.count() == 1000 and back.select("project_root").distinct().count() == 12
-    packet = json.loads(back.filter("run_id = 50").first().packet)
+    packet = back.filter("run_id = 50").first().packet.asDict(recursive=True)
     assert packet["version"] == "1.0.0"
     assert [f["test_file"] for f in packet["test_run"]["failures"]] == [
         "src/math.test.ts", "src/other.spec.ts",
