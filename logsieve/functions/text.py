@@ -67,8 +67,12 @@ def lines_of(text: Column) -> Column:
 
 
 def captured(text: Column, pattern: str, group: int = 1) -> Column:
-    """Captured group, null when the pattern or the group did not match."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    """Captured group, null when the pattern or the group did not match.
+
+    A one-element array holds the match; nullif would run the pattern twice inside a lambda.
+    """
+    found = F.array(F.regexp_extract(text, pattern, group))
+    return F.get(F.filter(found, lambda v: v != ""), F.lit(0))
 
 
 def captured_int(text: Column, pattern: str, group: int = 1) -> Column:

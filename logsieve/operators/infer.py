@@ -8,8 +8,15 @@ filter on ``row_number``, so Spark prunes each task's rows before the exchange.
 
 from __future__ import annotations
 
+import functools
 import re
 
+try:
+    from re import _constants, _parser
+except ImportError:  # before Python 3.11
+    import sre_constants as _constants
+    import sre_parse as _parser
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +35,7 @@ from logsieve.operators.rules import (
 )
 
 NO_FILE = "the source file"
+MIN_NEEDLE = 4
 # The rule whose evidence lists project frames.
 FRAMES_RULE = next(r.rank for r in RULES if r.evidence == "frames")
 # Words the raw-output patterns cannot match without; looked for before the regex runs.
@@ -50,6 +58,43 @@ def text_hints(text: Column) -> list[Column]:
     ]
 
 
+@functools.cache
+def needles(pattern: str) -> tuple[str, ...]:
+    """Lower-case literals of which a matching text holds at least one; empty if unknown.
+
+    Read off the parsed pattern: the longest run of plain characters of a sequence, or one for
+    each branch of its alternation.
+    """
+
+    def of(sequence) -> tuple[str, ...]:
+        runs, run = [], ""
+        for kind, value in [*sequence, (None, None)]:
+            if kind is _constants.LITERAL:
+                run += chr(value)
+            else:
+                runs, run = [*runs, run], ""
+        best = max(runs, key=len)
+        if len(best) >= MIN_NEEDLE:
+            return (best.lower(),)
+        for kind, value in sequence:
+            if kind is _constants.BRANCH:
+                found = [of(branch) for branch in value[1]]
+                if all(found):
+                    return tuple(n for branch in found for n in branch)
+        return (best.lower(),) if len(best) > 1 else ()
+
+    return of(list(_parser.parse(pattern.replace(r"\z", r"\Z"))))
+
+
+def _message_test(message: Column, low: Column, pattern: str) -> Column:
+    """The pattern behind a byte search in the lower-case message; most rules stop there."""
+    gate = None
+    for needle in needles(pattern):
+        one = has(low, needle)
+        gate = one if gate is None else gate | one
+    return message.rlike(pattern) if gate is None else gate & message.rlike(pattern)
+
+
 def _condition(test, fields: dict) -> Column:
     any_of = None
     for alternative in test:
@@ -61,6 +106,8 @@ def _condition(test, fields: dict) -> Column:
                 one = F.coalesce(fields["line"] != 0, F.lit(False))
             elif name.startswith("!"):
                 one = ~fields[name[1:]].rlike(pattern)
+            elif name == "m" and "low" in fields:
+                one = _message_test(fields["m"], fields["low"], pattern)
             else:
                 one = fields[name].rlike(pattern)
             all_of = one if all_of is None else all_of & one
@@ -70,18 +117,25 @@ def _condition(test, fields: dict) -> Column:
 
 def rule_matches(fields: dict, rules: list[Rule]) -> Column:
     """``ARRAY<STRUCT<rank, category, conf>>`` of the rules a failure satisfies, in rule order."""
-    tried = [
-        F.when(
-            _condition(r.test, fields),
-            F.struct(
-                F.lit(r.rank).alias("rank"),
-                F.lit(r.category).alias("category"),
-                F.lit(CONFIDENCE[r.confidence]).alias("conf"),
-            ),
+
+    def tried(low: Column) -> Column:
+        return F.array_compact(
+            F.array(
+                *[
+                    F.when(
+                        _condition(r.test, dict(fields, low=low)),
+                        F.struct(
+                            F.lit(r.rank).alias("rank"),
+                            F.lit(r.category).alias("category"),
+                            F.lit(CONFIDENCE[r.confidence]).alias("conf"),
+                        ),
+                    )
+                    for r in rules
+                ]
+            )
         )
-        for r in rules
-    ]
-    return F.array_compact(F.array(*tried))
+
+    return let(F.lower(fields["m"]), tried)
 
 
 def _rules(extra_rules: list[Rule] | None) -> list[Rule]:

@@ -1,5 +1,7 @@
 """Each rule: a message it matches and a near miss, in both forms of the inference."""
 
+import re
+
 import pytest
 
 from logsieve.operators import infer as I
@@ -183,3 +185,26 @@ def test_hot_run(spark, runs_of):
     parsed = P.parse_runs(runs_of(many))
     table = I.infer_root_causes(P.failures_of(parsed), P.frames_of(parsed)).collect()
     assert sorted((r.hyp_idx, r.failure_idx) for r in table) == hot
+
+
+def test_needles_are_necessary():
+    """A message that a rule matches always holds one of the rule's needles."""
+    for rank, ((message, _, _), _) in CASES.items():
+        for alternative in RULES[rank - 1].test:
+            for name, pattern in alternative:
+                if name == "m" and re.search(pattern.replace(r"\z", r"\Z"), message):
+                    assert any(n in message.lower() for n in I.needles(pattern)), pattern
+    assert I.needles("(?i)a+|b") == ()
+    assert I.needles("(?i)colou?r is gray") == ("r is gray",)
+
+
+def test_outcomes_of_tables(runs_of):
+    from logsieve.operators import metrics as M
+    from logsieve.plans.analysis import analyse_runs
+
+    runs = runs_of("s\nError: Timeout\nError: odd", "", "s\nError: odd")
+    rows = analyse_runs(runs)
+    tables = M.outcome_counts_of_tables(runs, P.failures_of(rows), P.explain_top(rows))
+    inside = M.outcome_counts(rows)
+    expected = [(0, 2, 1, 1), (1, 0, 0, 0), (2, 1, 1, 1)]
+    assert sorted(map(tuple, tables.collect())) == sorted(map(tuple, inside.collect())) == expected
