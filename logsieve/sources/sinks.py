@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,18 +10,9 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only in local mode."""
+    """The cluster's shared checkpoint folder; where none is set, a folder beside the warehouse."""
     folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
-    return _local_dir()
-
-
-@functools.cache
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="logsieve-")
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
 
 
 def stage(rows: DataFrame, path: str | None = None) -> DataFrame:
