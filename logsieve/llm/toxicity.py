@@ -7,43 +7,57 @@ are predicted out of fold, so that a later model meets them as unsure as they wi
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logsieve.llm.words import shingles
+from logsieve.sources.sinks import stage
+
 #: Category and its label as an expression over the columns of ``labels``.
 CATEGORIES = {
     "toxic": "toxic = 1",
     "toxic_junk": "toxic = 1 AND quality = 0",
     "toxic_fluent": "toxic = 1 AND quality = 1",
 }
-#: Labelled documents that a fit uses at most (about; chosen by a hash), word features, folds, and the
-#: least documents of a feature.
-SAMPLE, FEATURES, FOLDS, LEAST = 10_000, 128, 5, 5
-#: A word, for features: what is left of the text once everything but letters and digits is space.
-SEPARATORS = r"[^\p{L}\p{N}]+"
+#: Labelled documents that a fit uses at most (about; chosen by a hash), candidate features, folds,
+#: and the least documents of a feature.
+SAMPLE, FEATURES, FOLDS, LEAST = 20_000, 128, 5, 8
+#: The least chi-square statistic of a candidate.
+ALONE = 40.0
+#: A word, for features, and the lengths of the stems that its start gives.
+WORD, STEMS = re.compile(r"[^\W_]+"), (3, 4, 5)
 
 
 class LinearModel:
-    """Logistic regression on 0/1 features and earlier probabilities, fitted by Newton's method."""
+    """Logistic regression with a ridge, on 0/1 features and earlier probabilities; Newton's method."""
 
-    def __init__(self, penalty: float = 0.1, rounds: int = 30):
+    def __init__(self, penalty: float = 0.05, rounds: int = 40):
         self.penalty, self.rounds = penalty, rounds
         self.weights = np.zeros(0)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> LinearModel:
         x = np.hstack([np.ones((len(x), 1)), x])
+        # Equal rows count by their number: few differ.
+        x, place = np.unique(x, axis=0, return_inverse=True)
+        n = np.bincount(place.ravel(), minlength=len(x)).astype(float)
+        y = np.bincount(place.ravel(), weights=y, minlength=len(x))
         w = np.zeros(x.shape[1])
         ridge = np.full(len(w), self.penalty)
-        ridge[0] = 1e-6
-        for _ in range(self.rounds):
+        ridge[0] = 1e-3
+        for _ in range(self.rounds if len(x) else 0):
             p = _probability(x @ w)
             step = np.linalg.solve(
-                (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge),
-                x.T @ (y - p) - ridge * w,
+                (x * (n * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge),
+                x.T @ (y - n * p) - ridge * w,
             )
-            w += np.clip(step, -4, 4)
-            if np.abs(step).max() < 1e-6:
+            w += np.clip(step, -3, 3)
+            if np.abs(step).max() < 1e-4:
                 break
         self.weights = w
         return self
@@ -57,7 +71,7 @@ def _probability(z: np.ndarray) -> np.ndarray:
 
 
 class Chain:
-    """Models in order; model k has the k earlier probabilities behind the word features."""
+    """Models in order; model k has the k earlier probabilities behind the text's features."""
 
     def __init__(self, words: list[str], models: dict[str, LinearModel]):
         self.words, self.models = words, models
@@ -82,19 +96,23 @@ class Chain:
         return x[:, first:]
 
 
-def _words_of(text):
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_distinct(F.split(F.regexp_replace(lowered, SEPARATORS, " "), " "))
+def features_of(text: str | None) -> list[str]:
+    """``=word`` for each word, and ``stem*k`` if k different words (1 to 3) start with the stem."""
+    found = set(WORD.findall((text or "").lower()))
+    stems = Counter(w[:n] for w in found for n in STEMS if len(w) > n)
+    return [f"={w}" for w in found] + [f"{p}*{k}" for p, c in stems.items() for k in range(1, min(c, 3) + 1)]
 
 
-def _total(hits: str, weight):
-    return F.aggregate(hits, F.lit(0.0), lambda total, word: total + weight[word])
+def _sample_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        look = [shingles(t, 5).min(initial=2**64 - 1).astype(np.int64) for t in batch["text"]]
+        yield batch.drop(columns="text").assign(look=look, found=[features_of(t) for t in batch["text"]])
 
 
 def _matrix(found, index: dict[str, int]) -> np.ndarray:
-    x = np.zeros((len(found), len(index)), np.float64)
-    for row, ws in zip(x, found):
-        row[[index[w] for w in ws if w in index]] = 1
+    x = np.zeros((len(found), len(index)), np.float32)
+    for row, features in zip(x, found):
+        row[[index[f] for f in features if f in index]] = 1
     return x
 
 
@@ -104,62 +122,80 @@ def fit_chain(
 ) -> Chain:
     """Fits the chain on about ``sample`` labelled documents at most, chosen by a hash of doc_id.
 
-    The word features are those with the largest chi-square statistic for the first category.
-    Only the chosen words, and which of them each sampled document has, come to the driver. A null
-    label counts as 0; a document with several label rows has their maximum. Without a labelled
-    document, or with one class only, a category's probability is its share.
+    The candidate features are those with the largest chi-square statistic for the first category.
+    Of texts that look alike (the same least hash of five words) and have the same labels one is
+    used, since the words of a text with many copies would pass for cues. Only the candidates, and which of them each sampled document has,
+    come to the driver. A null label counts as 0; a document with several label rows has their
+    maximum. Without a labelled document every probability is one half.
     """
     names = list(categories)
     values = [F.max(F.coalesce(F.expr(e), F.lit(False)).cast("int")).alias(f"y{i}") for i, e in enumerate(categories.values())]
     known = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(*values)
-    total = known.count()
-    keep = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, sample / max(total, 1))))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = texts.join(known.where(keep), "id").withColumn("found", _words_of(F.col("text")))
-    found = rows.select("y0", F.explode("found").alias("word")).where("word != ''")
-    counts = found.groupBy("word").agg(F.count("*").alias("n"), F.sum("y0").alias("n1"))
+    share = min(1.0, sample / max(known.count(), 1))
+    keep = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * share))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    ys = [f"y{i}" for i in range(len(names))]
+    rows = texts.join(known.where(keep), "id").select("id", *ys, "text")
+    schema = "id long, " + ", ".join(f"{y} int" for y in ys) + ", look long, found array<string>"
+    rows = stage(rows.mapInPandas(_sample_features, schema))
+    one = rows.groupBy("look", *ys).agg(F.min("id").alias("id")).select("id")
+    rows = rows.join(one, "id", "left_semi")
     sizes = rows.agg(F.count("*").alias("n"), F.sum("y0").alias("n1")).first()
     all_n, all_1 = float(sizes["n"]), float(sizes["n1"] or 0)
+    counts = rows.select("y0", F.explode("found").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("y0").alias("n1"))
     n, n1 = F.col("n").cast("double"), F.col("n1").cast("double")
     gap = n1 * all_n - n * all_1
     score = gap * gap / (n * (all_n - n + 1) * max(all_1, 1.0) * max(all_n - all_1, 1.0))
-    top = counts.where(F.col("n") >= LEAST).select("word", score.alias("score")).orderBy(F.desc("score"), "word").limit(features)
-    words = [r["word"] for r in top.collect()]
-    index = {w: i for i, w in enumerate(words)}
-    known_words = F.lit(words) if words else F.array().cast("array<string>")
-    data = rows.select(
-        "id", F.array_intersect("found", known_words).alias("found"),
-        *(f"y{i}" for i in range(len(names))),
-    ).orderBy("id").toPandas()
-    x = _matrix(data["found"], index)
-    folds = np.arange(len(data)) % FOLDS
+    top = counts.where((F.col("n") >= LEAST) & (score * all_n >= ALONE)).select("f", score.alias("score")).orderBy(F.desc("score"), "f").limit(features)
+    found = [r["f"] for r in top.collect()]
+    chosen = F.array_intersect("found", F.lit(found)) if found else F.array().cast("array<string>")
+    data = rows.select("id", chosen.alias("found"), *ys).orderBy("id").toPandas()
+    x = _matrix(data["found"], {f: i for i, f in enumerate(found)})
     y = {name: data[f"y{i}"].to_numpy(float) for i, name in enumerate(names)}
-    return Chain.fit(words, x, y, folds)
+    return Chain.fit(found, x, y, np.arange(len(data)) % FOLDS)
+
+
+class _Scorer:
+    """A fitted chain on the features that it uses."""
+
+    def __init__(self, chain: Chain):
+        used = sorted({i for m in chain.models.values() for i in np.flatnonzero(m.weights[1 : len(chain.words) + 1])})
+        at = [0, *(i + 1 for i in used)]
+        last = len(chain.words) + 1
+        models = {}
+        for name, m in chain.models.items():
+            models[name] = LinearModel()
+            models[name].weights = np.concatenate([m.weights[at], m.weights[last:]])
+        self.chain = Chain([chain.words[i] for i in used], models)
+        self.index = {f: i for i, f in enumerate(self.chain.words)}
+        self.words = {f[1:] for f in self.index if f[0] == "="}
+        self.stems = {f[:-2] for f in self.index if f[0] != "="}
+
+    def found(self, text: str | None) -> list[str]:
+        ws = set(WORD.findall((text or "").lower()))
+        stems = Counter(p for w in ws for n in STEMS if (p := w[:n]) in self.stems and len(w) > n)
+        hits = [f"={w}" for w in ws & self.words]
+        return hits + [f"{p}*{k}" for p, c in stems.items() for k in range(1, min(c, 3) + 1)]
+
+    def __call__(self, texts: pd.Series) -> pd.DataFrame:
+        p = self.chain.predict(_matrix([self.found(t) for t in texts], self.index))
+        return pd.DataFrame(p, columns=list(self.chain.models))
 
 
 def score_chain(docs: DataFrame, chain: Chain, prefix: str = "p_") -> DataFrame:
     """``docs`` with one probability ``<prefix><category>`` for each category of the chain.
 
-    The models are linear, so a score is a sum over the few chosen words that a text has, taken
-    in the row: no Python, no shuffle. Null and empty texts have no words and get the
-    probabilities of such a text. Rows are independent, so repeated rows, null ids and other
-    columns come back as they are; columns named like a probability are replaced.
+    Null and empty texts have no features and get the probabilities of such a text. Rows are scored
+    where they are: no shuffle, and repeated rows, null ids and other columns come back as they are.
+    Columns named like a probability are replaced.
     """
-    hits = f"{prefix}hits"
-    names = [f"{prefix}{name}" for name in chain.models]
-    words = F.lit(chain.words) if chain.words else F.array().cast("array<string>")
-    found = F.array_intersect(_words_of(F.col("text")), words)
-    z = []
-    for k, model in enumerate(chain.models.values()):
-        w = [float(v) for v in model.weights]
-        weight = F.map_from_arrays(F.lit(chain.words), F.lit(w[1 : len(chain.words) + 1])) if chain.words else None
-        own = F.lit(w[0])
-        if weight is not None:
-            own = own + _total(hits, weight)
-        z.append((own, w[len(chain.words) + 1 :]))
-    out = docs.withColumn(hits, found)
-    for name, (own, earlier) in zip(names, z):
-        for before, w in zip(names, earlier):
-            own = own + F.col(before) * w
-        out = out.withColumn(name, 1 / (1 + F.exp(-own)))
-    return out.drop(hits)
+    scorer = _Scorer(chain)
+    fields = ", ".join(f"`{name}` double" for name in chain.models)
+
+    @F.pandas_udf(fields)
+    def probabilities(texts: pd.Series) -> pd.DataFrame:
+        return scorer(texts)
+
+    own = f"{prefix}chain"
+    out = docs.withColumn(own, probabilities("text"))
+    return out.withColumns({prefix + name: F.col(f"{own}.{name}") for name in chain.models}).drop(own)
