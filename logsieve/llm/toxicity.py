@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logsieve.llm.batches import small_batches
 from logsieve.llm.words import shingles
 from logsieve.sources.sinks import stage
 
@@ -27,7 +28,9 @@ CATEGORIES = {
 }
 #: Labelled documents that a fit uses at most (about; chosen by a hash), candidate features, folds,
 #: and the least documents of a feature.
-SAMPLE, FEATURES, FOLDS, LEAST = 20_000, 128, 5, 8
+SAMPLE, FEATURES, FOLDS, LEAST = 10_000, 128, 5, 8
+#: Features that a task counts before it hands them on.
+FLUSH = 200_000
 #: The least chi-square statistic of a candidate.
 ALONE = 40.0
 #: A word, for features, and the lengths of the stems that its start gives.
@@ -37,7 +40,7 @@ WORD, STEMS = re.compile(r"[^\W_]+"), (3, 4, 5)
 class LinearModel:
     """Logistic regression with a ridge, on 0/1 features and earlier probabilities; Newton's method."""
 
-    def __init__(self, penalty: float = 0.05, rounds: int = 40):
+    def __init__(self, penalty: float = 0.02, rounds: int = 40):
         self.penalty, self.rounds = penalty, rounds
         self.weights = np.zeros(0)
 
@@ -103,10 +106,31 @@ def features_of(text: str | None) -> list[str]:
     return [f"={w}" for w in found] + [f"{p}*{k}" for p, c in stems.items() for k in range(1, min(c, 3) + 1)]
 
 
-def _sample_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _looks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The least hash of five words of each text: most near copies share it."""
     for batch in batches:
         look = [shingles(t, 5).min(initial=2**64 - 1).astype(np.int64) for t in batch["text"]]
-        yield batch.drop(columns="text").assign(look=look, found=[features_of(t) for t in batch["text"]])
+        yield batch.drop(columns="text").assign(look=look)
+
+
+def _count_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    n, n1 = Counter(), Counter()
+
+    def rows() -> pd.DataFrame:
+        return pd.DataFrame({"f": list(n), "n": list(n.values()), "n1": [n1[f] for f in n]})
+
+    for batch in batches:
+        for text, y in zip(batch["text"], batch["y0"]):
+            found = features_of(text)
+            n.update(found)
+            if y:
+                n1.update(found)
+        if len(n) > FLUSH:
+            yield rows()
+            n.clear()
+            n1.clear()
+    if n:
+        yield rows()
 
 
 def _matrix(found, index: dict[str, int]) -> np.ndarray:
@@ -128,6 +152,7 @@ def fit_chain(
     come to the driver. A null label counts as 0; a document with several label rows has their
     maximum. Without a labelled document every probability is one half.
     """
+    small_batches(docs.sparkSession)
     names = list(categories)
     values = [F.max(F.coalesce(F.expr(e), F.lit(False)).cast("int")).alias(f"y{i}") for i, e in enumerate(categories.values())]
     known = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(*values)
@@ -135,41 +160,40 @@ def fit_chain(
     keep = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * share))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     ys = [f"y{i}" for i in range(len(names))]
-    rows = texts.join(known.where(keep), "id").select("id", *ys, "text")
-    schema = "id long, " + ", ".join(f"{y} int" for y in ys) + ", look long, found array<string>"
-    rows = stage(rows.mapInPandas(_sample_features, schema))
-    one = rows.groupBy("look", *ys).agg(F.min("id").alias("id")).select("id")
-    rows = rows.join(one, "id", "left_semi")
-    sizes = rows.agg(F.count("*").alias("n"), F.sum("y0").alias("n1")).first()
+    labelled = "id long, " + ", ".join(f"{y} int" for y in ys)
+    # The sample is bounded by its parameter, so its ids and labels may go to every task.
+    rows = texts.join(F.broadcast(stage(known.where(keep))), "id").select("id", *ys, "text")
+    looks = rows.mapInPandas(_looks, f"{labelled}, look long")
+    chosen = stage(looks.groupBy("look", *ys).agg(F.min("id").alias("id")).select("id", *ys))
+    sizes = chosen.agg(F.count("*").alias("n"), F.sum("y0").alias("n1")).first()
     all_n, all_1 = float(sizes["n"]), float(sizes["n1"] or 0)
-    counts = rows.select("y0", F.explode("found").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("y0").alias("n1"))
+    rows = texts.join(F.broadcast(chosen), "id").select("id", *ys, "text")
+    counts = rows.mapInPandas(_count_features, "f string, n long, n1 long").groupBy("f").agg(
+        F.sum("n").alias("n"), F.sum("n1").alias("n1")
+    )
     n, n1 = F.col("n").cast("double"), F.col("n1").cast("double")
     gap = n1 * all_n - n * all_1
     score = gap * gap / (n * (all_n - n + 1) * max(all_1, 1.0) * max(all_n - all_1, 1.0))
     top = counts.where((F.col("n") >= LEAST) & (score * all_n >= ALONE)).select("f", score.alias("score")).orderBy(F.desc("score"), "f").limit(features)
     found = [r["f"] for r in top.collect()]
-    chosen = F.array_intersect("found", F.lit(found)) if found else F.array().cast("array<string>")
-    data = rows.select("id", chosen.alias("found"), *ys).orderBy("id").toPandas()
+    finder = _Finder(found)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.drop(columns="text").assign(found=[finder.found(t) for t in batch["text"]])
+
+    data = rows.mapInPandas(find, f"{labelled}, found array<string>").orderBy("id").toPandas()
     x = _matrix(data["found"], {f: i for i, f in enumerate(found)})
     y = {name: data[f"y{i}"].to_numpy(float) for i, name in enumerate(names)}
     return Chain.fit(found, x, y, np.arange(len(data)) % FOLDS)
 
 
-class _Scorer:
-    """A fitted chain on the features that it uses."""
+class _Finder:
+    """Finds the wanted ones among the features of a text."""
 
-    def __init__(self, chain: Chain):
-        used = sorted({i for m in chain.models.values() for i in np.flatnonzero(m.weights[1 : len(chain.words) + 1])})
-        at = [0, *(i + 1 for i in used)]
-        last = len(chain.words) + 1
-        models = {}
-        for name, m in chain.models.items():
-            models[name] = LinearModel()
-            models[name].weights = np.concatenate([m.weights[at], m.weights[last:]])
-        self.chain = Chain([chain.words[i] for i in used], models)
-        self.index = {f: i for i, f in enumerate(self.chain.words)}
-        self.words = {f[1:] for f in self.index if f[0] == "="}
-        self.stems = {f[:-2] for f in self.index if f[0] != "="}
+    def __init__(self, features: list[str]):
+        self.words = {f[1:] for f in features if f[0] == "="}
+        self.stems = {f[:-2] for f in features if f[0] != "="}
 
     def found(self, text: str | None) -> list[str]:
         ws = set(WORD.findall((text or "").lower()))
@@ -177,8 +201,16 @@ class _Scorer:
         hits = [f"={w}" for w in ws & self.words]
         return hits + [f"{p}*{k}" for p, c in stems.items() for k in range(1, min(c, 3) + 1)]
 
+
+class _Scorer:
+    """A fitted chain with what finds its features."""
+
+    def __init__(self, chain: Chain):
+        self.chain, self.finder = chain, _Finder(chain.words)
+        self.index = {f: i for i, f in enumerate(chain.words)}
+
     def __call__(self, texts: pd.Series) -> pd.DataFrame:
-        p = self.chain.predict(_matrix([self.found(t) for t in texts], self.index))
+        p = self.chain.predict(_matrix([self.finder.found(t) for t in texts], self.index))
         return pd.DataFrame(p, columns=list(self.chain.models))
 
 
@@ -189,6 +221,7 @@ def score_chain(docs: DataFrame, chain: Chain, prefix: str = "p_") -> DataFrame:
     where they are: no shuffle, and repeated rows, null ids and other columns come back as they are.
     Columns named like a probability are replaced.
     """
+    small_batches(docs.sparkSession)
     scorer = _Scorer(chain)
     fields = ", ".join(f"`{name}` double" for name in chain.models)
 
