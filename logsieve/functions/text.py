@@ -88,6 +88,16 @@ def gated(text: Column, needle: str, pattern: str) -> Column:
     return has(text, needle) & text.rlike(pattern)
 
 
+def strict_json(text: Column) -> Column:
+    """``text`` if it is one JSON document and nothing else, else null.
+
+    The variant parser rejects single quotes and comments, the length of the text as an element
+    tells text behind the document.
+    """
+    whole = F.concat(F.lit("["), text, F.lit("]"))
+    return F.when(F.try_parse_json(whole).isNotNull() & (F.json_array_length(whole) == 1), text)
+
+
 def truncate_text(text: Column, limit: int) -> Column:
     return F.when(
         F.length(text) > limit, F.concat(F.substring(text, 1, limit - 3), F.lit("..."))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsieve.functions.text import let
+from logsieve.functions.text import let, strict_json
 from logsieve.operators import inventory as G
 from logsieve.operators.context import location_keys
 from logsieve.operators.infer import first_project_frame
@@ -129,33 +129,35 @@ def condense(
 
 
 def parse_enhancements(replies: DataFrame) -> DataFrame:
-    """Model replies -> six fields with defaults; a reply that is no JSON object is a failed row."""
-    fields = (
-        "rootCauseNarrative string, codeFix string, fixFile string, fixExplanation string, "
-        "fixAlternatives array<string>, externalSynthesis string, _bad string"
-    )
+    """Model replies -> six fields with defaults; a reply that is not JSON, or null, is a failed row.
+
+    Fields are read one by one: a list that is a single value counts as a list of it.
+    """
     raw = F.trim(F.regexp_replace("text", r"\A\s+|\s+\z", ""))
     bare = F.when(F.startswith(raw, F.lit("{")), raw).otherwise(
         F.regexp_replace(F.regexp_replace(raw, r"\A```(?:json)?\n?", ""), r"\n?```\z", "")
     )
-    parsed = F.from_json(
-        bare, fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    )
-    failed = F.col("p._bad").isNotNull()
+    failed = F.col("p").isNull() | (F.trim("p") == "null")
+
+    def part(name: str) -> Column:
+        return F.get_json_object("p", f"$.{name}")
 
     def filled(name: str, default: str) -> Column:
-        return F.when(~failed, F.coalesce(f"p.{name}", F.lit(default)))
+        return F.when(~failed, F.coalesce(part(name), F.lit(default)))
 
-    return replies.select("run_id", "model", parsed.alias("p")).select(
+    listed = F.coalesce(
+        F.from_json(part("fixAlternatives"), "array<string>"),
+        F.when(part("fixAlternatives").isNotNull(), F.array(part("fixAlternatives"))),
+        F.array().cast("array<string>"),
+    )
+    return replies.select("run_id", "model", strict_json(bare).alias("p")).select(
         "run_id",
         filled("rootCauseNarrative", NO_NARRATIVE).alias("narrative"),
         filled("codeFix", "").alias("code_fix"),
         filled("fixFile", "").alias("fix_file"),
         filled("fixExplanation", "").alias("fix_explanation"),
-        F.when(
-            ~failed, F.coalesce("p.fixAlternatives", F.array().cast("array<string>"))
-        ).alias("alternatives"),
-        F.when(~failed, F.col("p.externalSynthesis")).alias("external_synthesis"),
+        F.when(~failed, listed).alias("alternatives"),
+        F.when(~failed, part("externalSynthesis")).alias("external_synthesis"),
         "model",
         failed.alias("failed"),
     )

@@ -8,20 +8,21 @@ from pyspark.sql import functions as F
 from logsieve.functions.text import gated, has
 
 # Patterns that tell the formats apart. Each carries a literal that must be
-# present for it to match, so the byte search spares most texts the regex.
+# present for it to match, so the byte search spares most texts the regex. White space at the
+# start of a line stops at the line's end: a run over blank lines would cost its square.
 TSC_LINE = r"\(\d+,\d+\):\s*error\s+TS\d+:"
 RUST_CODE = r"error\[E\d{4}\]:"
 RUST_PANIC = r"thread '[^\r\n]*' panicked at"
-RUST_ARROW = r"(?m)^\s*-->\s+\S+\.rs:\d+:\d+"
+RUST_ARROW = r"(?m)^[^\S\n]*-->\s+\S+\.rs:\d+:\d+"
 GO_ROUTINE = r"goroutine\s+\d+\s+\["
 GO_PANIC = r"(?m)^panic:"
 GO_FILE = r"\.go:\d+"
 GO_TEST = r"---\s+FAIL:\s+Test\w+"
 GO_COMPILE = r"(?m)^\./?[^\s:]+\.go:\d+:\d+:"
 PY_TRACEBACK = "Traceback (most recent call last):"
-PY_FILE = r"(?m)^\s*File\s+\"[^\"]+\",\s+line\s+\d+"
+PY_FILE = r"(?m)^[^\S\n]*File\s+\"[^\"]+\",\s+line\s+\d+"
 PY_TEST = r"FAILED\s+\S+\.py::"
-JAVA_FRAME = r"(?m)^\s+at\s+[\w.$]+\([^)]+\.java:\d+\)"
+JAVA_FRAME = r"(?m)^[^\S\n]*(?:[^\S\n]|\n)at\s+[\w.$]+\([^)]+\.java:\d+\)"
 JAVA_COMPILE = r"\.java:\d+:\s+error:"
 JAVA_THREAD = "Exception in thread"
 VITEST_BANNER = r"RUN\s+v\d"
@@ -31,14 +32,14 @@ JEST_SUITES = r"Test Suites?:\s+\d+"
 JEST_FAIL = r"FAIL\s"
 JEST_COUNT = r"(?i)Tests?:\s+\d+\s+failed,\s+\d+\s+passed,\s+\d+\s+total"
 ESLINT_SUMMARY = r"\d+\s+problems?\s+\(\d+\s+errors?,\s+\d+\s+warnings?\)"
-ESLINT_UNIX = r"(?m)^\s*\S+:\d+:\d+\s+(?:error|warning)\s+[^\r\n]+\s+\S+(?:\r|$)"
+ESLINT_UNIX = r"(?m)^[^\S\n]*\S+:\d+:\d+\s+(?:error|warning)\s+[^\r\n]+\s+\S+(?:\r|$)"
 NPM_LINE = r"npm\s+(?:error|ERR!)"
 BUILD_FAILED = r"(?i)Build failed"
 BUILD_TEST = r"(?i)test"
 BUILD_MISSING = r"(?i)Module not found|Cannot resolve"
 BUILD_TOOL = r"(?i)webpack|vite|esbuild|next"
 NODE_ERROR = r"(?m)^\w*Error:[^\r\n]*\n\s+at\s"
-NODE_FRAME = r"(?m)^\s+at\s+[^\r\n]+\([^\r\n]+:\d+:\d+\)(?:\r|$)"
+NODE_FRAME = r"(?m)^[^\S\n]*(?:[^\S\n]|\n)at\s+[^\r\n][^(\r\n]*\([^\r\n]+:\d+:\d+\)(?:\r|$)"
 
 
 def format_of(text: Column) -> Column:
@@ -79,14 +80,22 @@ def format_of(text: Column) -> Column:
             | (gated(text, "FAIL", JEST_FAIL) & text.rlike(JEST_COUNT)),
             "jest",
         )
-        .when(gated(text, "problem", ESLINT_SUMMARY) | text.rlike(ESLINT_UNIX), "eslint")
+        .when(
+            gated(text, "problem", ESLINT_SUMMARY)
+            | ((has(text, "error") | has(text, "warning")) & text.rlike(ESLINT_UNIX)),
+            "eslint",
+        )
         .when(gated(text, "npm", NPM_LINE), "npm")
         .when(
             (text.rlike(BUILD_FAILED) & ~F.substring(text, 1, 100).rlike(BUILD_TEST))
             | (text.rlike(BUILD_MISSING) & text.rlike(BUILD_TOOL)),
             "build",
         )
-        .when(gated(text, "Error:", NODE_ERROR) | gated(text, "at", NODE_FRAME), "node")
+        .when(
+            gated(text, "Error:", NODE_ERROR)
+            | (has(text, "at") & has(text, "(") & gated(text, ":", NODE_FRAME)),
+            "node",
+        )
         .otherwise("unknown")
     )
 

@@ -43,7 +43,7 @@ ESLINT_FILE = r"^[\w./\\]"
 NPM_CODE = r"(?i)npm\s+(?:error|ERR!)\s+code\s+(\w+)"
 NPM_404 = r"(?i)404\s+Not Found[^\r\n]*?-\s*GET\s+(https?://\S+)"
 NPM_PACKAGE = r"(?i)'([^']+)@[^']*'\s+is not in this registry"
-NPM_PEER = r"(?is)Could not resolve dependency.*?\n.*?peer\s+(\S+)\s+\"([^\"]+)\""
+NPM_PEER = r"(?is)Could not resolve dependency(?>.*?\n).*?peer\s+(\S+)\s+\"([^\"]+)\""
 NPM_SCRIPT = r"(?i)Missing script:\s*\"([^\"]+)\""
 NPM_ANY = r"(?i)npm\s+(?:error|ERR!)"
 NPM_PREFIX = r"(?is)\A(.*?)npm\s+(?:error|ERR!)\s*"
@@ -573,10 +573,12 @@ def go_test_failures(text: Column, lines: Column) -> Column:
 
     def build(name: Column, at: Column) -> Column:
         near = F.filter(
-            F.when(at.isNotNull(), F.slice(lines, at + 2, 9)).otherwise(
-                F.array().cast("array<string>")
-            ),
-            lambda l: gated(l, ".go:", GO_DETAIL),
+            # Nine look-ups: a slice would copy the whole array first.
+            F.when(
+                at.isNotNull(),
+                F.transform(F.sequence(F.lit(1), F.lit(9)), lambda k: F.get(lines, at + k)),
+            ).otherwise(F.array().cast("array<string>")),
+            lambda l: F.coalesce(gated(l, ".go:", GO_DETAIL), F.lit(False)),
         )
         return let(
             near,
@@ -599,15 +601,86 @@ def go_test_failures(text: Column, lines: Column) -> Column:
             ),
         )
 
-    def per_test(m: Column) -> Column:
-        def first_line(name: Column) -> Column:
-            # The first line that merely contains the name: 'TestAB' also answers for 'TestA'.
-            needle = F.concat(F.lit("--- FAIL: "), name)
-            return F.get(F.filter(m, lambda i: F.contains(F.get(lines, i), needle)), F.lit(0))
+    # Bound once each: a lambda would evaluate them anew for every element.
+    found = let(
+        names,
+        lambda n: let(
+            F.array_distinct(F.transform(n, F.length)),
+            lambda sizes: let(marks, lambda m: go_first_lines(n, sizes, lines, m)),
+        ),
+    )
+    return let(found, lambda all_: F.transform(all_, lambda f: build(f["name"], f["at"])))
+
+
+def steps(low: Column, high: Column) -> Column:
+    """The integers from ``low`` to ``high``, none if they cross."""
+    return F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(
+        F.array().cast("array<int>")
+    )
+
 
-        return F.transform(names, lambda name: let(first_line(name), lambda at: build(name, at)))
+def go_first_lines(names: Column, lengths: Column, lines: Column, marks: Column) -> Column:
+    """(nth, name, at) per failing test: the first line that names it after the marker.
+
+    Any word that starts with the name will do, so 'TestAB' also answers for 'TestA'. Words are
+    cut to the lengths that names have, and one sort brings each name behind its first cut; a
+    comparison of all names with all lines would cost the square.
+    """
+
+    def cuts(i: Column) -> Column:
+        words = F.regexp_extract_all(F.get(lines, i), F.lit(r"--- FAIL: (\w+)"), F.lit(1))
+        return F.flatten(
+            F.transform(
+                words,
+                lambda w: F.transform(
+                    F.filter(lengths, lambda n: n <= F.length(w)),
+                    lambda n: F.struct(F.left(w, n).alias("word"), i.alias("at")),
+                ),
+            )
+        )
+
+    def first_of_each(c: Column) -> Column:
+        return F.filter(
+            c, lambda x, k: (k == 0) | (F.coalesce(F.get(c, k - 1)["word"], F.lit("")) != x["word"])
+        )
+
+    def merged(c: Column) -> Column:
+        wanted = F.transform(
+            names,
+            lambda n, k: F.struct(
+                n.alias("word"), F.lit(1).alias("kind"), k.alias("nth"), F.lit(None).cast("int").alias("at")
+            ),
+        )
+        known = F.transform(
+            c,
+            lambda x: F.struct(
+                x["word"].alias("word"), F.lit(0).alias("kind"), F.lit(-1).alias("nth"), x["at"].alias("at")
+            ),
+        )
+        return F.sort_array(F.concat(known, wanted))
+
+    def answers(both: Column) -> Column:
+        # The entries of kind 0, by place: each is followed by the tests of its name.
+        heads = F.filter(F.transform(both, lambda x, k: F.when(x["kind"] == 0, k)), lambda k: k.isNotNull())
+        return let(
+            heads,
+            lambda h: F.flatten(
+                F.transform(
+                    h,
+                    lambda k, j: F.transform(
+                        steps(k + 1, F.coalesce(F.get(h, j + 1), F.size(both)) - 1),
+                        lambda p: F.struct(
+                            F.get(both, p)["nth"].alias("nth"),
+                            F.get(both, p)["word"].alias("name"),
+                            F.get(both, k)["at"].alias("at"),
+                        ),
+                    ),
+                )
+            ),
+        )
 
-    return let(marks, per_test)
+    cut = F.sort_array(F.flatten(F.transform(marks, cuts)))
+    return let(cut, lambda c: let(merged(first_of_each(c)), lambda b: F.sort_array(answers(b))))
 
 
 def go_failures(text: Column, lines: Column) -> Column:

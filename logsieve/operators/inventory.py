@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsieve.functions.text import each, trimmed
+from logsieve.functions.text import each, strict_json, trimmed
 
 # Names and places looked for, in order.
 MANIFEST, COMPILER, ENV_EXAMPLE = "package.json", "tsconfig.json", ".env.example"
@@ -22,11 +22,10 @@ MAX_DEPTH = 3
 README_LENGTH = 500
 MAX_KEY_FILES = 5
 
-_MANIFEST_SCHEMA = (
-    "name string, description string, type string, dependencies map<string,string>, "
-    "devDependencies map<string,string>, scripts map<string,string>, "
-    "engines struct<node:string>, _bad string"
-)
+_MANIFEST_FIELDS = {"name": "$.name", "description": "$.description", "type": "$.type", "node": "$.engines.node"}
+_MANIFEST_MAPS = ["dependencies", "devDependencies", "scripts"]
+#: JSON texts that count as false.
+FALSY = ["false", "null", "0", "-0", "0.0", '""']
 
 
 def _file(project_files: DataFrame, path: str) -> DataFrame:
@@ -34,12 +33,15 @@ def _file(project_files: DataFrame, path: str) -> DataFrame:
 
 
 def manifests(project_files: DataFrame) -> DataFrame:
-    """Parsed manifests; unreadable JSON counts as no manifest."""
-    parsed = F.from_json(
-        "content", _MANIFEST_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    )
-    return _file(project_files, MANIFEST).select(
-        "project_root", F.when(parsed["_bad"].isNull(), parsed).alias("m")
+    """Parsed manifests; unreadable JSON counts as no manifest, an odd field as no field."""
+    fields = [F.get_json_object("content", path).alias(name) for name, path in _MANIFEST_FIELDS.items()]
+    fields += [
+        F.from_json(F.get_json_object("content", f"$.{name}"), "map<string,string>").alias(name)
+        for name in _MANIFEST_MAPS
+    ]
+    content = strict_json(F.col("content")).alias("content")
+    return _file(project_files, MANIFEST).select("project_root", content).select(
+        "project_root", F.when(F.col("content").isNotNull(), F.struct(*fields)).alias("m")
     )
 
 
@@ -79,7 +81,7 @@ def manifest_facts(project_files: DataFrame) -> DataFrame:
             F.coalesce("m.description", F.lit("")).alias("description"),
             F.coalesce("m.type", F.lit("commonjs")).alias("type"),
             F.coalesce(
-                F.concat(F.lit("Node.js "), F.nullif(F.col("m.engines.node"), F.lit(""))),
+                F.concat(F.lit("Node.js "), F.nullif(F.col("m.node"), F.lit(""))),
                 F.lit("Node.js"),
             ).alias("runtime"),
         )
@@ -92,17 +94,20 @@ def compiler_options(project_files: DataFrame) -> DataFrame:
     def option(name: str) -> Column:
         return F.get_json_object("content", f"$.compilerOptions.{name}")
 
+    def truthy(name: str) -> Column:
+        value = F.try_variant_get(F.try_parse_json("content"), f"$.compilerOptions.{name}", "variant")
+        return F.coalesce(~F.to_json(value).isin(FALSY), F.lit(False))
+
     return (
         _file(project_files, COMPILER)
+        .select("project_root", strict_json(F.col("content")).alias("content"))
         .filter(F.get_json_object("content", "$.compilerOptions").isNotNull())
         .select(
             "project_root",
-            (F.coalesce(option("strict"), F.lit("false")) == "true").alias("strict"),
+            truthy("strict").alias("strict"),
             F.coalesce(option("target"), F.lit("unknown")).alias("target"),
             F.coalesce(option("module"), F.lit("unknown")).alias("module"),
-            (F.coalesce(option("noUncheckedIndexedAccess"), F.lit("false")) == "true").alias(
-                "unchecked_index"
-            ),
+            truthy("noUncheckedIndexedAccess").alias("unchecked_index"),
             option("paths").alias("paths"),
         )
     )
@@ -149,7 +154,9 @@ def project_language(project_files: DataFrame) -> DataFrame:
 def file_listing(project_files: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Entries down to ``max_depth`` under ``src``, or under the root where there is no ``src``.
 
-    ``sort_key`` orders entries as a tree: folders first at every level, then by name.
+    ``sort_key`` orders entries as a tree: folders first at every level, then by name without
+    regard to case, then by name. Names are joined by a character below all that names hold, so
+    what is in ``auth`` comes before ``auth-client``.
     """
     has_src = project_files.groupBy("project_root").agg(
         F.max(F.startswith("path", F.lit("src/"))).alias("has_src")
@@ -179,10 +186,11 @@ def file_listing(project_files: DataFrame, max_depth: int = MAX_DEPTH) -> DataFr
         F.transform(
             "p",
             lambda s, k: F.concat(
-                F.when((k < F.col("depth")) | F.col("is_dir"), "0").otherwise("1"), s
+                F.when((k < F.col("depth")) | F.col("is_dir"), "0").otherwise("1"),
+                F.lower(s), F.lit("\x02"), s,
             ),
         ),
-        "/",
+        "\x01",
     )
     return (
         entries.filter(~hidden)

@@ -208,7 +208,7 @@ def npm() -> list[str]:
     package = f"coalesce({cap('text', X.NPM_PACKAGE)}, {q(mp[2])})"
     message = f"""CASE code
       WHEN 'E404' THEN {q(mp[0])} || {package} || {q(mp[1])}
-      WHEN 'ERESOLVE' THEN CASE WHEN {hit('text', X.NPM_PEER)} THEN {q(t['peer'][0])} || {ext('text', X.NPM_PEER, 1)} || {q(t['peer'][1])} || {ext('text', X.NPM_PEER, 2)} || {q(t['peer'][2])} ELSE {q(t['peer_unknown'])} END
+      WHEN 'ERESOLVE' THEN CASE WHEN {hit('text', X.NPM_PEER.replace("(?>", "(?:"))} THEN {q(t['peer'][0])} || {ext('text', X.NPM_PEER.replace("(?>", "(?:"), 1)} || {q(t['peer'][1])} || {ext('text', X.NPM_PEER.replace("(?>", "(?:"), 2)} || {q(t['peer'][2])} ELSE {q(t['peer_unknown'])} END
       WHEN 'EACCES' THEN {q(t['access'])}
       WHEN 'ENOENT' THEN CASE WHEN {hit('text', X.NPM_SCRIPT)} THEN {q(t['script'][0])} || {ext('text', X.NPM_SCRIPT)} || {q(t['script'][1])} ELSE {q(t['no_entry'])} END
       WHEN 'EINTEGRITY' THEN {q(t['integrity'])} WHEN 'ETARGET' THEN {q(t['target'])}
@@ -767,7 +767,7 @@ def replies() -> list[str]:
         f"bare AS (SELECT run_id, model, {bare} AS b FROM replies)",
         "jr AS (SELECT run_id, model, json_valid(b) AS ok, CASE WHEN json_valid(b) THEN b END AS j FROM bare)",
         f"""enhanced AS (SELECT run_id, {part('rootCauseNarrative', 'Analysis unavailable')} AS narrative, {part('codeFix', '')} AS code_fix, {part('fixFile', '')} AS fix_file,
-          {part('fixExplanation', '')} AS fix_explanation, CASE WHEN ok THEN array_to_string(coalesce(json_extract_string(j, '$.fixAlternatives[*]'), []), ' | ') END AS alternatives,
+          {part('fixExplanation', '')} AS fix_explanation, CASE WHEN ok THEN CASE json_type(j, '$.fixAlternatives') WHEN 'ARRAY' THEN array_to_string(json_extract_string(j, '$.fixAlternatives[*]'), ' | ') ELSE coalesce(json_extract_string(j, '$.fixAlternatives'), '') END END AS alternatives,
           CASE WHEN ok THEN json_extract_string(j, '$.externalSynthesis') END AS external_synthesis, model, NOT ok AS failed FROM jr)""",
     ]
 
@@ -807,12 +807,12 @@ def inventory() -> list[str]:
         PROJECT_FILES,
         "roots AS (SELECT DISTINCT project_root FROM project_files)",
         "pkg AS (SELECT project_root, CASE WHEN json_valid(content) THEN content END AS j FROM project_files WHERE path = 'package.json')",
-        "ts AS (SELECT project_root, content AS j FROM project_files WHERE path = 'tsconfig.json')",
+        "ts AS (SELECT project_root, CASE WHEN json_valid(content) THEN content END AS j FROM project_files WHERE path = 'tsconfig.json')",
         """based AS (SELECT project_root, bool_or(starts_with(path, 'src/')) AS has_src FROM project_files GROUP BY ALL)""",
         """segs AS (SELECT project_root, has_src, path, string_split(CASE WHEN has_src THEN substr(path, 5) ELSE path END, '/') AS p FROM project_files JOIN based USING (project_root)
           WHERE NOT has_src OR starts_with(path, 'src/'))""",
         """tree AS (SELECT DISTINCT project_root, CASE WHEN has_src THEN 'src/' ELSE '' END || array_to_string(p[1:d + 1], '/') AS path, d AS depth, d < len(p) - 1 AS is_dir,
-          array_to_string(list_transform(p[1:d + 1], lambda s, i: CASE WHEN i < len(p) THEN '0' ELSE '1' END || s), '/') AS key, p[d + 1] AS name
+          array_to_string(list_transform(p[1:d + 1], lambda s, i: CASE WHEN i < len(p) THEN '0' ELSE '1' END || lower(s) || chr(2) || s), chr(1)) AS key, p[d + 1] AS name
           FROM segs CROSS JOIN (SELECT unnest([0, 1, 2, 3])::INTEGER AS d)
           WHERE d < len(p) AND len(list_filter(p[1:d + 1], lambda s: starts_with(s, '.') OR s IN ('node_modules', 'dist', 'output', 'coverage'))) = 0)""",
     ]
@@ -938,7 +938,7 @@ def _declare_table_part() -> None:
     )
     ORACLE["dependencies"] = statement(inv, dep)
     ORACLE["scripts"] = statement(
-        [*inv, "names AS (SELECT project_root, j, unnest(json_keys(j, '$.scripts')) AS name, generate_subscripts(json_keys(j, '$.scripts'), 1)::INTEGER AS nth FROM pkg WHERE json_exists(j, '$.scripts'))"],
+        [*inv, "names AS (SELECT project_root, j, unnest(json_keys(j, '$.scripts')) AS name, generate_subscripts(json_keys(j, '$.scripts'), 1)::INTEGER AS nth FROM pkg WHERE json_type(j, '$.scripts') = 'OBJECT')"],
         "SELECT project_root, name, json_extract_string(j, '$.scripts.\"' || name || '\"') AS command, nth FROM names",
     )
     js = "json_extract_string"
@@ -950,8 +950,8 @@ def _declare_table_part() -> None:
     o = "$.compilerOptions"
     ORACLE["compiler_options"] = statement(
         inv,
-        f"""SELECT project_root, coalesce({js}(j, '{o}.strict'), 'false') = 'true' AS strict, coalesce({js}(j, '{o}.target'), 'unknown') AS target, coalesce({js}(j, '{o}.module'), 'unknown') AS module,
-        coalesce({js}(j, '{o}.noUncheckedIndexedAccess'), 'false') = 'true' AS unchecked_index, json_extract(j, '{o}.paths')::VARCHAR AS paths FROM ts WHERE json_exists(j, '{o}')""",
+        f"""SELECT project_root, coalesce(json_extract(j, '{o}.strict')::VARCHAR, 'false') NOT IN ('false', 'null', '0', '-0', '0.0', '""') AS strict, coalesce({js}(j, '{o}.target'), 'unknown') AS target, coalesce({js}(j, '{o}.module'), 'unknown') AS module,
+        coalesce(json_extract(j, '{o}.noUncheckedIndexedAccess')::VARCHAR, 'false') NOT IN ('false', 'null', '0', '-0', '0.0', '""') AS unchecked_index, json_extract(j, '{o}.paths')::VARCHAR AS paths FROM ts WHERE json_exists(j, '{o}')""",
     )
     ORACLE["env_vars"] = statement(
         [*inv,
@@ -1050,15 +1050,19 @@ def briefs() -> list[str]:
     dep = "json_keys(j, '$.dependencies')"
     scripts = "json_keys(j, '$.scripts')"
 
+    def flag(name: str) -> str:
+        value = f"coalesce(json_extract(t.j, '{o}.{name}')::VARCHAR, 'false')"
+        return f"CASE WHEN {value} IN ('false', 'null', '0', '-0', '0.0', '\"\"') THEN 'false' ELSE 'true' END"
+
     def block(title: str, body: str) -> str:
         return f"{q(title)} || {NL} || {body} || {NL}"
 
     options = " || ".join(
         [
-            f"'- strict: ' || coalesce({js}(t.j, '{o}.strict'), 'false') || {NL}",
+            f"'- strict: ' || {flag('strict')} || {NL}",
             f"'- target: ' || coalesce({js}(t.j, '{o}.target'), 'unknown') || {NL}",
             f"'- module: ' || coalesce({js}(t.j, '{o}.module'), 'unknown') || {NL}",
-            f"'- noUncheckedIndexedAccess: ' || coalesce({js}(t.j, '{o}.noUncheckedIndexedAccess'), 'false')",
+            f"'- noUncheckedIndexedAccess: ' || {flag('noUncheckedIndexedAccess')}",
             f"coalesce({NL} || '- paths: ' || json_extract(t.j, '{o}.paths')::VARCHAR, '')",
         ]
     )
@@ -1069,7 +1073,7 @@ def briefs() -> list[str]:
         *inventory(), *history(),
         f"bd AS (SELECT project_root, {agg(chr(39) + '- ' + chr(39) + ' || name', 'i', 'i <= 20')} AS deps FROM (SELECT project_root, unnest({dep}) AS name, generate_subscripts({dep}, 1) AS i FROM pkg WHERE json_exists(j, '$.dependencies')) GROUP BY ALL)",
         f"""bs AS (SELECT project_root, {agg("'- `npm run ' || name || '`: ' || json_extract_string(j, '$.scripts." + chr(34) + "' || name || '" + chr(34) + "')", 'i', 'i <= 10')} AS scr
-          FROM (SELECT project_root, j, unnest({scripts}) AS name, generate_subscripts({scripts}, 1) AS i FROM pkg WHERE json_exists(j, '$.scripts')) GROUP BY project_root)""",
+          FROM (SELECT project_root, j, unnest({scripts}) AS name, generate_subscripts({scripts}, 1) AS i FROM pkg WHERE json_type(j, '$.scripts') = 'OBJECT') GROUP BY project_root)""",
         f"bt AS (SELECT project_root, {agg('repeat(' + chr(39) + '  ' + chr(39) + ', depth) || name || CASE WHEN is_dir THEN ' + q('/') + ' ELSE ' + q('') + ' END', 'key')} AS structure FROM tree GROUP BY project_root)",
         f"""be AS (SELECT project_root, {agg("'- ' || split_part(l, '=', 1)", 'i')} AS env FROM (SELECT project_root, {trim('l')} AS l, i FROM
           (SELECT project_root, unnest(string_split(content, {NL})) AS l, generate_subscripts(string_split(content, {NL}), 1) AS i FROM project_files WHERE path = '.env.example'))

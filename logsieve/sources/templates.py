@@ -325,6 +325,9 @@ MANIFESTS = [
     '{"description": "no name {key}", "devDependencies": {"jest": "29"}}',
     '{"name": "{name}", "scripts": {"a": "1", "b": "2", "c": "3", "d": "4", "e": "5", "f": "6", "g": "7", "h": "8", "i": "9", "j": "10", "k": "11"}}',
     '{broken {key}',
+    '{"name": "odd {key}", "engines": ">=18", "dependencies": {"x": "1"}, "devDependencies": {"vitest": "1"}, "scripts": "none"}',
+    '{"name": "trailing {key}", "dependencies": {"x": "1"}} // done',
+    "{'name': 'quoted {key}'}",
 ]
 
 # (modulus, remainder, path, content): the file exists where key % modulus = remainder.
@@ -332,6 +335,12 @@ PROJECT_FILES = [
     (2, 0, "tsconfig.json", '{"compilerOptions": {"strict": true, "target": "ES2022", "module": "NodeNext", "paths": {"@/*": ["src/*"]}}}'),
     (6, 3, "tsconfig.json", '{"compilerOptions": {"strict": false, "noUncheckedIndexedAccess": true}}'),
     (6, 5, "tsconfig.json", '{"extends": "./base.json"}'),
+    (12, 1, "tsconfig.json", '{"compilerOptions": {"strict": "false", "noUncheckedIndexedAccess": 0, "target": "ES5"}}'),
+    (12, 7, "tsconfig.json", '{"compilerOptions": {"strict": true}} // comment'),
+    (4, 1, "src/auth/index.ts", "auth"),
+    (4, 1, "src/auth-client/main.ts", "client"),
+    (4, 1, "src/App.ts", "capital"),
+    (4, 1, "src/api.ts", "small"),
     (3, 0, ".env.example", "# settings\nAPI_KEY=abc{key}\n  DB_URL=postgres://x=y\nNOVALUE\n=empty\n\nMODE={segment}"),
     (4, 1, "README.md", "# {name}\n" + "A project of the {segment} segment. " * 20),
     (4, 2, "readme.md", "lower case readme {key}"),
@@ -360,4 +369,9 @@ REPLIES = [
     'Sorry, I cannot answer {doc}.',
     '```\n{"fixFile": "a{doc}.ts", "fixAlternatives": ["single"]}\n```',
     '{"rootCauseNarrative": "cut off {doc}',
+    '',
+    '[1]',
+    '{"codeFix": "f{doc}", "fixAlternatives": "one"}',
+    '{"codeFix": "f{doc}"} and more',
+    "{'codeFix': 'f{doc}'}",
 ]

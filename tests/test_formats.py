@@ -1,6 +1,9 @@
 """Hand-written expectations per output format, odd cases included."""
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 
 def shown(failures):
@@ -261,3 +264,54 @@ def test_languages(spark):
     rows = spark.createDataFrame([(n,) for n in names], "f string")
     got = [r[0] for r in rows.select(language_from_ext(F.col("f"))).collect()]
     assert got == ["typescript", "python", "text", "text", "text", "text", "rust"]
+
+
+def seconds(run):
+    started = time.perf_counter()
+    run()
+    return time.perf_counter() - started
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["\n" * 80_000 + "error .go: .rs: File .java: at (:", "at " + "(" * 500_000 + ":1 error", "x" * 1_000_000 + " error"],
+    ids=["blank lines", "one line of brackets", "one long word"],
+)
+def test_detection_is_linear(runs_of, text):
+    from logsieve.operators.detect import format_of
+
+    def run(t):
+        runs_of(t).select(format_of(F.col("stdout")).alias("f")).collect()
+
+    run("warm")
+    assert seconds(lambda: run(text)) < 20
+
+
+def test_many_go_tests_are_linear(runs_of):
+    from logsieve.operators.parse import parse_runs
+
+    def run(n):
+        text = "\n".join(f"--- FAIL: TestCase{i} (0.00s)\n    a_test.go:{i + 1}: bad {i}" for i in range(n))
+        rows = parse_runs(runs_of(text)).select(F.size("failures").alias("n"), F.get("failures", F.lit(n - 1))["error_message"].alias("m")).first()
+        assert rows["n"] == n and rows["m"] == f"bad {n - 1}"
+
+    run(10)
+    assert seconds(lambda: run(8_000)) < 20
+
+
+def test_go_tests_of_one_name_and_prefixes(failures_for):
+    text = "\n".join([
+        "--- FAIL: TestAB (0.00s)", "    a_test.go:1: first", "--- FAIL: TestA (0.00s)", "    a_test.go:2: second",
+        "--- FAIL: TestA (0.00s)", "--- FAIL: TestB (0.00s)",
+    ])
+    _, found = failures_for(text)
+    assert [(f["test_name"], f["error_message"]) for f in found] == [
+        ("TestAB", "first"), ("TestA", "first"), ("TestA", "first"), ("TestB", "Test TestB failed"),
+    ]
+
+
+def test_failing_peer_search_is_linear(runs_of):
+    from logsieve.operators.parse import parse_runs
+
+    text = "npm ERR! code ERESOLVE\nCould not resolve dependency:\n" + "npm ERR! peerless\n" * 40_000
+    assert seconds(lambda: parse_runs(runs_of(text)).select("failures").collect()) < 20
