@@ -21,9 +21,11 @@ WINDOW, STEP = 5, 3
 SHARE, PLAIN = 0.8, 5
 #: Benchmark windows, and candidate places, that are sent to every task; more are met by a join.
 SENT = 200_000
-#: A number, or a word with what may end a sentence.
-WORD = r"\d(?:[\d.,]*\d)?[.!?:]*|\p{L}[\p{L}\p{N}]*[.!?:]*"
-ENDS = ".!?:"
+#: Marks of the typed placeholders (private characters), and of the ends of the values they keep.
+NUMBER, UNIT, NAME, NAME_END, NUMBER_END = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
+#: A name: a capital behind a blank that neither a line nor a sentence starts before.
+NAME_PATTERN = r"\p{Lu}(?<=[^.!?:\s][ \t]\p{Lu})[\p{L}\p{N}]*"
+NUMBER_PATTERN = r"\d(?:[\d.,]*\d)?(?![\p{L}\p{N}]*\ue003)"
 UNITS = [
     "mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "meter", "meters",
     "metre", "metres", "mg", "g", "kg", "gram", "grams", "kilogram", "kilograms", "ounce", "ounces", "pound",
@@ -32,32 +34,31 @@ UNITS = [
     "months", "year", "years", "usd", "eur", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "mph",
     "kmh", "degrees", "celsius", "kelvin", "volt", "volts", "watt", "watts", "joule", "joules", "newton", "newtons",
 ]
-NUMBER_SLOT, UNIT_SLOT, NAME_SLOT = "<num>", "<unit>", "<name>"
+UNIT_PATTERN = rf"\s*({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
+BETWEEN = r"[^\p{L}\p{N}\ue000-\ue002]+"
+MARKED = r"[\ue000-\ue002][^\ue003\ue004]*[\ue003\ue004]|[\p{L}\p{N}]+"
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
-
-
-def _is_number(word: Column) -> Column:
-    return F.substring(word, 1, 1).between("0", "9")
+def _template(text: Column) -> Column:
+    """Template words of a text, by passes over the text as a whole."""
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), NAME_PATTERN, f" {NAME} ")
+    numbers = F.regexp_replace(text, NUMBER_PATTERN, f" {NUMBER} ")
+    units = F.regexp_replace(numbers, f"(?i)({NUMBER} ){UNIT_PATTERN}", f"$1{UNIT} ")
+    text = F.when(text.rlike(r"\d"), units).otherwise(text)
+    return F.array_remove(F.split(F.lower(text), BETWEEN), "")
 
 
-def _template(words: str) -> Column:
-    """Template words of the array column ``words``."""
+def _words(text: Column) -> Column:
+    """The same words, with the value behind each placeholder."""
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), NAME_PATTERN, f" {NAME}$0{NAME_END} ")
+    text = F.regexp_replace(text, NUMBER_PATTERN, f" {NUMBER}$0{NUMBER_END} ")
+    text = F.regexp_replace(text, f"(?i)({NUMBER_END} ){UNIT_PATTERN}", f"$1{UNIT}$2{NAME_END} ")
+    return F.regexp_extract_all(F.lower(text), F.lit(MARKED), F.lit(0))
 
-    def one(word, i):
-        plain = F.lower(F.rtrim(word, F.lit(ENDS)))
-        before = F.when(i > 0, F.get(words, i - 1))
-        first = F.substring(word, 1, 1)
-        inside = before.isNotNull() & ~F.right(before, F.lit(1)).isin(*ENDS)
-        unit = inside & _is_number(before) & plain.isin(UNITS)
-        name = inside & (F.lower(first) != first)
-        return (
-            F.when(_is_number(word), NUMBER_SLOT).when(unit, UNIT_SLOT).when(name, NAME_SLOT).otherwise(plain)
-        )
 
-    return F.transform(words, one)
+def _kind(word: Column) -> Column:
+    mark = F.substring(word, 1, 1)
+    return F.when(mark.isin(NUMBER, UNIT, NAME), mark).otherwise(word)
 
 
 def _windows(template: str, size: int, step: int) -> Column:
@@ -68,27 +69,27 @@ def _windows(template: str, size: int, step: int) -> Column:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    rows = benchmark.where("item_id IS NOT NULL").select("item_id", _words(F.col("text")).alias("item_words"))
-    rows = rows.withColumn("item", _template("item_words")).where(F.size("item") > 0)
-    return rows.distinct()
+    rows = benchmark.where("item_id IS NOT NULL").select(
+        "item_id", _words(F.col("text")).alias("item_words"), _template(F.col("text")).alias("item")
+    )
+    return rows.where(F.size("item") > 0).distinct()
 
 
 def _agreement(found: DataFrame) -> DataFrame:
-    """Compares ``words``/``doc`` from ``start`` on with ``item_words``/``item``."""
-    at = lambda array, p: F.when(p + F.col("start") >= 0, F.get(array, p + F.col("start")))
-    places = F.sequence(F.lit(0), F.size("item") - 1)
-    value = lambda word: F.lower(F.rtrim(word, F.lit(ENDS)))
-    same = F.filter(places, lambda p: F.coalesce(at("doc", p) == F.get("item", p), F.lit(False)))
+    """Compares ``words`` from ``start`` on with ``item_words``."""
+    at = lambda p: F.when(p + F.col("start") >= 0, F.get("words", p + F.col("start")))
+    places = F.sequence(F.lit(0), F.size("item_words") - 1)
+    same = F.filter(places, lambda p: F.coalesce(_kind(at(p)) == _kind(F.get("item_words", p)), F.lit(False)))
     found = found.withColumn("same", same)
-    slots = F.filter("same", lambda p: F.get("item", p).isin(NUMBER_SLOT, UNIT_SLOT, NAME_SLOT))
+    slots = F.filter("same", lambda p: _kind(F.get("item_words", p)).isin(NUMBER, UNIT, NAME))
     pairs = F.array_distinct(F.transform(slots, lambda p: F.struct(
-        F.get("item", p).alias("slot"), value(F.get("item_words", p)).alias("asked"), value(at("words", p)).alias("found")
+        F.get("item_words", p).alias("asked"), at(p).alias("found")
     )))
     found = found.withColumn("slots", F.size(slots)).withColumn("pairs", pairs)
-    side = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(x["slot"], x[name]))))
+    side = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda x: x[name])))
     changed = F.size(F.filter("pairs", lambda x: x["asked"] != x["found"]))
     return found.select(
-        "doc_id", "item_id", "start", F.size("same").alias("n_same"), F.size("item").alias("n_words"),
+        "doc_id", "item_id", "start", F.size("same").alias("n_same"), F.size("item_words").alias("n_words"),
         changed.alias("n_changed"),
         ((side("asked") == F.size("pairs")) & (side("found") == F.size("pairs"))).alias("consistent"),
         ((F.size("same") - F.col("slots") >= PLAIN) | (changed == 0)).alias("enough"),
@@ -109,9 +110,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     no items give no rows. The benchmark's windows go to every task only if they are few.
     """
     items = stage(_items(benchmark))
-    rows = docs.where("doc_id IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"), _words(F.col("text")).alias("words")
-    ).withColumn("doc", _template("words"))
+    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select("doc_id", _template(F.col("text")).alias("doc"))
     sizes = items.select(F.least(F.size("item"), F.lit(WINDOW)).alias("size")).distinct().collect()
     met = None
     for size in sorted(r["size"] for r in sizes):
@@ -133,9 +133,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if met is None:
         met = rows.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start")).limit(0)
     met = stage(met.distinct())
+    ids = met.select("doc_id").distinct()
     if met.count() <= SENT:
-        met = F.broadcast(met)
-    found = _agreement(rows.join(met, "doc_id").join(items, "item_id"))
+        met, ids = F.broadcast(met), F.broadcast(ids)
+    # Only documents that met an item are read word by word.
+    suspects = docs.join(ids, "doc_id", "left_semi")
+    suspects = suspects.select("doc_id", _words(F.col("text")).alias("words"))
+    found = _agreement(suspects.join(met, "doc_id").join(items.drop("item"), "item_id"))
     found = found.where((F.col("n_same") >= SHARE * F.col("n_words")) & F.col("consistent") & F.col("enough"))
     best = F.max(F.struct("n_same", (-F.col("start")).alias("back"), "n_words", (-F.col("n_changed")).alias("kept")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select(
