@@ -6,6 +6,7 @@ Patterns are written in the subset that Java and RE2 regular expressions agree o
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 from pyspark import SparkContext
@@ -145,13 +146,17 @@ def reusable(build: Callable) -> Callable:
 
     The larger expressions take thousands of calls into the JVM to put together.
     """
-    made: dict = {}
+    # By gateway object, not by its id: an id may be given out again after a restart.
+    made: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
     def once(*args):
-        key = (id(SparkContext._gateway), *args)
-        if key not in made:
-            made[key] = build(*args)
-        return made[key]
+        gateway = SparkContext._gateway
+        if gateway is None:
+            return build(*args)
+        mine = made.setdefault(gateway, {})
+        if args not in mine:
+            mine[args] = build(*args)
+        return mine[args]
 
     return once
 

@@ -8,11 +8,12 @@ counts are kept per window.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from logsieve.functions.text import each
 from logsieve.operators.infer import confidence_name, match_rules
@@ -45,7 +46,7 @@ def assemble_runs(lines: DataFrame, gap: str = "30 seconds", delay: str = "1 min
     """(run_id, project_root, ts, line_no, line) -> runs, once a run has been silent for ``gap``.
 
     A run is complete when the watermark passes its session; lines that come later are dropped
-    and counted by the query's progress. State holds the lines of open runs only.
+    and counted by ``LateRows``. State holds the lines of open runs only.
     """
     closed = (
         lines.withWatermark("ts", delay)
@@ -105,10 +106,12 @@ def write_batches(
     path: str,
     checkpoint: str,
     mode: str = "append",
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Apply a batch operator to every micro-batch and write it under the batch's number.
 
     A batch that is run again after a failure overwrites its own folder, so each is written once.
+    ``trigger`` holds the arguments of the trigger; without it all that is there now is taken.
     """
 
     def write(rows: DataFrame, batch: int) -> None:
@@ -117,16 +120,31 @@ def write_batches(
     return (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .foreachBatch(write)
         .start()
     )
 
 
-def dropped_rows(query: StreamingQuery) -> int:
-    """Rows that came behind the watermark, from the progress the query still holds."""
-    return sum(
-        int(state["numRowsDroppedByWatermark"])
-        for progress in query.recentProgress
-        for state in progress["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Counts the rows that came behind the watermark, over the whole life of each query.
+
+    Add it with ``spark.streams.addListener`` before the query starts; a query itself only
+    remembers its latest triggers.
+    """
+
+    def __init__(self):
+        self.dropped: Counter = Counter()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        for state in event.progress.stateOperators:
+            self.dropped[str(event.progress.id)] += state.numRowsDroppedByWatermark
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

@@ -1,6 +1,7 @@
 """Streams replayed from files and compared with the batch operators."""
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -39,13 +40,20 @@ def test_lines_become_runs(spark, tmp_path):
     stream = replay(spark, str(tmp_path / "in"), [first, sentinel, between, late])
     runs = J.assemble_runs(stream, gap="30 seconds", delay="1 minute")
     out = str(tmp_path / "out")
+    late_rows = J.LateRows()
+    spark.streams.addListener(late_rows)
     query = J.write_batches(runs, lambda rows: rows, out, str(tmp_path / "state"))
     query.awaitTermination()
     rows = spark.read.schema(runs.schema).parquet(out)
     got = {r.run_id: r for r in rows.collect()}
     assert set(got) == {1, 2}
     assert got[1].stdout == "\n".join(text) and got[1].n_lines == 3
-    assert J.dropped_rows(query) == 1
+    for _ in range(100):
+        if late_rows.dropped[str(query.id)]:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(late_rows)
+    assert late_rows.dropped[str(query.id)] == 1
     causes = {(r.run_id, r.category) for r in hypotheses_of(parse_runs(rows)).collect()}
     assert causes == {(1, "type_mismatch"), (2, "timeout")}
 
