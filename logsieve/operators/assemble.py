@@ -184,7 +184,8 @@ def _joined(
         hypotheses, "hyp_idx", "causes", "category", "confidence", "explanation", "evidence",
         "suggested_fix",
     )
-    rows = analysed.select("run_id", "project_root", "failures").join(causes, "run_id", "left")
+    kept = [c for c in ("run_id", "project_root", "format", "failures") if c in analysed.columns]
+    rows = analysed.select(*kept).join(causes, "run_id", "left")
     if snippets is not None:
         shown = _listed(
             snippets, "snippet_idx", "snippets", "file", "start_line", "end_line", "content",
@@ -364,6 +365,38 @@ def enhancement_prompts(
     return rows.select("run_id", text.alias("text"))
 
 
+SOURCES_TYPE = (
+    "array<struct<query:string,results:array<struct<title:string,url:string,content:string,score:double>>>>"
+)
+REPLY_TYPE = (
+    "struct<narrative:string,code_fix:string,fix_file:string,fix_explanation:string,"
+    "alternatives:array<string>,external_synthesis:string,model:string>"
+)
+
+
+def _sources(results: DataFrame) -> DataFrame:
+    """Search results of each run as queries with their results, both in order."""
+    hit = F.struct("result_idx", "title", "url", "content", "score")
+    queries = results.groupBy("run_id", "query_idx", "query").agg(
+        F.sort_array(F.collect_list(hit)).alias("hits")
+    )
+    found = F.transform(
+        "hits",
+        lambda h: F.struct(*[h[f].alias(f) for f in ("title", "url", "content", "score")]),
+    )
+    return (
+        queries.select("run_id", F.struct("query_idx", "query", found.alias("results")).alias("q"))
+        .groupBy("run_id")
+        .agg(F.array_sort(F.collect_list("q")).alias("qs"))
+        .select(
+            "run_id",
+            F.transform(
+                "qs", lambda q: F.struct(q["query"].alias("query"), q["results"].alias("results"))
+            ).alias("sources"),
+        )
+    )
+
+
 def assemble_packets(
     runs: DataFrame,
     analysed: DataFrame,
@@ -372,19 +405,35 @@ def assemble_packets(
     related: DataFrame,
     summaries: DataFrame,
     repo: DataFrame,
-    counts: DataFrame,
     steps: DataFrame,
+    counts: DataFrame | None = None,
+    sources: DataFrame | None = None,
+    enhancements: DataFrame | None = None,
+    tool_version: str = VERSION,
 ) -> DataFrame:
     """(run_id, project_root, packet): the nested result with defaults for missing parts.
 
+    With ``counts`` the packet is that of a command. Without, it is that of supplied output: named
+    after its format, exit code 1, everything in stdout, no counts. ``sources`` are the search
+    results by query, ``enhancements`` the parsed model replies; failed ones are left out.
     The run's own output stays in ``runs`` and is joined once, at the end.
     """
     rows = _joined(analysed, hypotheses, snippets, summaries, repo)
     files = _listed(related, "file_idx", "related", "file")
     timeline = _listed(steps, "step_idx", "steps", "step", "status", "duration_ms", "error")
+    if sources is not None:
+        rows = rows.join(_sources(sources), "run_id", "left")
+    if enhancements is not None:
+        reply = F.struct(
+            "narrative", "code_fix", "fix_file", "fix_explanation", "alternatives",
+            "external_synthesis", "model",
+        )
+        good = enhancements.filter("not failed").select("run_id", reply.alias("reply"))
+        rows = rows.join(good, "run_id", "left")
+    if counts is not None:
+        rows = rows.join(counts, "run_id", "left")
     rows = (
         rows.join(files, "run_id", "left")
-        .join(counts, "run_id", "left")
         .join(timeline, "run_id", "left")
         .join(
             runs.select("run_id", "command", "exit_code", "stdout", "stderr", "duration_ms", "ts"),
@@ -410,14 +459,30 @@ def assemble_packets(
         )
         return F.coalesce(items, F.array())
 
+    none = F.lit(None).cast("int")
+    if counts is not None:
+        test_run = F.struct(
+            "command", "exit_code", "stdout", "stderr", "duration_ms",
+            found.alias("failures"), "total", "passed", "failed",
+        )
+    else:
+        output = F.concat_ws("\n", F.nullif("stdout", F.lit("")), F.nullif("stderr", F.lit("")))
+        test_run = F.struct(
+            F.concat(F.lit("("), F.col("format"), F.lit(" output)")).alias("command"),
+            F.lit(1).alias("exit_code"), output.alias("stdout"), F.lit("").alias("stderr"),
+            F.lit(0.0).alias("duration_ms"), found.alias("failures"),
+            none.alias("total"), none.alias("passed"), none.alias("failed"),
+        )
+    if sources is not None:
+        listed_sources = F.coalesce("sources", F.array().cast(rows.schema["sources"].dataType))
+    else:
+        listed_sources = F.array().cast(SOURCES_TYPE)
+
     packet = F.struct(
         F.lit(VERSION).alias("version"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"),
         F.col("project_root"),
-        F.struct(
-            "command", "exit_code", "stdout", "stderr", "duration_ms",
-            found.alias("failures"), "total", "passed", "failed",
-        ).alias("test_run"),
+        test_run.alias("test_run"),
         F.struct(
             without_order(
                 "snippets", "file", "start_line", "end_line", "content", "language"
@@ -429,18 +494,24 @@ def assemble_packets(
         F.struct(
             F.col("hash").isNotNull().alias("available"),
             "diff",
+            _column(rows, "branch").alias("branch"),
             F.col("subject").alias("last_commit_message"),
             F.col("hash").alias("last_commit_hash"),
         ).alias("git_context"),
         F.struct(
+            listed_sources.alias("sources"),
             F.coalesce("summary", F.lit("")).alias("summary"),
             F.coalesce("available", F.lit(False)).alias("search_available"),
         ).alias("external_knowledge"),
         without_order(
             "causes", "category", "confidence", "explanation", "evidence", "suggested_fix"
         ).alias("root_causes"),
+        (F.col("reply") if enhancements is not None else F.lit(None).cast(REPLY_TYPE)).alias(
+            "llm_enhancement"
+        ),
         F.struct(
-            without_order("steps", "step", "status", "duration_ms", "error").alias("analysis_steps")
+            F.lit(tool_version).alias("tool_version"),
+            without_order("steps", "step", "status", "duration_ms", "error").alias("analysis_steps"),
         ).alias("metadata"),
     )
     return rows.select("run_id", "project_root", packet.alias("packet"))

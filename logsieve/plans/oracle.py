@@ -1118,13 +1118,11 @@ def _declare_prompt_part() -> None:
     )
 
 
-    bar = hit("text", X.COUNTS_BAR)
-    total = f"CASE WHEN {bar} THEN {num('text', X.COUNTS_BAR, 3)} ELSE {num('text', X.COUNTS_TOTAL, 3)} END"
     ORACLE["assemble_packets"] = statement(
-        [*parts, RUN_STEPS, f"plain AS (SELECT run_id, regexp_replace(text, {q(ANSI)}, '', 'g') AS text FROM texts)"],
-        f"""SELECT r.run_id, r.project_root, '1.0.0' AS version, command, exit_code, {total} AS total, coalesce(errors, '') AS errors, coalesce(categories, '') AS categories,
+        [*parts, RUN_STEPS],
+        f"""SELECT r.run_id, r.project_root, '1.0.0' AS version, '(' || format || ' output)' AS command, 1 AS exit_code, NULL::INTEGER AS total, coalesce(n_results, 0) AS n_results, coalesce(errors, '') AS errors, coalesce(categories, '') AS categories,
         coalesce(snippet_starts, '') AS snippet_starts, coalesce(related_files, '') AS related_files, n.commit_hash AS last_commit_hash, len(d.diff)::INTEGER AS diff_length,
-        available AS search_available, len(summary)::INTEGER AS summary_length, steps FROM runs r JOIN plain USING (run_id) LEFT JOIN summaries USING (run_id)
+        available AS search_available, len(summary)::INTEGER AS summary_length, steps FROM runs r JOIN (SELECT run_id, format FROM formats) USING (run_id) LEFT JOIN (SELECT run_id, count(*) AS n_results FROM search_results GROUP BY run_id) USING (run_id) LEFT JOIN summaries USING (run_id)
         LEFT JOIN (SELECT project_root, commit_hash FROM numbered WHERE rk = 1) n USING (project_root) LEFT JOIN diffs d USING (project_root)
         LEFT JOIN (SELECT run_id, string_agg(error_message, '|' ORDER BY failure_idx) AS errors FROM failures GROUP BY run_id) USING (run_id)
         LEFT JOIN (SELECT run_id, string_agg(category, '|' ORDER BY hyp_idx) AS categories FROM hypotheses GROUP BY run_id) USING (run_id)

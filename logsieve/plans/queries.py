@@ -555,8 +555,8 @@ def packets(spark, sf_dir):
     return A.assemble_packets(
         B.runs(spark, sf_dir),
         related=C.related_files(ready["analysed"]),
-        counts=P.extract_test_counts(generic_texts(spark, sf_dir)),
         steps=B.run_steps(spark, sf_dir),
+        sources=B.search_results(spark, sf_dir),
         **ready,
     )
 
@@ -583,6 +583,9 @@ def assemble_packets(spark, sf_dir):
         F.col(p + "git_context.last_commit_hash").alias("last_commit_hash"),
         F.length(p + "git_context.diff").alias("diff_length"),
         F.col(p + "external_knowledge.search_available").alias("search_available"),
+        F.aggregate(
+            p + "external_knowledge.sources", F.lit(0), lambda n, s: n + F.size(s["results"])
+        ).cast("long").alias("n_results"),
         F.length(p + "external_knowledge.summary").alias("summary_length"),
         listed("metadata.analysis_steps", "status").alias("steps"),
     )
