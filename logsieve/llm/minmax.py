@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logsieve.llm.batches import small_batches
 from logsieve.llm.components import components
 from logsieve.llm.words import mixed, shingles
 from logsieve.sources.sinks import stage
@@ -22,6 +23,9 @@ from logsieve.sources.sinks import stage
 BANDS, PERMS_A_BAND = 40, 3
 #: Documents, and characters, of one block of a candidate group.
 BLOCK, BLOCK_CHARS = 512, 8_000_000
+#: Candidate documents (16 bytes each) that are sent to every task to find their texts; more are
+#: met by a join that moves the texts.
+SENT = 500_000
 
 _random = np.random.default_rng(20)
 _A = _random.integers(0, 2**31, (BANDS * PERMS_A_BAND, 1), np.uint32) * np.uint32(2) + np.uint32(1)
@@ -130,6 +134,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     component and is kept. Repeated rows all come back; rows of one doc_id count as one document,
     so a repeated row is kept if its doc_id is. Other columns are ignored. No rows give no rows.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_shingles long, set_sum long, set_xor long, bands array<long>"
     found = stage(docs.mapInPandas(_sketches(n), schema))
@@ -148,9 +153,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         .drop("last")
     )
     met = buckets.join(centers, "band").where("rep != center").select(F.col("rep").alias("a"), F.col("center").alias("b"))
-    groups = components(met).withColumnRenamed("node", "rep")
+    groups = stage(components(met).withColumnRenamed("node", "rep"))
+    if groups.count() <= SENT:
+        groups = F.broadcast(groups)
     texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    members = stage(groups.join(texts, "rep"))
+    members = stage(texts.join(groups, "rep"))
     blocks = members.groupBy("component_id").agg(
         F.greatest(
             F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)
