@@ -21,6 +21,8 @@ from logsieve.sources.sinks import stage
 FEWEST, MOST = 64, 4096
 #: Nearest points that describe a vector, shared ones that make a candidate, vectors of a block.
 NEAREST, SHARED, BLOCK = 10, 2, 1024
+#: Cosine from which on two reference points are one.
+CLOSE = 0.9
 
 
 def _unit(rows: pd.Series) -> np.ndarray:
@@ -28,6 +30,16 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _spread(x: np.ndarray) -> np.ndarray:
+    """The vectors that none before them is close to. Points inside one tight group would order
+    themselves by chance for each of its members."""
+    kept: list[int] = []
+    for i in range(len(x)):
+        if not kept or (x[kept] @ x[i]).max() < CLOSE:
+            kept.append(i)
+    return x[kept]
+
+
 def _describe(points: dict[int, np.ndarray], nearest: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -55,7 +67,7 @@ def _verify(cosine: float, shared: int):
         has = np.zeros((len(rows), len(columns)), np.float32)
         np.put_along_axis(has, np.searchsorted(columns, described), 1, axis=1)
         lower = has[:, columns < own]
-        link = has @ has.T >= shared
+        link = has @ has.T >= min(shared, described.shape[1])
         link &= lower @ lower.T == 0
         mine, across = rows["mine"].to_numpy(), rows["row"].iloc[0] != rows["column"].iloc[0]
         if across:
@@ -110,7 +122,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, nearest: int = NEA
     by_length: dict[int, list] = {}
     for row in sample:
         by_length.setdefault(len(row["embedding"]), []).append(row["embedding"])
-    points = {d: _unit(pd.Series(v)) for d, v in by_length.items()}
+    points = {d: _spread(_unit(pd.Series(v))) for d, v in by_length.items()}
     fields = "rep long, copies long, label int, embedding array<float>"
     described = classes.select("rep", "copies", F.hash("label", F.size("embedding")).alias("label"), "embedding")
     described = stage(described.mapInPandas(_describe(points, nearest), f"{fields}, points array<int>"))

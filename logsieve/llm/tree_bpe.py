@@ -17,6 +17,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logsieve.llm.batches import small_batches
+
 #: Characters up to which a text is encoded whole, and of the first window at a cut.
 LEAF, WINDOW = 8192, 64
 
@@ -134,6 +136,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     null doc_id stays null, other columns are ignored, no rows give no rows. No shuffle.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(path))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInPandas(_encoder(ranks, pattern), "doc_id long, n_tokens long, ids binary")
@@ -142,6 +145,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """The rows of ``encode`` with their bytes as ``decoded``; null ids decode to no bytes."""
     spark = encoded.sparkSession
+    small_batches(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(path))
     rows = encoded.select("doc_id", "n_tokens", "ids")
     return rows.mapInPandas(
