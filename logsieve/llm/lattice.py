@@ -28,6 +28,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logsieve.llm.batches import small_batches
 from logsieve.llm.words import words
 from logsieve.sources.sinks import stage
 
@@ -128,13 +129,18 @@ class Lattice:
         beta = np.full((len(batch), length + 1), -np.inf)
         beta[:, length] = 0
         arcs = list(self._arcs(batch))
-        out = np.zeros(len(self.ends))
+        nodes, uses = [], []
         for begin, end, node in sorted(arcs, key=lambda a: -a[0]):
             arc = by_node[node] + beta[:, end]
             if begin >= 0:
                 beta[:, begin] = np.logaddexp(beta[:, begin], arc)
             used = np.exp(arc + (0.0 if begin < 0 else alpha[:, begin]) - total)
-            out += np.bincount(node, weights=used, minlength=len(out))
+            hit = used > 1e-12
+            nodes.append(node[hit])
+            uses.append(used[hit])
+        out = np.zeros(len(self.ends))
+        if nodes:
+            out += np.bincount(np.concatenate(nodes), weights=np.concatenate(uses), minlength=len(out))
         out[self.start] += np.exp(by_node[self.start] + beta[:, 0] - total).sum()
         return out
 
@@ -147,7 +153,7 @@ class Lattice:
             if not len(places):
                 continue
             length = int(sizes[places[0]])
-            step = max(1, 500_000 // max(length, 1))
+            step = max(1, 200_000 // max(length, 1))
             for at in range(0, len(places), step):
                 some = places[at : at + step]
                 joined = b"".join([ws[i] for i in some])
@@ -192,10 +198,19 @@ def _use_pieces(pieces, scores):
         lattice = _lattice(pieces.value)
         by_node = lattice.scores_by_node(scores)
         total = np.zeros(len(lattice.ends))
+        ws: list[bytes] = []
+
+        def use() -> None:
+            for _, part in lattice.batches(ws):
+                np.add(total, lattice.expected(part, by_node), out=total)
+            ws.clear()
+
+        # Words of one length are walked together, so many are gathered first.
         for batch in batches:
-            ws = batch["word"].tolist()
-            for places, part in lattice.batches(ws):
-                total += lattice.expected(part, by_node)
+            ws.extend(batch["word"].tolist())
+            if len(ws) > 100_000:
+                use()
+        use()
         node = np.flatnonzero(total)
         yield pd.DataFrame({"piece": lattice.ends[node], "used": total[node]})
 
@@ -222,6 +237,7 @@ def fit(docs: DataFrame, path: str, rounds: int = ROUNDS) -> Model:
     Word counts stay a table. The driver gets one number for each piece of the vocabulary.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     pieces, scores = vocabulary(path)
     counts = stage(word_counts(docs))
     ends = docs.count()
@@ -301,6 +317,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
     and meet the word counts in a join.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     top = model.counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     frequent = spark.sparkContext.broadcast({bytes(r["word"]): r["n"] for r in top})
     rows = docs.select(
