@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,11 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logsieve.llm.batches import small_batches
 from logsieve.llm.files import attempt_name, new_folder, open_folder
 from logsieve.sources.sinks import stage
 
 #: Distinct text pieces whose ids a worker remembers, and characters of one call to the tokenizer.
-REMEMBERED, CALL_CHARS = 800_000, 200_000
+REMEMBERED, CALL_CHARS = 300_000, 20_000
+#: A word and signs behind it, none of them an apostrophe.
+SIGNED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&*#$|()]+)").fullmatch
 MASK = 0xA282EAD8
 HEAD, PAYLOAD, ENTRY = "<QI", "<qB", "<qQQ"
 
@@ -52,8 +56,12 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
-        #: Packed ids of a blank and this text; only texts that do not end in white space.
+        #: Packed ids of a blank and this text; only texts that do not end in white space. When
+        #: full it becomes ``older``, which gives back what is met again.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        #: The same for texts without a blank.
+        self.bare: dict[str, bytes] = {}
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else None
@@ -61,13 +69,44 @@ class Tokens:
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, parts: list[str]) -> None:
-        """Many parts go through one call, with line feeds between them: a line feed before a
-        blank is a match, and an id, of its own."""
-        known, single, plain = self.known, [], []
+    def _learn(self, parts: set[str]) -> None:
+        """Learns texts behind a blank from what they are made of: a word, signs behind it and
+        lines behind a line feed are matches of their own and come back with others."""
+        made = []
+        words, bare = set(), set()
         for part in parts:
-            usual = self.feed is not None and "\n" not in part and not part[0].isspace()
-            (plain if usual else single).append(part)
+            first, *lines = part.split("\n")
+            if lines and not all(x and not x[0].isspace() and not x[-1].isspace() for x in (first, *lines)):
+                words.add(part)
+                continue
+            word, signs = found.groups() if (found := SIGNED(first)) else (first, "")
+            words.add(word)
+            bare.update(lines, [signs] if signs else [])
+            if word != part:
+                made.append((part, word, signs, lines))
+        if len(self.bare) > REMEMBERED:
+            self.bare.clear()
+        self._encode_all(self._unknown(words), self.known, " ")
+        self._encode_all(bare.difference(self.bare), self.bare, "")
+        feed = self._plain("\n").tobytes()
+        for part, word, signs, lines in made:
+            packed = self.known[word] + (self.bare[signs] if signs else b"")
+            self.known[part] = packed + b"".join([feed + self.bare[line] for line in lines])
+
+    def _unknown(self, parts: set[str]) -> set[str]:
+        """Those of ``parts`` that neither generation knows; the older one's come over."""
+        missing = parts.difference(self.known)
+        again = {p for p in missing if p in self.older}
+        self.known.update((p, self.older[p]) for p in again)
+        return missing - again
+
+    def _encode_all(self, texts: set[str], store: dict[str, bytes], blank: str) -> None:
+        """Many texts go through one call, with line feeds between them: a line feed before
+        something else than white space, or before one blank, is an id of its own."""
+        single, plain = [], []
+        for text in texts:
+            usual = self.feed is not None and "\n" not in text and not text[0].isspace()
+            (plain if usual else single).append(text)
         at = 0
         while at < len(plain):
             end, size = at, 0
@@ -75,37 +114,48 @@ class Tokens:
                 size += len(plain[end]) + 2
                 end += 1
             some = plain[at:end]
-            ids = self._plain("\n ".join(["", *some, ""])[:-1])
+            ids = self._plain("".join([f"\n{blank}{text}" for text in some]) + "\n")
             cuts = np.flatnonzero(ids == self.feed).tolist()
             if len(cuts) != len(some) + 1:
                 single += some
             else:
                 packed = ids.tobytes()
-                for part, low, high in zip(some, cuts, cuts[1:]):
-                    known[part] = packed[4 * low + 4 : 4 * high]
+                for text, low, high in zip(some, cuts, cuts[1:]):
+                    store[text] = packed[4 * low + 4 : 4 * high]
             at = end
-        for part in single:
-            known[part] = self._plain(" " + part).tobytes()
+        for text in single:
+            store[text] = self._plain(blank + text).tobytes()
+
+    def prepare(self, texts) -> None:
+        """Learns what is new in many texts at once."""
+        wanted: set[str] = set()
+        for text in texts:
+            if text:
+                wanted.update(text.split(" ")[1:])
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        self._learn({p for p in self._unknown(wanted) if p and not p[-1].isspace()})
 
     def encode(self, text: str) -> np.ndarray:
         if not text or any(s in text for s in self.specials):
             return self._plain(text)
         head, *parts = text.split(" ")
-        known = self.known
         try:
-            packed = b"".join([known[p] for p in parts])
+            packed = b"".join([self.known[p] for p in parts])
         except KeyError:
-            fresh = list({p for p in parts if p not in known})
+            wanted = set(parts)
+            if len(self.known) > REMEMBERED:
+                self.older, self.known = self.known, {}
+            fresh = self._unknown(wanted)
             if not all(p and not p[-1].isspace() for p in fresh):
                 return self._uneven(head, parts)
-            if len(known) + len(fresh) > REMEMBERED:
-                known.clear()
-                fresh = list(set(parts))
             self._learn(fresh)
-            packed = b"".join([known[p] for p in parts])
+            packed = b"".join([self.known[p] for p in parts])
         if not head or head[-1].isspace():
             return self._uneven(head, parts)
-        return np.concatenate([self._plain(head), np.frombuffer(packed, "<u4")])
+        if head not in self.bare:
+            self.bare[head] = self._plain(head).tobytes()
+        return np.frombuffer(self.bare[head] + packed, "<u4")
 
     def _uneven(self, head: str, parts: list[str]) -> np.ndarray:
         """A blank after white space, or at the start, stays with what stands before it."""
@@ -139,6 +189,7 @@ def _writer(tokenizer, folder: str, end_id: int):
         entries, count, low, offset = [], 0, None, 0
         with files.open_output_stream(f"{root}/{name}") as out:
             for batch in batches:
+                tokens.prepare(batch["text"])
                 for doc_id, text in zip(batch["doc_id"], batch["text"]):
                     ids = np.append(tokens.encode(text or ""), end_id)
                     frame = pack_frame(doc_id, ids)
@@ -171,6 +222,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
     the manifest, written through Spark's committer, names the files of the tasks that counted.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or new_folder(spark, "records")
     with open(tokenizer, encoding="utf-8") as file:
         shared = spark.sparkContext.broadcast(file.read())
@@ -234,7 +286,9 @@ def _reader(folder: str):
 
 def read_records(folder: str, manifest: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of every record; ids are packed as unsigned 32-bit integers."""
-    rows = manifest.select("file", "ids_before").repartition("file")
+    # A stated number: adaptive execution would put so few rows into one task.
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = manifest.select("file", "ids_before").repartition(parts, "file")
     return rows.mapInPandas(_reader(folder), "doc_id long, start long, n_tokens long, ids binary")
 
 
