@@ -318,7 +318,8 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
     """
     spark = docs.sparkSession
     small_batches(spark)
-    top = model.counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    # Written first: the driver gets the words once, not each task's candidates.
+    top = stage(model.counts.orderBy(F.desc("n"), "word").limit(FREQUENT)).collect()
     frequent = spark.sparkContext.broadcast({bytes(r["word"]): r["n"] for r in top})
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), *keep,

@@ -118,7 +118,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, nearest: int = NEA
     classes = stage(copies.join(classes, ["k1", "k2"]))
     n = classes.count()
     wanted = int(min(max(4 * n**0.5, FEWEST), MOST))
-    sample = classes.orderBy(F.xxhash64("rep", F.lit(7)), "rep").limit(wanted).select("embedding").collect()
+    # Written first: the driver gets the sample once, not each task's candidates.
+    sample = stage(classes.orderBy(F.xxhash64("rep", F.lit(7)), "rep").limit(wanted).select("embedding")).collect()
     by_length: dict[int, list] = {}
     for row in sample:
         by_length.setdefault(len(row["embedding"]), []).append(row["embedding"])
