@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logsieve.llm.batches import small_batches
 from logsieve.llm.files import attempt_name, new_folder, open_folder
 from logsieve.sources.sinks import stage
 
@@ -28,6 +29,8 @@ HUGE, HUGE_COUNT, TAIL = 0xFFFFFFFF, 0xFFFF, 65_557
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: Payloads below this many bytes are never revisits; record bytes that one reading task takes on.
 LEAST, RANGE_BYTES = 100, 16_000_000
+#: Repeated digests (about 100 bytes each) that are sent to every task; more are met by a join.
+SENT = 200_000
 
 
 class Member(NamedTuple):
@@ -200,9 +203,10 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> tuple[str, Da
     page_id have no record; of rows that repeat a page_id each has its record, and the copies of a
     leading page are responses like it. Other columns are ignored. No rows give no packages.
 
-    Digests are reduced to their smallest page_id before the shuffle; pages move once, to meet it,
-    in a join whose large keys may be split.
+    Digests are reduced to their smallest page_id before the shuffle. Those of several pages go to
+    every task if they are few; beyond, pages move once, in a join whose large keys may be split.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").where("page_id IS NOT NULL")
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = rows.withColumn("digest", F.sha2(payload, 256)).withColumn("size", F.octet_length(payload))
@@ -211,6 +215,9 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> tuple[str, Da
         .agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
         .where("first != last").drop("last")
     )
+    first = stage(first)
+    if first.count() <= SENT:
+        first = F.broadcast(first)
     marked = rows.join(first, "digest", "left").select(
         "page_id", "url", "html", "digest",
         F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"),
@@ -302,10 +309,12 @@ def read_archives(folder: str, manifest: DataFrame, payloads: bool = True) -> Da
     most ``RANGE_BYTES``, dealt out anew, so a large package is not one task. A revisit has an empty
     payload and carries the full one's length and digest.
     """
-    spans = manifest.select("file").repartition("file").mapInPandas(
+    # Stated numbers: adaptive execution would put so few rows into one task.
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spans = manifest.select("file").repartition(parts, "file").mapInPandas(
         _locate(folder), "file string, offset long, size long, n_records long"
     )
     kinds = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return spans.repartition("file", "offset").mapInPandas(
+    return spans.repartition(parts, "file", "offset").mapInPandas(
         _read(folder, payloads), kinds + ", payload binary" * payloads
     )
