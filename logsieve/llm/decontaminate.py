@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from logsieve.sources.sinks import stage
 
-#: Template words of a window, and the step between a document's windows.
-WINDOW, STEP = 5, 3
 #: Share of an item's template words that must agree, and agreeing plain words that make values free.
 SHARE, PLAIN = 0.8, 5
 #: Benchmark windows, and candidate places, that are sent to every task; more are met by a join.
@@ -61,11 +59,21 @@ def _kind(word: Column) -> Column:
     return F.when(mark.isin(NUMBER, UNIT, NAME), mark).otherwise(word)
 
 
-def _windows(template: str, size: int, step: int) -> Column:
-    """Place and hash of the windows of ``size`` template words."""
-    last = F.size(template) - size
-    places = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step)))
-    return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(template, i + 1, size)).alias("h")))
+def _run(n: Column) -> Column:
+    """Agreeing words in a row that an item of ``n`` words has wherever its others are (1 to 4)."""
+    need = F.ceil(n * SHARE)
+    return F.ceil(need / (n - need + 1)).cast("int")
+
+
+def _windows(hashes: str, size: int) -> Column:
+    """Place and hash of each window of ``size`` template words, from the words' hashes."""
+    firsts = F.slice(hashes, 1, F.greatest(F.size(hashes) - (size - 1), F.lit(0)))
+    rest = lambda i: [F.get(hashes, i + k) for k in range(1, size)]
+    return F.transform(firsts, lambda h, i: F.struct(i.alias("at"), F.xxhash64(F.lit(size), h, *rest(i)).alias("h")))
+
+
+def _hashes(template: Column) -> Column:
+    return F.transform(template, lambda w: F.xxhash64(w))
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -76,8 +84,9 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def _agreement(found: DataFrame) -> DataFrame:
-    """Compares ``words`` from ``start`` on with ``item_words``."""
-    at = lambda p: F.when(p + F.col("start") >= 0, F.get("words", p + F.col("start")))
+    """Compares ``words``, a text's from word ``first`` on, with ``item_words`` at ``start``."""
+    place = F.col("start") - F.col("first")
+    at = lambda p: F.when(p + place >= 0, F.get("words", p + place))
     places = F.sequence(F.lit(0), F.size("item_words") - 1)
     same = F.filter(places, lambda p: F.coalesce(_kind(at(p)) == _kind(F.get("item_words", p)), F.lit(False)))
     found = found.withColumn("same", same)
@@ -104,42 +113,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     than ``PLAIN`` agreeing plain words the values must be equal. ``n_changed`` counts the values that
     differ. Of several places the one with the most agreeing words counts, then the first.
 
-    Every item with a run of ``WINDOW + STEP - 1`` agreeing words is met, and shorter items by
-    windows of their own length. Null and empty texts, and items without words, meet nothing; null ids
-    are left out; repeated rows give the same pairs once; other columns are ignored; no documents or
-    no items give no rows. The benchmark's windows go to every task only if they are few.
+    Every place of that kind is met: of an item's words so many agree that some run of them (``_run``)
+    does, and windows of that length are taken at every word of a document. Null and empty texts, and
+    items without words, meet nothing; null ids are left out; repeated rows give the same pairs once;
+    other columns are ignored; no documents or no items give no rows. The benchmark's windows go to
+    every task only if they are few.
     """
     items = stage(_items(benchmark))
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = docs.select("doc_id", _template(F.col("text")).alias("doc"))
-    sizes = items.select(F.least(F.size("item"), F.lit(WINDOW)).alias("size")).distinct().collect()
-    met = None
-    for size in sorted(r["size"] for r in sizes):
-        whole = size == WINDOW
-        mine = items.where(F.size("item") >= WINDOW if whole else F.size("item") == size)
-        asked = stage(mine.select("item_id", F.explode(_windows("item", size, 1)).alias("w")).select(
-            "item_id", F.col("w.at").alias("item_at"), "w.h"
-        ).distinct())
-        if asked.count() <= SENT:
-            asked = F.broadcast(asked)
-        # Items between one window and the step that guarantees a meeting need every window.
-        short = whole and mine.where(F.size("item") < WINDOW + STEP - 1).limit(1).count() > 0
-        step = STEP if whole and not short else 1
-        held = rows.select("doc_id", F.explode(_windows("doc", size, step)).alias("w")).select(
-            "doc_id", F.col("w.at").alias("at"), "w.h"
-        )
-        hits = held.join(asked, "h").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("start"))
-        met = hits if met is None else met.union(hits)
-    if met is None:
-        met = rows.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start")).limit(0)
+    rows = docs.select("doc_id", _hashes(_template(F.col("text"))).alias("doc"))
+    sizes = sorted(r["size"] for r in items.select(_run(F.size("item")).alias("size")).distinct().collect())
+    if not sizes:
+        rows, sizes = rows.limit(0), [1]
+    asked = None
+    for size in sizes:
+        mine = items.where(_run(F.size("item")) == size)
+        mine = mine.select("item_id", _hashes(F.col("item")).alias("item"))
+        mine = mine.select("item_id", F.size("item").alias("n"), F.explode(_windows("item", size)).alias("w"))
+        asked = mine if asked is None else asked.union(mine)
+    asked = stage(asked.select("item_id", "n", F.col("w.at").alias("item_at"), "w.h").distinct())
+    if asked.count() <= SENT:
+        asked = F.broadcast(asked)
+    held = rows.select("doc_id", F.explode(F.concat(*[_windows("doc", size) for size in sizes])).alias("w"))
+    held = held.select("doc_id", F.col("w.at").alias("at"), "w.h")
+    met = held.join(asked, "h").select("doc_id", "item_id", "n", (F.col("at") - F.col("item_at")).alias("start"))
     met = stage(met.distinct())
-    ids = met.select("doc_id").distinct()
+    places = met.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n", "start")).alias("places"))
     if met.count() <= SENT:
-        met, ids = F.broadcast(met), F.broadcast(ids)
-    # Only documents that met an item are read word by word.
-    suspects = docs.join(ids, "doc_id", "left_semi")
-    suspects = suspects.select("doc_id", _words(F.col("text")).alias("words"))
-    found = _agreement(suspects.join(met, "doc_id").join(items.drop("item"), "item_id"))
+        places = F.broadcast(places)
+    # Only documents that met an item are read word by word, and only what lies at its places goes on.
+    suspects = docs.join(places, "doc_id").select("doc_id", "places", _words(F.col("text")).alias("words"))
+    cut = F.transform("places", lambda p: F.struct(
+        p["item_id"].alias("item_id"), p["start"].alias("start"), F.greatest(p["start"], F.lit(0)).alias("first"),
+        F.slice("words", F.greatest(p["start"], F.lit(0)) + 1, p["n"]).alias("words"),
+    ))
+    suspects = suspects.select("doc_id", F.explode(cut).alias("p")).select("doc_id", "p.*")
+    found = _agreement(suspects.join(items.drop("item"), "item_id"))
     found = found.where((F.col("n_same") >= SHARE * F.col("n_words")) & F.col("consistent") & F.col("enough"))
     best = F.max(F.struct("n_same", (-F.col("start")).alias("back"), "n_words", (-F.col("n_changed")).alias("kept")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select(

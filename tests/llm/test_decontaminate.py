@@ -48,3 +48,30 @@ def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, ASKED, "x", 1, "y")], DOCS + ", words string, start int, item string")
     items = spark.createDataFrame([(1, ASKED, 3, "z")], ITEMS + ", doc_id int, same string")
     assert [tuple(r)[:2] for r in contaminated(docs, items).collect()] == [(1, 1)]
+
+
+def test_replaced_words_against_brute_force_by_share(spark):
+    random.seed(5)
+    word = lambda: "".join(random.choice(["ba", "do", "ki", "lu", "me", "sa", "to"]) for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([5, 9, 10, 15, 16, 20, 25, 30, 59, 4, 1])]
+    docs = []
+    for i, text in items:
+        for residue in range(3):
+            before = " ".join(word() for _ in range(30 + residue))
+            for every in (4, 5, 6):
+                # With every 6th word replaced, runs of exactly 5 agree; with every 5th, of 4.
+                words = [w if k % every != every - 1 else word() for k, w in enumerate(text.split())]
+                docs.append((len(docs), f"{before} {' '.join(words)} {word()}"))
+            words = text.split()
+            for k in random.sample(range(len(words)), len(words) // 5):
+                words[k] = word()
+            docs.append((len(docs), f"{before} {' '.join(words)} {word()}"))
+
+    def held(doc, item):
+        doc, item = doc.split(), item.split()
+        return any(
+            sum(a == b for a, b in zip(doc[s:], item)) >= 0.8 * len(item) for s in range(len(doc) - len(item) + 1)
+        )
+
+    want = {(d, i) for d, t in docs for i, x in items if held(t, x)}
+    assert set(run(spark, docs, items)) == want and len(want) > 90
