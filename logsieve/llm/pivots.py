@@ -21,6 +21,8 @@ from logsieve.sources.sinks import stage
 FEWEST, MOST = 64, 4096
 #: Nearest points that describe a vector, shared ones that make a candidate, vectors of a block.
 NEAREST, SHARED, BLOCK = 10, 2, 1024
+#: The list of all vectors of a label and length that no reference point has.
+ALL = -1
 #: Cosine from which on two reference points are one.
 CLOSE = 0.9
 
@@ -48,8 +50,10 @@ def _describe(points: dict[int, np.ndarray], nearest: int):
             out = []
             for _, rows in batch.groupby(batch["embedding"].map(len)):
                 x = _unit(rows["embedding"])
-                near = points.get(x.shape[1], np.empty((0, x.shape[1])))
-                order = np.argsort(-(x @ near.T), axis=1, kind="stable")[:, :nearest]
+                if x.shape[1] in points:
+                    order = np.argsort(-(x @ points[x.shape[1]].T), axis=1, kind="stable")[:, :nearest]
+                else:
+                    order = np.full((len(x), 1), ALL)
                 out.append(rows.assign(points=list(order.astype(np.int32))))
             yield pd.concat(out)
 
@@ -100,7 +104,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, nearest: int = NEA
     Repeated rows are vectors of their own. Other columns are ignored; no rows give no rows.
 
     The points are a sample of ``FEWEST`` to ``MOST`` vectors, chosen by a hash; every vector is
-    indexed. Points grow with the root of the vectors, so lists stay short; a long list is cut in
+    indexed, and those of a length that the sample lacks share one list for each label. Points grow with the root of the vectors, so lists stay short; a long list is cut in
     blocks and each pair of blocks is one task. Pairs are not emitted: a task returns a count and a
     root for each of its vectors, and a pair counts in the list of its smallest shared point only.
     """

@@ -63,3 +63,14 @@ def test_one_large_group(spark):
     rows = [(i, [float(x) for x in base + rng.normal(0, 0.001, 16)], 0) for i in range(1300)]
     got = near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()
     assert all(r["n_links"] == 1299 and r["component_id"] == 0 for r in got)
+
+
+def test_lengths_that_the_sample_lacks(spark):
+    rng = np.random.default_rng(3)
+    vector = lambda n: rng.normal(0, 1, n)
+    plain = lambda v: [float(np.float32(x)) for x in v]
+    rows = [(i, plain(vector(32)), 0) for i in range(500)]
+    for n in range(8, 20):
+        base = vector(n)
+        rows += [(len(rows) + k, plain(base + 0.01 * k), k // 3) for k in range(5)]
+    assert {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()} == brute(rows)
