@@ -38,11 +38,12 @@ WORD, STEMS = re.compile(r"[^\W_]+"), (3, 4, 5)
 
 
 class LinearModel:
-    """Logistic regression with a ridge, on 0/1 features and earlier probabilities; Newton's method."""
+    """Logistic regression with a ridge, on 0/1 features and earlier probabilities; Newton's method.
+    Fitted on nothing it knows nothing to be positive: every probability is 0."""
 
     def __init__(self, penalty: float = 0.02, rounds: int = 40):
         self.penalty, self.rounds = penalty, rounds
-        self.weights = np.zeros(0)
+        self.weights, self.known = np.zeros(0), False
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> LinearModel:
         x = np.hstack([np.ones((len(x), 1)), x])
@@ -62,10 +63,12 @@ class LinearModel:
             w += np.clip(step, -3, 3)
             if np.abs(step).max() < 1e-4:
                 break
-        self.weights = w
+        self.weights, self.known = w, len(x) > 0
         return self
 
     def predict(self, x: np.ndarray) -> np.ndarray:
+        if not self.known:
+            return np.zeros(len(x))
         return _probability(self.weights[0] + x @ self.weights[1:])
 
 
@@ -150,7 +153,7 @@ def fit_chain(
     Of texts that look alike (the same least hash of five words) and have the same labels one is
     used, since the words of a text with many copies would pass for cues. Only the candidates, and which of them each sampled document has,
     come to the driver. A null label counts as 0; a document with several label rows has their
-    maximum. Without a labelled document every probability is one half.
+    maximum. Without a labelled document every probability is 0: nothing is known to be toxic.
     """
     small_batches(docs.sparkSession)
     names = list(categories)

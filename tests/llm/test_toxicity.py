@@ -1,5 +1,7 @@
 import random
 
+import corpus_pipeline
+from logsieve.llm import queries
 from logsieve.llm.toxicity import fit_chain, score_chain
 
 DOCS, LABELS = "doc_id long, text string", "doc_id long, quality int, toxic int"
@@ -53,3 +55,15 @@ def test_without_labels(spark):
         chain = fit_chain(docs, spark.createDataFrame(known, LABELS))
         assert score_chain(docs, chain).where("p_toxic > 0.5").count() == 0
     assert fit_chain(docs.limit(0), spark.createDataFrame(labels, LABELS)).words == []
+
+
+def test_without_labels_nothing_is_rejected(spark, tmp_path):
+    rows, _ = corpus(30)
+    docs = spark.createDataFrame(rows, DOCS)
+    for name, known in (("empty", []), ("unmatched", [(1000 + i, 0, 1) for i in range(20)])):
+        folder = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(known, LABELS).write.parquet(f"{folder}/labels.parquet")
+        got = queries.op2_toxicity(spark, folder)
+        assert got.where("NOT rejected AND p_toxic = 0 AND p_toxic_junk = 0 AND p_toxic_fluent = 0").count() == 30
+        assert corpus_pipeline.drop_toxic(spark, docs, folder).count() == 30
