@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve.llm import archives, chat, decontaminate, lattice, lines, minmax, pivots, records, toxicity, tree_bpe
+from logsieve.llm import (
+    archives, article, chat, codebooks, decontaminate, divergence, lattice, lines, minmax, pivots, records, toxicity, tree_bpe,
+)
 from logsieve.sources.sinks import stage
 
 
@@ -195,6 +197,93 @@ SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.component_id, w
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
 """
 
+
+def op11_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return article.extract_articles(pages, article.fit_weights(pages))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text
+    FROM documents
+), g AS (SELECT DISTINCT lang, source FROM d),
+w AS (
+    SELECT row_id, lang, source, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -@[-`{-]+')) AS term
+    FROM d
+), k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT row_id) >= 10),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(total) AS uses FROM k GROUP BY lang),
+s AS (
+    SELECT g.lang, g.source, v.v, v.uses, coalesce(sum(c.n), 0) AS size
+    FROM g JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY ALL
+), p AS (
+    SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+        1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (s.size + 2 * s.v)::HUGEINT AS p,
+        1 + (1000000000::HUGEINT * (k.total + 2)) // (s.uses + 2 * s.v)::HUGEINT AS q
+    FROM s JOIN k ON k.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+), x AS (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL
+), pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source != b.source
+    LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), terms AS (
+    SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value
+    FROM p WHERE n > 0 AND p > q
+), r AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op13_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Assignments a0, a1, … and codebooks c1, c2, … of the rounds."""
+    step = """,
+a{r} AS (
+    SELECT p.row_id, p.part, min({{'d': list_sum(list_transform(range(1, len(p.e) + 1), lambda i: (p.e[i] - c.e[i]) * (p.e[i] - c.e[i]))),
+        'i': c.i}}) AS best
+    FROM p JOIN c{r} c ON c.part = p.part GROUP BY p.row_id, p.part
+)"""
+    move = """,
+m{r} AS (
+    SELECT p.part, best.i AS i, unnest(range(1, len(p.e) + 1)) AS k, unnest(p.e) AS x FROM p JOIN a{r} USING (row_id, part)
+), n{r} AS (
+    SELECT part, i, list(x ORDER BY k) AS e FROM (SELECT part, i, k, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM m{r} GROUP BY part, i, k) GROUP BY part, i
+), c{t} AS (SELECT c.part, c.i, coalesce(n.e, c.e) AS e FROM c{r} c LEFT JOIN n{r} n ON n.part = c.part AND n.i = c.i)"""
+    return "".join(step.format(r=r) + move.format(r=r, t=r + 1) for r in range(rounds)) + step.format(r=rounds)
+
+
+OP13_SQL = f"""
+WITH v AS (
+    SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS row_id, vec_id, label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+    SELECT row_id, part, e[part * (len(e) // 16) + 1 : (part + 1) * (len(e) // 16)] AS e
+    FROM (SELECT row_id, e, unnest(range(16)) AS part FROM v)
+), c0 AS (SELECT part, row_id AS i, e FROM p WHERE row_id < 64){_lloyd_sql(2)},
+codes AS (
+    SELECT row_id, string_agg(printf('%02x', best.i), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a2 GROUP BY row_id
+), books AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, i)) AS digest FROM c2),
+errors AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM codes JOIN v USING (row_id) GROUP BY label)
+SELECT vec_id, v.label, code, error, label_error, digest AS codebooks_sha256
+FROM v JOIN codes USING (row_id) JOIN errors ON errors.label IS NOT DISTINCT FROM v.label, books
+"""
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
@@ -206,5 +295,11 @@ QUERIES = {
     "op8_token_records": op8_token_records,
     "op9_pivots": op9_pivots,
     "op10_minhash": op10_minhash,
+    "op11_article": op11_article,
+    "op12_divergence": op12_divergence,
+    "op13_codebooks": op13_codebooks,
+}
+ORACLE = {
+    "op1_line_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op9_pivots": OP9_SQL, "op10_minhash": OP10_SQL,
+    "op12_divergence": OP12_SQL, "op13_codebooks": OP13_SQL,
 }
-ORACLE = {"op1_line_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op9_pivots": OP9_SQL, "op10_minhash": OP10_SQL}
