@@ -315,3 +315,45 @@ def test_failing_peer_search_is_linear(runs_of):
 
     text = "npm ERR! code ERESOLVE\nCould not resolve dependency:\n" + "npm ERR! peerless\n" * 40_000
     assert seconds(lambda: parse_runs(runs_of(text)).select("failures").collect()) < 20
+
+
+def test_detection_takes_linear_time(spark):
+    """Texts that made a pattern read the rest of the text, or of a line, again and again."""
+    import time
+
+    from logsieve.operators.detect import detect_format
+
+    def took(text):
+        rows = spark.createDataFrame([(1, text)], "run_id int, text string")
+        started = time.time()
+        detect_format(rows).collect()
+        return time.time() - started
+
+    took("warm")
+    makers = [
+        lambda n: "\tat a.b(x\n" * (n // 10) + ".java:", lambda n: "\tat a.b(" + "x\n" * (n // 2) + ".java:",
+        lambda n: "thread '" * (n // 8) + " panicked at", lambda n: "1" * n + " problem",
+        lambda n: "\n" * n + ".java: .rs: .go: File .py:: Error: at ( error",
+    ]
+    for make in makers:
+        assert took(make(1_000_000)) < 5
+
+
+def test_scanning_patterns_equal_the_plain_ones(spark):
+    import random
+
+    from logsieve.operators import detect as D
+
+    rng = random.Random(1)
+    parts = [
+        "\tat a.b(", "x", "\n", ".java:3", ")", " at c.d(", "thread '", "'", " panicked at", "12", " problems (1 error, ",
+        "2 warnings)", "\r\n", "at ", "(A", ".java:",
+    ]
+    texts = [("".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))),) for _ in range(4000)]
+    texts += [("\tat a.B(\n  C.java:12)",), ("at a.B(C.java:12)",), ("\n\tat a.b(.java:3)",)]
+    rows = spark.createDataFrame(texts, "text string")
+    for plain, scan in (
+        (D.JAVA_FRAME, D.JAVA_FRAME_SCAN), (D.RUST_PANIC, D.RUST_PANIC_SCAN), (D.ESLINT_SUMMARY, D.ESLINT_SUMMARY_SCAN),
+    ):
+        assert rows.where(rows.text.rlike(plain)).count() > 0
+        assert rows.where(rows.text.rlike(plain) != rows.text.rlike(scan)).count() == 0
