@@ -273,80 +273,90 @@ def eslint_message(rule: Column, message: Column) -> Column:
     return F.concat(F.lit("["), rule, F.lit("] "), message, hint)
 
 
-def eslint_failures(text: Column, lines: Column) -> Column:
-    def build(e: Column) -> Column:
-        place = F.concat_ws(":", e["file"], e["line"].cast("string"), e["col"].cast("string"))
-        return failure(
-            eslint_message(e["rule"], e["message"]),
-            F.when(e["severity"] == "error", "ESLintError").otherwise("ESLintWarning"),
-            F.array(
-                frame(_null(), e["file"], e["line"], e["col"])
-            ),
-            F.concat_ws(" ", place, e["severity"], e["message"], e["rule"]),
-        )
+def eslint_failure(e: Column) -> Column:
+    place = F.concat_ws(":", e["file"], e["line"].cast("string"), e["col"].cast("string"))
+    return failure(
+        eslint_message(e["rule"], e["message"]),
+        F.when(e["severity"] == "error", "ESLintError").otherwise("ESLintWarning"),
+        F.array(
+            frame(_null(), e["file"], e["line"], e["col"])
+        ),
+        F.concat_ws(" ", place, e["severity"], e["message"], e["rule"]),
+    )
 
-    return F.transform(let(eslint_issues(lines), eslint_kept), build)
+
+def eslint_failures(text: Column, lines: Column) -> Column:
+    return F.transform(let(eslint_issues(lines), eslint_kept), eslint_failure)
 
 
 # ── package manager: at most one failure per run ─────────────────────────────────────────
 
 
-def npm_failures(text: Column, lines: Column) -> Column:
+def npm_failure(
+    code: Column, package: Column, peer: Column, script: Column, note: Column, source: Column
+) -> Column:
+    """The failure of an error code; ``peer`` is a struct (by, of), all but ``source`` may be null."""
     t = NPM_TEXTS
-    code = F.regexp_extract(text, NPM_CODE, 1)
-    package = F.coalesce(captured(text, NPM_PACKAGE), F.lit(t["missing_package"][2]))
+    conflict = F.when(
+        peer.isNotNull(),
+        F.concat(F.lit(t["peer"][0]), peer["by"], F.lit(t["peer"][1]), peer["of"], F.lit(t["peer"][2])),
+    ).otherwise(t["peer_unknown"])
+    missing = F.when(
+        script.isNotNull(), F.concat(F.lit(t["script"][0]), script, F.lit(t["script"][1]))
+    ).otherwise(t["no_entry"])
+    package = F.coalesce(package, F.lit(t["missing_package"][2]))
+    message = (
+        F.when(
+            code == "E404",
+            F.concat(F.lit(t["missing_package"][0]), package, F.lit(t["missing_package"][1])),
+        )
+        .when(code == "ERESOLVE", conflict)
+        .when(code == "EACCES", t["access"])
+        .when(code == "ENOENT", missing)
+        .when(code == "EINTEGRITY", t["integrity"])
+        .when(code == "ETARGET", t["target"])
+        .otherwise(F.coalesce(note, F.concat(F.lit(t["other"]), code)))
+    )
+    detail = (
+        F.when(code == "E404", source)
+        .when(code == "ERESOLVE", t["peer_hint"])
+        .when(code == "EACCES", t["access_hint"])
+        .when(code == "EINTEGRITY", t["integrity_hint"])
+        .when(code == "ETARGET", t["target_hint"])
+        .otherwise("")
+    )
+    full = let(
+        detail,
+        lambda d: F.concat(
+            code, F.lit(": "), message,
+            F.when(d != "", F.concat(F.lit(t["separator"]), d)).otherwise(""),
+        ),
+    )
+    return failure(full, F.lit("NpmError"), no_frames())
+
+
+def npm_failures(text: Column, lines: Column) -> Column:
     peer = F.when(
         text.rlike(NPM_PEER),
-        F.concat(
-            F.lit(t["peer"][0]), F.regexp_extract(text, NPM_PEER, 1), F.lit(t["peer"][1]),
-            F.regexp_extract(text, NPM_PEER, 2), F.lit(t["peer"][2]),
-        ),
-    ).otherwise(t["peer_unknown"])
-    script = F.when(
-        text.rlike(NPM_SCRIPT),
-        F.concat(
-            F.lit(t["script"][0]), F.regexp_extract(text, NPM_SCRIPT, 1), F.lit(t["script"][1])
+        F.struct(
+            F.regexp_extract(text, NPM_PEER, 1).alias("by"), F.regexp_extract(text, NPM_PEER, 2).alias("of")
         ),
-    ).otherwise(t["no_entry"])
+    )
     notes = F.transform(
         F.filter(lines, lambda l: l.rlike(NPM_ANY)),
         lambda l: trimmed(F.regexp_replace(l, NPM_PREFIX, "$1")),
     )
-    first_note = F.get(
+    note = F.get(
         F.filter(notes, lambda n: (n != "") & ~F.startswith(n, F.lit("code"))), F.lit(0)
     )
-
-    def build(c: Column) -> Column:
-        message = (
-            F.when(
-                c == "E404",
-                F.concat(F.lit(t["missing_package"][0]), package, F.lit(t["missing_package"][1])),
-            )
-            .when(c == "ERESOLVE", peer)
-            .when(c == "EACCES", t["access"])
-            .when(c == "ENOENT", script)
-            .when(c == "EINTEGRITY", t["integrity"])
-            .when(c == "ETARGET", t["target"])
-            .otherwise(F.coalesce(first_note, F.concat(F.lit(t["other"]), c)))
-        )
-        detail = (
-            F.when(c == "E404", F.regexp_extract(text, NPM_404, 1))
-            .when(c == "ERESOLVE", t["peer_hint"])
-            .when(c == "EACCES", t["access_hint"])
-            .when(c == "EINTEGRITY", t["integrity_hint"])
-            .when(c == "ETARGET", t["target_hint"])
-            .otherwise("")
-        )
-        full = let(
-            detail,
-            lambda d: F.concat(
-                c, F.lit(": "), message,
-                F.when(d != "", F.concat(F.lit(t["separator"]), d)).otherwise(""),
-            ),
-        )
-        return failure(full, F.lit("NpmError"), no_frames())
-
-    return F.transform(F.filter(F.array(code), lambda c: c != ""), build)
+    code = F.regexp_extract(text, NPM_CODE, 1)
+    return F.transform(
+        F.filter(F.array(code), lambda c: c != ""),
+        lambda c: npm_failure(
+            c, captured(text, NPM_PACKAGE), peer, captured(text, NPM_SCRIPT), note,
+            F.regexp_extract(text, NPM_404, 1),
+        ),
+    )
 
 
 # ── python ───────────────────────────────────────────────────────────────────────────────
@@ -700,8 +710,12 @@ def go_failures(text: Column, lines: Column) -> Column:
 # ── rust ─────────────────────────────────────────────────────────────────────────────────
 
 
-def rust_compile_failures(lines: Column) -> Column:
-    heads = positions(lines, lambda l: gated(l, "error", r"^\s*error") & trimmed(l).rlike(RUST_ERROR))
+def rust_compile_failures(lines: Column, own: Column | None = None) -> Column:
+    """Failures of the error lines, of those among the first ``own`` lines if given."""
+    heads = positions(
+        lines if own is None else F.slice(lines, F.lit(1), own),
+        lambda l: gated(l, "error", r"^\s*error") & trimmed(l).rlike(RUST_ERROR),
+    )
 
     def build(at: Column) -> Column:
         head = trimmed(F.get(lines, at))

@@ -638,6 +638,12 @@ def _declare_text_part() -> None:
     )
     ORACLE["parse_failures"] = statement(all_failures(False), with_stack("failures", "frames"))
     ORACLE["parse_errors"] = statement(all_failures(), with_stack("failures", "frames"))
+    ORACLE["parse_long_logs"] = ORACLE["parse_errors"]
+    ORACLE["read_log_lines"] = statement(
+        [*base, line_table("ll", "texts", "text", "run_id, project_root")],
+        """SELECT regexp_extract(project_root, '([0-9]+)$', 1)::INTEGER AS project,
+        row_number() OVER (PARTITION BY project_root ORDER BY run_id, line_no) - 1 AS line_no, line FROM ll""",
+    )
     ORACLE["parse_frames"] = statement(
         all_failures(),
         "SELECT run_id, failure_idx::INTEGER AS failure_idx, frame_idx::INTEGER AS frame_idx, function, file, line, col, is_project_file FROM frames",

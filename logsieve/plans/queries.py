@@ -15,6 +15,7 @@ from logsieve.operators import extract as X
 from logsieve.operators import history as H
 from logsieve.operators import infer as I
 from logsieve.operators import inventory as G
+from logsieve.operators import longlogs as L
 from logsieve.operators import metrics as M
 from logsieve.operators import parse as P
 from logsieve.operators.detect import detect_format, format_of
@@ -254,6 +255,38 @@ def parse_errors(spark, sf_dir):
     return flat(P.parse_runs(B.runs(spark, sf_dir)))
 
 
+def log_lines(spark, sf_dir):
+    rows = P.run_texts(B.runs(spark, sf_dir), strip=False)
+    return rows.select("run_id", "project_root", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+@query
+def parse_long_logs(spark, sf_dir):
+    """Supplied output line by line: small chunks, so that blocks reach over many of them."""
+    failures, frames = L.parse_lines(log_lines(spark, sf_dir), size=7)
+    stacks = frames.groupBy("run_id", "failure_idx").agg(
+        stack_text(F.sort_array(F.collect_list(F.struct("frame_idx", "function", "file", "line", "col", "is_project_file")))).alias("stack")
+    )
+    whole = P.run_texts(B.runs(spark, sf_dir), strip=False).select("run_id", "text")
+    rows = failures.join(stacks, ["run_id", "failure_idx"], "left").join(whole, "run_id")
+    return rows.select(
+        "run_id", F.col("failure_idx").cast("int").alias("failure_idx"), *FAILURE_COLUMNS[2:6],
+        F.coalesce("raw_block", "text").alias("raw_output"), F.coalesce("stack", F.lit("")).alias("stack"),
+    )
+
+
+@query
+def read_log_lines(spark, sf_dir):
+    """Runs written as one log file per project and read back in byte ranges."""
+    folder = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    rows = log_lines(spark, sf_dir).withColumn("project", F.regexp_extract("project_root", r"(\d+)$", 1))
+    rows = rows.repartition("project").sortWithinPartitions("project", "run_id", "line_no")
+    rows.select("project", F.col("line").alias("value")).write.option("lineSep", "\n").partitionBy("project").text(folder)
+    return S.read_log_lines(spark, folder).select(
+        F.regexp_extract("path", r"project=(\d+)", 1).cast("int").alias("project"), "line_no", "line"
+    )
+
+
 def parsed(spark, sf_dir):
     return P.parse_runs(B.runs(spark, sf_dir))
 

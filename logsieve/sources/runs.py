@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsieve.functions.text import lines_of
+from logsieve.operators.scan import before_chunks
+from logsieve.sources.sinks import stage
 
 RUNS_SCHEMA = (
     "run_id bigint, project_root string, command string, exit_code int, stdout string, "
@@ -40,6 +42,30 @@ def read_runs(spark: SparkSession, path: str, fmt: str = "parquet", project_root
     )
 
 
+def read_log_lines(spark: SparkSession, path: str, project_root: str = "/") -> DataFrame:
+    """Log files of any size as ``run_id, project_root, path, line_no, line``, one file one run.
+
+    Spark reads byte ranges of a file in many tasks, each from its first line start. Lines are
+    numbered within their range as they are read, then by the counts of the ranges before, so a
+    file's lines count from 0 without its lines meeting in one task. ``run_id`` is that of
+    ``read_runs``. Lines end at line feeds; a last line feed opens no further line. Carriage
+    returns stay.
+    """
+    read = spark.read.option("lineSep", "\n").text(path).select(
+        F.xxhash64(F.input_file_name()).alias("run_id"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"),
+    )
+    # Written once: the numbers must be the same for the counts and for the lines.
+    read = stage(read)
+    ranges = read.groupBy("path", "start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    ranges = before_chunks(ranges, ["path"], "start", before=F.sum("n"))
+    ranges = ranges.select("path", "start", (F.coalesce("before", F.lit(0)) - F.col("first")).alias("shift"))
+    return read.join(ranges, ["path", "start"]).select(
+        "run_id", F.lit(project_root).alias("project_root"), "path",
+        (F.col("id") + F.col("shift")).alias("line_no"), "line",
+    )
+
+
 def combined(stdout: Column, stderr: Column) -> Column:
     return F.concat_ws("\n", F.nullif(stdout, F.lit("")), F.nullif(stderr, F.lit("")))
 
