@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsieve.functions.text import captured, captured_int, each, gated, has, let, lines_of, owned_path, resolve_path, trimmed
+from logsieve.functions.text import captured, captured_int, each, gated, has, let, lines_of, owned_path, resolve_path, reusable, trimmed
 from logsieve.operators import extract as X
 from logsieve.operators.detect import BUILD_HEAD, MARKS, build_tested, format_by
 from logsieve.operators.infer import SYNTAX_RAW, UNHANDLED_RAW, raw_test
@@ -209,8 +209,8 @@ def _local(own: Column, before: Column, after: Column) -> Column:
     )
 
 
-def parse_chunks(chunks: DataFrame) -> DataFrame:
-    """chunks with their run's facts -> partial results, without the text but for the pieces' own."""
+@reusable
+def _chunk_columns() -> list[Column]:
     own, before, after, first = F.col("own"), F.col("before"), F.col("after"), F.col("chunk") == 0
     fmt, seen = F.col("format"), _join(F.concat("own", "after"))
     special = ["typescript", "eslint", "npm", "python", "go", "rust", "java"]
@@ -242,8 +242,7 @@ def parse_chunks(chunks: DataFrame) -> DataFrame:
         F.regexp_extract(seen, X.RUST_PANIC, 1).alias("thread"), captured(seen, X.RUST_PANIC, 2).alias("said"),
         F.regexp_extract(seen, X.RUST_PANIC, 3).alias("file"), captured_int(seen, X.RUST_PANIC, 4).alias("line"), captured_int(seen, X.RUST_PANIC, 5).alias("col"),
     ))
-    return chunks.select(
-        "run_id", "project_root", "format", "chunk",
+    return [
         _local(own, before, after).alias("local"), pieces.alias("pieces"),
         F.when(fmt == "eslint", issues).alias("issues"),
         F.when(fmt == "eslint", trimmed(F.try_element_at(F.filter(own, is_file), F.lit(-1)))).alias("last_file"),
@@ -256,7 +255,12 @@ def parse_chunks(chunks: DataFrame) -> DataFrame:
         F.when(npm, captured(seen, X.NPM_SCRIPT)).alias("npm_script"), F.when(npm, captured(seen, X.NPM_404)).alias("npm_404"),
         F.when(npm, note).alias("npm_note"), F.when(npm, F.exists(own, lambda l: l.rlike(PEER_HEAD))).alias("peer_head"),
         F.when(npm, peer(own)).alias("peer_any"), F.when(npm, peer(after_head)).alias("peer_after"),
-    )
+    ]
+
+
+def parse_chunks(chunks: DataFrame) -> DataFrame:
+    """chunks with their run's facts -> partial results, without the text but for the pieces' own."""
+    return chunks.select("run_id", "project_root", "format", "chunk", *_chunk_columns())
 
 
 # ── joining chunks ───────────────────────────────────────────────────────────────────────

@@ -639,6 +639,10 @@ def _declare_text_part() -> None:
     ORACLE["parse_failures"] = statement(all_failures(False), with_stack("failures", "frames"))
     ORACLE["parse_errors"] = statement(all_failures(), with_stack("failures", "frames"))
     ORACLE["parse_long_logs"] = ORACLE["parse_errors"]
+    ORACLE["assemble_runs"] = statement(
+        all_failures(),
+        "SELECT run_id, failure_idx::INTEGER AS failure_idx, test_name, test_file, error_message, error_type FROM failures",
+    )
     ORACLE["read_log_lines"] = statement(
         [*base, line_table("ll", "texts", "text", "run_id, project_root")],
         """SELECT regexp_extract(project_root, '([0-9]+)$', 1)::INTEGER AS project,
@@ -662,6 +666,7 @@ def _declare_rule_part() -> None:
     ORACLE["match_rules"] = statement(base, f"SELECT {cells} FROM matches")
     ORACLE["dedupe_hypotheses"] = statement(base, f"SELECT {cells} FROM deduped")
     ORACLE["rank_hypotheses"] = statement(base, f"SELECT {cells}, hyp_idx FROM best")
+    ORACLE["merge_hypotheses_stream"] = ORACLE["rank_hypotheses"]
     ORACLE["unknown_fallback"] = statement(base, f"SELECT {cells}, hyp_idx FROM ranked")
     full = statement([*base, *hypotheses()], "SELECT * FROM hypotheses")
     ORACLE["explain"] = full

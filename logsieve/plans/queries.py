@@ -24,6 +24,8 @@ from logsieve.sources import bridge as B
 from logsieve.sources import runs as S
 from logsieve.sources.sinks import shared_dir, stage
 from logsieve.streaming import jobs as J
+from logsieve.streaming.ledger import Ledger, merge_stream
+from logsieve.streaming.runlog import RunLog
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -677,3 +679,29 @@ def dedupe_failures_stream(spark, sf_dir):
 def category_rate(spark, sf_dir):
     rates = J.category_rate(J.stream_classify(stream_runs(spark, sf_dir)), "1 day")
     return drained(spark, rates, "complete")
+
+
+@query
+def merge_hypotheses_stream(spark, sf_dir):
+    """Matches that come in any order over several triggers, ranked as the batch ranks them."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    matches = I.match_rules(failures(spark, sf_dir))
+    matches.repartition(4, "failure_idx", "rule_rank").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(matches.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    ledger = Ledger(spark, f"{folder}/best", matches.schema, ["run_id"])
+    merge_stream(stream, I.dedupe_hypotheses, ledger, f"{folder}/state").awaitTermination()
+    return I.rank_hypotheses(ledger.rows())
+
+
+@query
+def assemble_runs(spark, sf_dir):
+    """A stream of lines gathered into runs and parsed as each falls silent."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    runs = P.run_texts(stream_runs(spark, sf_dir), strip=False, keep=("ts",))
+    lines = runs.select("run_id", "project_root", "ts", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    log = RunLog(spark, f"{folder}/log")
+    log.start(lines, f"{folder}/state").awaitTermination()
+    log.finish()
+    return log.failures.rows().select(
+        "run_id", F.col("failure_idx").cast("int").alias("failure_idx"), "test_name", "test_file", "error_message", "error_type"
+    )
