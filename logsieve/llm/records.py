@@ -10,6 +10,7 @@ Files are ranges of doc_id; the manifest lists them in that order with the ids b
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import struct
@@ -18,6 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +31,14 @@ from logsieve.sources.sinks import stage
 #: Distinct text pieces whose ids a worker remembers, and characters of one call to the tokenizer.
 REMEMBERED, CALL_CHARS = 300_000, 20_000
 #: A word and signs behind it, none of them an apostrophe.
-SIGNED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&*#$|()]+)").fullmatch
+SIGNS = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[.,;:!?%&*#$|()]+)$"
+SIGNED = re.compile(SIGNS).match
+#: Nothing, or white space at the end.
+WHITE_END = r"(?:^|[\s\x0b\x1c-\x1f\x85\p{Z}])\z"
+ANY_WHITE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+#: Where a text is cut: before a blank behind something other than white space.
+BEHIND_TEXT = re.compile(r"(?<=\S)(?= )")
+NO_IDS = np.empty(0, "<u4")
 MASK = 0xA282EAD8
 HEAD, PAYLOAD, ENTRY = "<QI", "<qB", "<qQQ"
 
@@ -48,14 +58,26 @@ class Tokens:
 
     A text is cut before every blank that follows something other than white space. The byte-level
     split pattern cuts there in every text, so the ids of the pieces are the ids of the text, and
-    the tokenizer only sees pieces that this worker has not met lately.
+    the tokenizer only sees pieces that this worker has not met lately. That holds for this pattern
+    without a normaliser; other tokenizer files are refused.
     """
 
     def __init__(self, tokenizer: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        stated = json.loads(tokenizer)
+        split = stated.get("pre_tokenizer") or {}
+        if stated.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError("only byte-level tokenizers with the usual split pattern and no normaliser")
+
         self.tokenizer = Tokenizer.from_str(tokenizer)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            # The library's own memory of words only costs time where each word comes once.
+            self.tokenizer.model._resize_cache(0)
+        #: Words without white space, each behind a blank: its row, the rows' lengths and all their ids.
+        self.row: dict[str, int] = {}
+        self.lengths, self.flat = np.empty(0, np.int64), NO_IDS
         #: Packed ids of a blank and this text; only texts that do not end in white space. When
         #: full it becomes ``older``, which gives back what is met again.
         self.known: dict[str, bytes] = {}
@@ -67,7 +89,7 @@ class Tokens:
         self.feed = feed[0] if len(feed) == 1 else None
 
     def _plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, parts: set[str]) -> None:
         """Learns texts behind a blank from what they are made of: a word, signs behind it and
@@ -76,7 +98,7 @@ class Tokens:
         words, bare = set(), set()
         for part in parts:
             first, *lines = part.split("\n")
-            if lines and not all(x and not x[0].isspace() and not x[-1].isspace() for x in (first, *lines)):
+            if not part or part[-1].isspace() or lines and not all(x and not x[0].isspace() and not x[-1].isspace() for x in (first, *lines)):
                 words.add(part)
                 continue
             word, signs = found.groups() if (found := SIGNED(first)) else (first, "")
@@ -105,7 +127,7 @@ class Tokens:
         something else than white space, or before one blank, is an id of its own."""
         single, plain = [], []
         for text in texts:
-            usual = self.feed is not None and "\n" not in text and not text[0].isspace()
+            usual = self.feed is not None and text and "\n" not in text and not text[0].isspace() and not text[-1].isspace()
             (plain if usual else single).append(text)
         at = 0
         while at < len(plain):
@@ -126,46 +148,110 @@ class Tokens:
         for text in single:
             store[text] = self._plain(blank + text).tobytes()
 
-    def prepare(self, texts) -> None:
-        """Learns what is new in many texts at once."""
-        wanted: set[str] = set()
-        for text in texts:
-            if text:
-                wanted.update(text.split(" ")[1:])
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. The texts are cut at blanks in one step and their distinct pieces
+        looked up; the ids of all texts are then gathered by the pieces' numbers."""
+        out: list[np.ndarray | None] = [NO_IDS if not t else None for t in texts]
+        special = [any(s in t for s in self.specials) for t in texts]
+        rows = [i for i, t in enumerate(texts) if t]
+        lists = pc.split_pattern(pa.array([texts[i] for i in rows], pa.large_string()), " ")
+        pieces = lists.flatten().dictionary_encode()
+        codes, starts = pieces.indices.to_numpy(), lists.offsets.to_numpy()
+        # A blank after white space, or at the start, stays with what stands before it.
+        ends_white = pc.match_substring_regex(pieces.dictionary, WHITE_END).to_numpy(zero_copy_only=False)
+        uneven = np.logical_or.reduceat(ends_white[codes], starts[:-1]) if rows else ends_white
+        for i, bad in zip(rows, uneven):
+            if special[i]:
+                out[i] = self._plain(texts[i])
+            elif bad:
+                out[i] = self._uneven(texts[i])
+        even = np.array([out[i] is None for i in rows], bool)
+        sizes, first = np.diff(starts), starts[:-1][even]
+        mine = np.repeat(even, sizes)
+        heads = np.zeros(len(codes), bool)
+        heads[starts[:-1]] = True
+        # A word and the signs behind it are matches of their own: both are looked up apart.
+        split = pc.extract_regex(pieces.dictionary, SIGNS)
+        words = pc.if_else(pc.is_valid(split), pc.struct_field(split, "word"), pieces.dictionary).dictionary_encode()
+        signs = pc.fill_null(pc.struct_field(split, "signs"), "").dictionary_encode()
+        word, sign = words.indices.to_numpy()[codes], signs.indices.to_numpy()[codes]
+        used = np.unique(word[mine & ~heads])
+        used_words = words.dictionary.take(pa.array(used))
+        spaced = pc.match_substring_regex(used_words, ANY_WHITE).to_numpy(zero_copy_only=False)
+        usual = self._rows_of(used_words.filter(pa.array(~spaced)).to_pylist())
+        others = used_words.filter(pa.array(spaced)).to_pylist()
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
-        self._learn({p for p in self._unknown(wanted) if p and not p[-1].isspace()})
+        self._learn(self._unknown(set(others)))
+        packed = [self.known[name] for name in others]
+        sign_names = signs.dictionary.to_pylist()
+        first_names = pieces.dictionary.take(pa.array(codes[first])).to_pylist()
+        self._learn_bare([*sign_names, *first_names])
+        packed += [self.bare[name] for name in (*sign_names, *first_names)]
+        packed.append(b"")
+        # Behind the remembered words come this batch's other pieces. A text's first piece is looked
+        # up whole, and has no signs.
+        base = len(self.lengths)
+        lengths = np.concatenate([self.lengths, np.fromiter(map(len, packed), np.int64, len(packed)) // 4])
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(packed), "<u4")])
+        before = np.cumsum(lengths) - lengths
+        place = np.zeros(len(words.dictionary), np.int64)
+        place[used[~spaced]], place[used[spaced]] = usual, base + np.arange(len(others))
+        number = np.stack([place[word], base + len(others) + sign], axis=1)
+        number[first, 0] = base + len(others) + len(sign_names) + np.arange(len(first))
+        number[first, 1] = base + len(packed) - 1
+        number = number[mine].ravel()
+        counts = lengths[number]
+        ids = flat[np.repeat(before[number] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
+        ends = np.cumsum(counts)[2 * np.cumsum(sizes[even]) - 1] if len(first) else []
+        low = 0
+        for i, high in zip([i for i, ok in zip(rows, even) if ok], ends):
+            out[i] = ids[low:high]
+            low = high
+        return out
+
+    def _rows_of(self, names: list[str]) -> np.ndarray:
+        """The rows of distinct words without white space, each behind a blank, in the remembered ids."""
+        if len(self.row) > 2 * REMEMBERED:
+            self.row, self.lengths, self.flat = {}, np.empty(0, np.int64), NO_IDS
+        fresh = [name for name in names if name not in self.row]
+        lengths, flat = [self.lengths], [self.flat]
+        at = 0
+        while at < len(fresh):
+            end, size = at, 0
+            while end < len(fresh) and size < CALL_CHARS:
+                size += len(fresh[end]) + 2
+                end += 1
+            some = fresh[at:end]
+            # A line feed between two words is an id of its own.
+            ids = self._plain("\n " + "\n ".join(some) + "\n")
+            cuts = np.flatnonzero(ids == self.feed) if self.feed is not None else ()
+            if len(cuts) == len(some) + 1:
+                lengths.append(np.diff(cuts) - 1)
+                flat.append(np.delete(ids, cuts))
+            else:
+                single = [self._plain(" " + name) for name in some]
+                lengths.append(np.array([len(x) for x in single], np.int64))
+                flat += single
+            self.row.update(zip(some, range(len(self.row), len(self.row) + len(some))))
+            at = end
+        self.lengths, self.flat = np.concatenate(lengths), np.concatenate(flat)
+        return np.fromiter(map(self.row.__getitem__, names), np.int64, len(names))
 
     def encode(self, text: str) -> np.ndarray:
-        if not text or any(s in text for s in self.specials):
-            return self._plain(text)
-        head, *parts = text.split(" ")
-        try:
-            packed = b"".join([self.known[p] for p in parts])
-        except KeyError:
-            wanted = set(parts)
-            if len(self.known) > REMEMBERED:
-                self.older, self.known = self.known, {}
-            fresh = self._unknown(wanted)
-            if not all(p and not p[-1].isspace() for p in fresh):
-                return self._uneven(head, parts)
-            self._learn(fresh)
-            packed = b"".join([self.known[p] for p in parts])
-        if not head or head[-1].isspace():
-            return self._uneven(head, parts)
-        if head not in self.bare:
-            self.bare[head] = self._plain(head).tobytes()
-        return np.frombuffer(self.bare[head] + packed, "<u4")
-
-    def _uneven(self, head: str, parts: list[str]) -> np.ndarray:
-        """A blank after white space, or at the start, stays with what stands before it."""
-        pieces = [head]
-        for part in parts:
-            if pieces[-1] and not pieces[-1][-1].isspace():
-                pieces.append(" " + part)
-            else:
-                pieces[-1] += " " + part
-        return np.concatenate([self._plain(piece) for piece in pieces])
+        return self.encode_all([text])[0]
+
+    def _learn_bare(self, names: list[str]) -> None:
+        if len(self.bare) > REMEMBERED:
+            self.bare.clear()
+        self._encode_all(set(names).difference(self.bare), self.bare, "")
+
+    def _uneven(self, text: str) -> np.ndarray:
+        """Cuts before each blank that follows something other than white space."""
+        head, *pieces = BEHIND_TEXT.split(text)
+        self._learn(self._unknown({p[1:] for p in pieces}))
+        self._learn_bare([head])
+        return np.frombuffer(self.bare[head] + b"".join([self.known[p[1:]] for p in pieces]), "<u4")
 
 
 @functools.lru_cache(maxsize=1)
@@ -189,9 +275,9 @@ def _writer(tokenizer, folder: str, end_id: int):
         entries, count, low, offset = [], 0, None, 0
         with files.open_output_stream(f"{root}/{name}") as out:
             for batch in batches:
-                tokens.prepare(batch["text"])
-                for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                    ids = np.append(tokens.encode(text or ""), end_id)
+                found = tokens.encode_all([text or "" for text in batch["text"]])
+                for doc_id, ids in zip(batch["doc_id"], found):
+                    ids = np.append(ids, end_id)
                     frame = pack_frame(doc_id, ids)
                     out.write(frame)
                     entries.append(struct.pack(ENTRY, doc_id, offset, len(ids)))

@@ -27,6 +27,24 @@ def test_pieces_give_the_library_ids(library):
         assert tokens.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_batches_give_the_library_ids(library, monkeypatch):
+    """Many texts at once, with few remembered pieces, so that they are forgotten and learnt again."""
+    random.seed(3)
+    monkeypatch.setattr(R, "REMEMBERED", 40)
+    bits = ["the ", "ñandú, ", "x\ny ", "  ", "word. ", "A1 ", "\n", "it's ", "(so) ", "<|endoftext|>"]
+    tokens = R.Tokens(open(PATH, encoding="utf-8").read())
+    for _ in range(60):
+        texts = ["".join(random.choice(bits) for _ in range(random.randint(0, 40))).rstrip(random.choice(["", " ", " \n"])) for _ in range(30)]
+        got = [ids.tolist() for ids in tokens.encode_all(texts)]
+        assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert tokens.encode_all([]) == [] and [x.tolist() for x in tokens.encode_all(["", ""])] == [[], []]
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        R.Tokens(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
+
+
 def test_frames_and_damage():
     ids = np.array([5, 70_000, 2])
     frame = R.pack_frame(-3, ids)
