@@ -202,7 +202,7 @@ def _joined(
 
 
 def repo_state(latest: DataFrame, diffs: DataFrame) -> DataFrame:
-    return latest.select("project_root", "hash", "subject").join(diffs, "project_root", "left")
+    return latest.select("project_root", "hash", "subject", "branch").join(diffs, "project_root", "left")
 
 
 def _external(rows: DataFrame) -> Column:
@@ -494,7 +494,7 @@ def assemble_packets(
         F.struct(
             F.col("hash").isNotNull().alias("available"),
             "diff",
-            _column(rows, "branch").alias("branch"),
+            truthy(F.col("branch")).alias("branch"),
             F.col("subject").alias("last_commit_message"),
             F.col("hash").alias("last_commit_hash"),
         ).alias("git_context"),
@@ -518,9 +518,12 @@ def assemble_packets(
 
 
 def project_briefs(
-    project_files: DataFrame, recent: DataFrame, hot: DataFrame
+    project_files: DataFrame, recent: DataFrame, hot: DataFrame, latest: DataFrame | None = None
 ) -> DataFrame:
-    """(project_root, text): a project's facts as markdown; every list is capped before it is collected."""
+    """(project_root, text): a project's facts as markdown; every list is capped before it is collected.
+
+    ``latest`` is ``latest_commit``, for the branch.
+    """
 
     def lines(rows: DataFrame, order: str, text: Column, limit: int | None, name: str) -> DataFrame:
         kept = rows if limit is None else rows.filter(F.col(order) <= limit)
@@ -573,6 +576,8 @@ def project_briefs(
         ),
     ):
         base = base.join(extra, "project_root", "left")
+    if latest is not None:
+        base = base.join(latest.select("project_root", truthy(F.col("branch")).alias("branch")), "project_root", "left")
     module = F.when(F.col("type") == "module", "ESM").otherwise("CommonJS")
 
     def block(title: str, body: Column) -> Column:
@@ -591,6 +596,7 @@ def project_briefs(
     )
     activity = F.concat_ws(
         "\n",
+        F.concat(F.lit("Branch: "), _column(base, "branch")),
         F.concat(F.lit("\nRecent commits:\n"), F.col("commits")),
         F.concat(F.lit("\nMost active files:\n"), F.col("hot")),
     )

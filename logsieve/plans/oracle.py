@@ -691,7 +691,7 @@ SOURCE_LINES = """source_lines AS (SELECT '/repo/p' || (doc_id % 12) AS project_
   unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1)::INTEGER AS line_no FROM documents)"""
 
 FILE_CHANGES = """file_changes AS (SELECT '/repo/p' || (o_custkey % 12) AS project_root, md5(o_orderkey::VARCHAR) AS commit_hash, o_orderdate AS commit_ts,
-  o_orderpriority AS subject, 'src/f' || l_partkey || '.ts' AS path, l_linenumber AS change_no,
+  o_orderpriority AS subject, CASE WHEN o_orderkey % 5 <> 0 THEN 'work/' || (o_orderkey % 7) END AS branch, 'src/f' || l_partkey || '.ts' AS path, l_linenumber AS change_no,
   'diff --git src/f' || l_partkey || '.ts' || chr(10) || '@@ -1,' || l_linenumber || ' +1 @@' || chr(10) || '-old ' || l_partkey || chr(10) || '+new' || chr(10)
     || repeat('c' || chr(10), (l_quantity * 4)::INTEGER) || '+end' AS diff FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
@@ -806,7 +806,7 @@ def condensed(dispatch: bool = True) -> list[str]:
 def history() -> list[str]:
     return [
         FILE_CHANGES,
-        """commits AS (SELECT project_root, commit_hash, commit_ts, min(subject) AS subject FROM file_changes GROUP BY ALL)""",
+        """commits AS (SELECT project_root, commit_hash, commit_ts, min(subject) AS subject, min(branch) AS branch FROM file_changes GROUP BY ALL)""",
         """numbered AS (SELECT *, row_number() OVER (PARTITION BY project_root ORDER BY commit_ts DESC, commit_hash)::INTEGER AS rk FROM commits)""",
         """diffs AS (SELECT project_root, CASE WHEN len(d) > 5000 THEN substr(d, 1, 4997) || '...' ELSE d END AS diff FROM
           (SELECT project_root, string_agg(diff, chr(10) ORDER BY path, change_no) AS d FROM file_changes JOIN (SELECT project_root, commit_hash FROM numbered WHERE rk = 1) USING (project_root, commit_hash) GROUP BY project_root))""",
@@ -904,7 +904,7 @@ def _declare_table_part() -> None:
     )
     ORACLE["recent_commits"] = statement(history(), "SELECT project_root, rk, commit_hash AS hash, subject FROM numbered WHERE rk <= 10")
     ORACLE["latest_commit"] = statement(
-        history(), "SELECT project_root, commit_hash AS hash, substr(commit_hash, 1, 8) AS short_hash, subject FROM numbered WHERE rk = 1"
+        history(), "SELECT project_root, commit_hash AS hash, substr(commit_hash, 1, 8) AS short_hash, subject, branch FROM numbered WHERE rk = 1"
     )
     ORACLE["diff_for_project"] = statement(history(), "SELECT project_root, diff FROM diffs")
     ORACLE["diff_line_stats"] = statement(
@@ -1100,10 +1100,10 @@ def briefs() -> list[str]:
           '- **Runtime**: ' || coalesce('Node.js ' || nullif({js}(p.j, '$.engines.node'), ''), 'Node.js'), '- **Test framework**: ' || {framework}, '',
           {block('## Dependencies', 'deps')}, CASE WHEN json_exists(t.j, '{o}') THEN {block('## TypeScript Configuration', options)} END,
           {block('## Project Structure', f"'```' || {NL} || structure || {NL} || '```'")}, {block('## Environment Variables', 'env')},
-          CASE WHEN commits IS NOT NULL THEN {block('## Recent Git Activity', f"concat_ws({NL}, {NL} || 'Recent commits:' || {NL} || commits, {NL} || 'Most active files:' || {NL} || hot)")} END,
+          CASE WHEN commits IS NOT NULL THEN {block('## Recent Git Activity', f"concat_ws({NL}, 'Branch: ' || branch, {NL} || 'Recent commits:' || {NL} || commits, {NL} || 'Most active files:' || {NL} || hot)")} END,
           {block('## Available Scripts', 'scr')}) AS text
           FROM roots r LEFT JOIN pkg p USING (project_root) LEFT JOIN ts t USING (project_root) LEFT JOIN bd USING (project_root) LEFT JOIN bs USING (project_root) LEFT JOIN bt USING (project_root)
-          LEFT JOIN be USING (project_root) LEFT JOIN bc USING (project_root) LEFT JOIN bh USING (project_root))""",
+          LEFT JOIN be USING (project_root) LEFT JOIN bc USING (project_root) LEFT JOIN bh USING (project_root) LEFT JOIN (SELECT project_root, branch FROM numbered WHERE rk = 1) USING (project_root))""",
     ]
 
 
@@ -1129,12 +1129,22 @@ def _declare_prompt_part() -> None:
     )
 
 
+    counted = ORACLE["extract_test_counts"]
+    ORACLE["assemble_packets_command"] = statement(
+        [*all_failures(False), *matches(), *hypotheses(), *replies(), *history(), f"counted AS ({counted})"],
+        """SELECT r.run_id, r.command, r.exit_code, total, passed, failed, length(stdout)::INTEGER AS stdout_length, coalesce(errors, '') AS errors,
+        coalesce(categories, '') AS categories, n.branch, e.narrative, e.fix_file, e.model FROM runs r LEFT JOIN counted USING (run_id)
+        LEFT JOIN (SELECT project_root, branch FROM numbered WHERE rk = 1) n USING (project_root)
+        LEFT JOIN (SELECT run_id, string_agg(error_message, '|' ORDER BY failure_idx) AS errors FROM failures GROUP BY run_id) USING (run_id)
+        LEFT JOIN (SELECT run_id, string_agg(category, '|' ORDER BY hyp_idx) AS categories FROM hypotheses GROUP BY run_id) USING (run_id)
+        LEFT JOIN (SELECT run_id, narrative, fix_file, model FROM enhanced WHERE NOT failed) e USING (run_id)""",
+    )
     ORACLE["assemble_packets"] = statement(
         [*parts, RUN_STEPS],
         f"""SELECT r.run_id, r.project_root, '1.0.0' AS version, '(' || format || ' output)' AS command, 1 AS exit_code, NULL::INTEGER AS total, coalesce(n_results, 0) AS n_results, coalesce(errors, '') AS errors, coalesce(categories, '') AS categories,
-        coalesce(snippet_starts, '') AS snippet_starts, coalesce(related_files, '') AS related_files, n.commit_hash AS last_commit_hash, len(d.diff)::INTEGER AS diff_length,
+        coalesce(snippet_starts, '') AS snippet_starts, coalesce(related_files, '') AS related_files, n.commit_hash AS last_commit_hash, n.branch AS branch, len(d.diff)::INTEGER AS diff_length,
         available AS search_available, len(summary)::INTEGER AS summary_length, steps FROM runs r JOIN (SELECT run_id, format FROM formats) USING (run_id) LEFT JOIN (SELECT run_id, count(*) AS n_results FROM search_results GROUP BY run_id) USING (run_id) LEFT JOIN summaries USING (run_id)
-        LEFT JOIN (SELECT project_root, commit_hash FROM numbered WHERE rk = 1) n USING (project_root) LEFT JOIN diffs d USING (project_root)
+        LEFT JOIN (SELECT project_root, commit_hash, branch FROM numbered WHERE rk = 1) n USING (project_root) LEFT JOIN diffs d USING (project_root)
         LEFT JOIN (SELECT run_id, string_agg(error_message, '|' ORDER BY failure_idx) AS errors FROM failures GROUP BY run_id) USING (run_id)
         LEFT JOIN (SELECT run_id, string_agg(category, '|' ORDER BY hyp_idx) AS categories FROM hypotheses GROUP BY run_id) USING (run_id)
         LEFT JOIN (SELECT run_id, string_agg(start_line::VARCHAR, '|' ORDER BY snippet_idx) AS snippet_starts FROM snips GROUP BY run_id) USING (run_id)

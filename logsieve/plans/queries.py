@@ -616,6 +616,7 @@ def assemble_packets(spark, sf_dir):
         listed("local_context.snippets", "start_line").alias("snippet_starts"),
         F.array_join(p + "local_context.related_files", "|").alias("related_files"),
         F.col(p + "git_context.last_commit_hash").alias("last_commit_hash"),
+        F.col(p + "git_context.branch").alias("branch"),
         F.length(p + "git_context.diff").alias("diff_length"),
         F.col(p + "external_knowledge.search_available").alias("search_available"),
         F.aggregate(
@@ -626,6 +627,30 @@ def assemble_packets(spark, sf_dir):
     )
 
 
+@query
+def assemble_packets_command(spark, sf_dir):
+    """Packets of commands that were run: their own exit code, test counts and the model's reply."""
+    rows = stage(analysed(spark, sf_dir, dispatch=False).select("run_id", "project_root", "format", "failures", "top"))
+    changes = B.file_changes(spark, sf_dir)
+    runs = B.runs(spark, sf_dir)
+    made = A.assemble_packets(
+        runs, rows, P.explain_top(rows), C.collect_snippets(C.failure_locations(rows), B.source_lines(spark, sf_dir)),
+        C.related_files(rows), E.external_summary(runs, B.search_results(spark, sf_dir)),
+        A.repo_state(H.latest_commit(changes), H.diff_for_project(changes)), B.run_steps(spark, sf_dir),
+        counts=P.extract_test_counts(generic_texts(spark, sf_dir)),
+        enhancements=A.parse_enhancements(B.model_replies(spark, sf_dir)),
+    )
+    run, reply = "packet.test_run.", "packet.llm_enhancement."
+    return made.select(
+        "run_id", *[F.col(run + c).alias(c) for c in ("command", "exit_code", "total", "passed", "failed")],
+        F.length(run + "stdout").alias("stdout_length"),
+        F.array_join(F.transform(run + "failures", lambda f: f["error_message"]), "|").alias("errors"),
+        F.array_join(F.transform("packet.root_causes", lambda c: c["category"]), "|").alias("categories"),
+        F.col("packet.git_context.branch").alias("branch"),
+        *[F.col(reply + c).alias(c) for c in ("narrative", "fix_file", "model")],
+    )
+
+
 @query
 def agent_prompts(spark, sf_dir):
     return A.agent_prompts(**parts(spark, sf_dir))
@@ -640,7 +665,7 @@ def enhancement_prompts(spark, sf_dir):
 def project_briefs(spark, sf_dir):
     changes = B.file_changes(spark, sf_dir)
     return A.project_briefs(
-        B.project_files(spark, sf_dir), H.recent_commits(changes), H.hot_files(changes)
+        B.project_files(spark, sf_dir), H.recent_commits(changes), H.hot_files(changes), H.latest_commit(changes)
     )
 
 

@@ -131,6 +131,8 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("commit_hash"),
         F.col("o_orderdate").alias("commit_ts"),
         F.col("o_orderpriority").alias("subject"),
+        # Null: a commit that no branch pointed at when it was made.
+        F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit("work/"), (F.col("o_orderkey") % 7).cast("string"))).alias("branch"),
         path.alias("path"),
         F.col("l_linenumber").alias("change_no"),
         hunk.alias("diff"),
