@@ -28,19 +28,41 @@ def truthy(text: Column) -> Column:
 
 def validate_frames(frames: DataFrame) -> DataFrame:
     """frames -> + valid, reason; a frame is kept for quarantine instead of failing its run."""
-    bad_line = F.coalesce(F.col("line") < 1, F.lit(False))
-    bad_col = F.coalesce(F.col("col") < 1, F.lit(False))
-    reason = F.when(bad_line, "line must be positive").when(bad_col, "column must be positive")
+    reason = frame_reason(F.col("line"), F.col("col"))
     return frames.select("*", reason.isNull().alias("valid"), reason.alias("reason"))
 
 
 def validate_hypotheses(hypotheses: DataFrame) -> DataFrame:
-    reason = F.when(~F.col("category").isin(CATEGORIES), "unknown category").when(
-        ~F.col("confidence").isin(list(CONFIDENCE)), "unknown confidence"
-    )
+    reason = hypothesis_reason(F.col("category"), F.col("confidence"))
     return hypotheses.select("*", reason.isNull().alias("valid"), reason.alias("reason"))
 
 
+def frame_reason(line: Column, col: Column) -> Column:
+    bad_line = F.coalesce(line < 1, F.lit(False))
+    bad_col = F.coalesce(col < 1, F.lit(False))
+    return F.when(bad_line, "line must be positive").when(bad_col, "column must be positive")
+
+
+def hypothesis_reason(category: Column, confidence: Column) -> Column:
+    return F.when(~category.isin(CATEGORIES), "unknown category").when(
+        ~confidence.isin(list(CONFIDENCE)), "unknown confidence"
+    )
+
+
+def validate_packets(packets: DataFrame) -> DataFrame:
+    """packets -> + ``reasons``, the distinct faults of a packet's frames and causes, sorted; narrow.
+
+    A packet without faults has an empty list.
+    """
+    frames = F.flatten(F.transform("packet.test_run.failures", lambda f: f["stack_trace"]))
+    reasons = F.concat(
+        F.transform(frames, lambda s: frame_reason(s["line"], s["col"])),
+        F.transform("packet.root_causes", lambda c: hypothesis_reason(c["category"], c["confidence"])),
+    )
+    known = F.filter(F.array_distinct(reasons), lambda r: r.isNotNull())
+    return packets.withColumn("reasons", F.coalesce(F.array_sort(known), F.array().cast("array<string>")))
+
+
 def snippet_head(file: Column, start: Column, end: Column) -> Column:
     return F.concat(
         file, F.lit(" (lines "), start.cast("string"), F.lit("-"), end.cast("string"), F.lit(")")
@@ -623,5 +645,5 @@ def project_briefs(
 
 __all__ = [
     "agent_prompts", "assemble_packets", "condense", "enhancement_prompts",
-    "parse_enhancements", "project_briefs", "repo_state", "validate_frames", "validate_hypotheses",
+    "parse_enhancements", "project_briefs", "repo_state", "validate_frames", "validate_hypotheses", "validate_packets",
 ]

@@ -1129,6 +1129,13 @@ def _declare_prompt_part() -> None:
     )
 
 
+    ORACLE["quarantine_packets"] = statement(
+        all_failures(),
+        """SELECT run_id, project_root, CASE WHEN reasons IS NULL THEN 'accepted' ELSE 'quarantined' END AS status, coalesce(reasons, '') AS reasons,
+        coalesce(n, 0)::INTEGER AS n_failures FROM runs LEFT JOIN (SELECT run_id, count(*) AS n FROM failures GROUP BY run_id) USING (run_id)
+        LEFT JOIN (SELECT run_id, string_agg(DISTINCT reason, '|' ORDER BY reason) AS reasons FROM (SELECT run_id, CASE WHEN line < 1 THEN 'line must be positive'
+          WHEN col < 1 THEN 'column must be positive' END AS reason FROM frames) WHERE reason IS NOT NULL GROUP BY run_id) USING (run_id)""",
+    )
     counted = ORACLE["extract_test_counts"]
     ORACLE["assemble_packets_command"] = statement(
         [*all_failures(False), *matches(), *hypotheses(), *replies(), *history(), f"counted AS ({counted})"],

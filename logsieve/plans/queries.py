@@ -22,7 +22,7 @@ from logsieve.operators.detect import detect_format, format_of
 from logsieve.plans.analysis import analyse_runs, condense_runs
 from logsieve.sources import bridge as B
 from logsieve.sources import runs as S
-from logsieve.sources.sinks import shared_dir, stage
+from logsieve.sources.sinks import shared_dir, stage, write_packets
 from logsieve.streaming import jobs as J
 from logsieve.streaming.ledger import Ledger, merge_stream
 from logsieve.streaming.runlog import RunLog
@@ -627,6 +627,15 @@ def assemble_packets(spark, sf_dir):
     )
 
 
+@query
+def quarantine_packets(spark, sf_dir):
+    """Packets through the sink and back, with the side that each went to."""
+    path = f"{shared_dir(spark)}/packets-{uuid.uuid4().hex}"
+    write_packets(A.validate_packets(packets(spark, sf_dir)), path, "parquet")
+    rows = spark.read.parquet(path)
+    return rows.select("run_id", "project_root", "status", F.array_join("reasons", "|").alias("reasons"), F.size("packet.test_run.failures").alias("n_failures"))
+
+
 @query
 def assemble_packets_command(spark, sf_dir):
     """Packets of commands that were run: their own exit code, test counts and the model's reply."""

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -28,9 +29,26 @@ def stage(rows: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def write_packets(packets: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists") -> None:
-    """Packets as JSON or parquet, one folder per project.
+ACCEPTED, QUARANTINED = "accepted", "quarantined"
 
-    Rows keep their distribution: a hot project becomes many files, not one slow task.
+
+def write_packets(
+    packets: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists"
+) -> dict[str, int]:
+    """Packets as JSON or parquet under ``status=…/project_root=…``; returns the rows of each status.
+
+    ``packets`` has the ``reasons`` of ``validate_packets``: a packet with any goes to the quarantined
+    side with them, its run is not lost and no other run fails for it. One pass writes both sides and
+    counts them. Rows are gathered by project, so small projects are one file; adaptive
+    execution cuts a hot project into many files of the advisory size, not one slow task. A null
+    project is the partition of null.
     """
-    packets.write.mode(mode).partitionBy("project_root").format(fmt).save(path)
+    bad = F.size("reasons") > 0
+    rows = packets.withColumn("status", F.when(bad, QUARANTINED).otherwise(ACCEPTED))
+    counts = Observation()
+    rows = rows.observe(
+        counts, F.count_if(~bad).alias(ACCEPTED), F.count_if(bad).alias(QUARANTINED)
+    )
+    rows = rows.hint("rebalance", "status", "project_root")
+    rows.write.mode(mode).partitionBy("status", "project_root").format(fmt).save(path)
+    return dict(counts.get)

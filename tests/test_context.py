@@ -171,9 +171,15 @@ def test_model_prompt(spark, runs_of):
 def test_packets_are_written_per_project(spark, tmp_path):
     from logsieve.plans.queries import packets
 
-    rows = packets(spark, "/root/testdata/sf0.001")
-    sinks.write_packets(rows, str(tmp_path / "packets"))
+    rows = A.validate_packets(packets(spark, "/root/testdata/sf0.001"))
+    counts = sinks.write_packets(rows, str(tmp_path / "packets"))
     back = spark.read.json(str(tmp_path / "packets"))
+    # Frames on line 0 take their packet to the other side; nothing else does.
+    bad = {r.run_id for r in rows.collect() if any(s.line == 0 or s.col == 0 for f in r.packet.test_run.failures for s in f.stack_trace)}
+    assert bad and counts == {"accepted": 1000 - len(bad), "quarantined": len(bad)}
+    assert {r.run_id for r in back.where("status = 'quarantined'").collect()} == bad
+    files = [p.parent for p in (tmp_path / "packets").glob("status=*/project_root=*/part-*")]
+    assert max(files.count(folder) for folder in files) <= 2
     assert back.count() == 1000 and back.select("project_root").distinct().count() == 12
     packet = back.filter("run_id = 50").first().packet.asDict(recursive=True)
     assert packet["version"] == "1.0.0"
