@@ -30,7 +30,7 @@ from logsieve.operators.infer import (
     raw_test,
     text_hints,
 )
-from logsieve.operators.rules import Rule
+from logsieve.operators.rules import UNKNOWN, UNKNOWN_RANK, Rule
 from logsieve.sources.runs import combined, without_ansi
 
 
@@ -179,6 +179,34 @@ def hypotheses_of(parsed: DataFrame, extra_rules: list[Rule] | None = None) -> D
     return explain_top(with_causes(parsed, extra_rules), extra_rules)
 
 
+def ranked_or_unknown(parsed: DataFrame, extra_rules: list[Rule] | None = None) -> DataFrame:
+    """parsed runs -> the ranked causes of each run, or one ``unknown`` row where no rule matched.
+
+    The same rows as ranking and ``unknown_fallback`` over failure tables, but inside the run's row:
+    the texts are parsed once and nothing moves. Runs without failures have none.
+    """
+    rows = with_causes(parsed, extra_rules).select("run_id", "failures", "top")
+    found = F.transform(
+        "top",
+        lambda c: F.struct(
+            c["failure_idx"].cast("int").alias("failure_idx"),
+            c["rule_rank"].alias("rule_rank"),
+            c["category"].alias("category"),
+            confidence_name(-c["order"]).alias("confidence"),
+            F.get("failures", c["failure_idx"])["error_message"].alias("error_message"),
+        ),
+    )
+    unknown = F.struct(
+        F.lit(0).alias("failure_idx"),
+        F.lit(UNKNOWN_RANK).alias("rule_rank"),
+        F.lit(UNKNOWN.category).alias("category"),
+        F.lit(UNKNOWN.confidence).alias("confidence"),
+        F.get("failures", F.lit(0))["error_message"].alias("error_message"),
+    )
+    causes = F.when(F.size("top") > 0, found).when(F.size("failures") > 0, F.array(unknown))
+    return each(rows, causes, "at", "c", "run_id").select("run_id", "c.*", (F.col("at") + 1).alias("hyp_idx"))
+
+
 def _explained(extra_rules: list[Rule] | None) -> Column:
     """The causes in ``chosen`` with their texts, one rule's branch evaluated per cause."""
 

@@ -327,11 +327,7 @@ def rank_hypotheses(spark, sf_dir):
 
 @query
 def unknown_fallback(spark, sf_dir):
-    # Two consumers: the parse is written once instead of being done for each.
-    rows = stage(failures(spark, sf_dir))
-    return I.unknown_fallback(
-        rows, I.rank_hypotheses(I.dedupe_hypotheses(I.match_rules(rows)))
-    )
+    return P.ranked_or_unknown(parsed(spark, sf_dir))
 
 
 @query

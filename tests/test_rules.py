@@ -208,3 +208,18 @@ def test_outcomes_of_tables(runs_of):
     inside = M.outcome_counts(rows)
     expected = [(0, 2, 1, 1), (1, 0, 0, 0), (2, 1, 1, 1)]
     assert sorted(map(tuple, tables.collect())) == sorted(map(tuple, inside.collect())) == expected
+
+
+def test_unknown_rows_in_the_row_and_over_tables(spark):
+    from logsieve.operators import infer as I
+    from logsieve.operators import parse as P
+    from logsieve.sources import bridge as B
+    from logsieve.sources.sinks import stage
+
+    parsed = P.parse_runs(B.runs(spark, "/root/testdata/sf0.001"))
+    failures = stage(P.failures_of(parsed, keep_raw=False))
+    tables = I.unknown_fallback(failures, I.rank_hypotheses(I.dedupe_hypotheses(I.match_rules(failures))))
+    inside = P.ranked_or_unknown(parsed)
+    rows = lambda t: sorted(tuple(r[c] for c in sorted(t.columns)) for r in t.collect())
+    assert rows(inside) == rows(tables.select(*inside.columns))
+    assert inside.where("category = 'unknown'").count() > 0
