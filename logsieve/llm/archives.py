@@ -8,6 +8,7 @@ finds stored members, and reads the ranges it needs; nothing is unpacked to disk
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import struct
 import zlib
@@ -27,6 +28,9 @@ LOCAL, CENTRAL, END = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06"
 END64, LOCATOR64 = b"PK\x06\x06", b"PK\x06\x07"
 HUGE, HUGE_COUNT, TAIL = 0xFFFFFFFF, 0xFFFF, 65_557
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+#: Fixed values of records: the profile of a repeated payload, the answer that holds a payload.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 #: Payloads below this many bytes are never revisits; record bytes that one reading task takes on.
 LEAST, RANGE_BYTES = 100, 16_000_000
 #: Repeated digests (about 100 bytes each) that are sent to every task; more are met by a join.
@@ -145,7 +149,7 @@ class PackageWriter:
         self._put(END + struct.pack("<HHHHIIH", 0, 0, HUGE_COUNT, HUGE_COUNT, HUGE, HUGE, 0))
 
 
-def _record(row) -> bytes:
+def _record(row, date: str) -> bytes:
     payload = (row.html or "").encode("utf-8", "surrogatepass")
     revisit = row.refers_to is not None and row.refers_to == row.refers_to
     lines = [
@@ -154,13 +158,16 @@ def _record(row) -> bytes:
         f"WARC-Record-ID: <urn:page:{row.page_id}>",
         f"WARC-Target-URI: {(row.url or '').replace(chr(13), '%0D').replace(chr(10), '%0A')}",
         f"WARC-Payload-Digest: sha256:{row.digest}",
+        f"WARC-Date: {date}",
         f"X-Payload-Length: {len(payload)}",
     ]
     if revisit:
-        lines.append(f"WARC-Refers-To: <urn:page:{int(row.refers_to)}>")
-        payload = b""
-    lines.append(f"Content-Length: {len(payload)}")
-    return zlib_member("\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + payload + b"\r\n\r\n")
+        lines += [f"WARC-Refers-To: <urn:page:{int(row.refers_to)}>", f"WARC-Profile: {PROFILE}"]
+        block = b""
+    else:
+        block = HTTP.format(len(payload)).encode() + payload
+    lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
+    return zlib_member("\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n")
 
 
 def zlib_member(data: bytes) -> bytes:
@@ -168,7 +175,7 @@ def zlib_member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def _writer(folder: str):
+def _writer(folder: str, date: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, root = open_folder(folder)
         files.create_dir(root, recursive=True)
@@ -178,7 +185,7 @@ def _writer(folder: str):
             package.begin(DATA)
             for batch in batches:
                 for row in batch.itertuples(index=False):
-                    data = _record(row)
+                    data = _record(row, date)
                     index.append(f"{row.page_id} {package.write(data)} {len(data)}\n")
             package.end()
             package.begin(INDEX)
@@ -194,7 +201,7 @@ def _writer(folder: str):
     return run
 
 
-def write_archives(pages: DataFrame, folder: str | None = None) -> tuple[str, DataFrame]:
+def write_archives(pages: DataFrame, folder: str | None = None, date: str | None = None) -> tuple[str, DataFrame]:
     """Writes one WARC record for each row of ``pages`` (page_id, url, html) into packages.
 
     Returns the folder and its manifest ``file, n_records, n_bytes``. Of the records whose payload
@@ -202,6 +209,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> tuple[str, Da
     others revisit it. A null html is an empty payload, a null url an empty one; rows with a null
     page_id have no record; of rows that repeat a page_id each has its record, and the copies of a
     leading page are responses like it. Other columns are ignored. No rows give no packages.
+    ``date`` is every record's (UTC, as 2024-01-31T12:00:00Z), the time of the call if not given.
 
     Digests are reduced to their smallest page_id before the shuffle. Those of several pages go to
     every task if they are few; beyond, pages move once, in a join whose large keys may be split.
@@ -223,7 +231,8 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> tuple[str, Da
         F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"),
     )
     folder = folder or new_folder(pages.sparkSession, "archives")
-    manifest = marked.mapInPandas(_writer(folder), "file string, n_records long, n_bytes long")
+    date = date or dt.datetime.now(dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    manifest = marked.mapInPandas(_writer(folder, date), "file string, n_records long, n_bytes long")
     return folder, stage(manifest)
 
 
@@ -245,21 +254,26 @@ def _locate(folder: str):
                     _, at, size = map(int, line.split())
                     if spans and spans[-1][1] + size <= RANGE_BYTES:
                         spans[-1][1] += size
-                        spans[-1][2] += 1
+                        spans[-1][2].append(size)
                     else:
-                        spans.append([begin + at, size, 1])
-                yield pd.DataFrame(
-                    [(file, *span) for span in spans], columns=["file", "offset", "size", "n_records"]
-                )
+                        spans.append([begin + at, size, [size]])
+                yield pd.DataFrame([(file, *span) for span in spans], columns=["file", "offset", "size", "sizes"])
 
     return run
 
 
-def _split(data: bytes) -> Iterator[bytes]:
-    while data:
+def _split(data: bytes, sizes) -> Iterator[bytes]:
+    """The records of a range, cut by the lengths that the index gives."""
+    at = 0
+    for size in sizes:
         unpacker = zlib.decompressobj(31)
-        yield unpacker.decompress(data)
-        data = unpacker.unused_data
+        record = unpacker.decompress(data[at : at + size])
+        if not unpacker.eof or unpacker.unused_data:
+            raise BadArchive("records of a range")
+        yield record
+        at += size
+    if at != len(data):
+        raise BadArchive("length of a range")
 
 
 def parse_record(record: bytes) -> tuple:
@@ -273,6 +287,7 @@ def parse_record(record: bytes) -> tuple:
     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:")
     refers_to = None
     if kind == "response":
+        _, _, payload = payload.partition(b"\r\n\r\n")
         if hashlib.sha256(payload).hexdigest() != digest:
             raise BadArchive("payload digest")
     else:
@@ -293,9 +308,7 @@ def _read(folder: str, payloads: bool):
             for span in batch.itertuples(index=False):
                 with files.open_input_file(f"{root}/{span.file}") as source:
                     data = source.read_at(span.size, span.offset)
-                rows = [parse_record(r) for r in _split(data)]
-                if len(rows) != span.n_records:
-                    raise BadArchive("records of a range")
+                rows = [parse_record(r) for r in _split(data, span.sizes)]
                 out = pd.DataFrame(rows, columns=COLUMNS).astype({"refers_to": "Int64"})
                 yield out if payloads else out.drop(columns="payload")
 
@@ -312,7 +325,7 @@ def read_archives(folder: str, manifest: DataFrame, payloads: bool = True) -> Da
     # Stated numbers: adaptive execution would put so few rows into one task.
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spans = manifest.select("file").repartition(parts, "file").mapInPandas(
-        _locate(folder), "file string, offset long, size long, n_records long"
+        _locate(folder), "file string, offset long, size long, sizes array<long>"
     )
     kinds = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return spans.repartition(parts, "file", "offset").mapInPandas(

@@ -2,6 +2,7 @@ import hashlib
 import io
 import random
 import zipfile
+import zlib
 
 import pytest
 
@@ -67,3 +68,22 @@ def test_sizes_beyond_32_bits_come_from_the_extra_field():
     big = 5 << 32
     extra = struct.pack("<HHB", 9, 1, 0) + struct.pack("<HHQQ", 1, 16, big, big + 1)
     assert A._extra64(extra, [A.HUGE, 7, A.HUGE]) == [big, 7, big + 1]
+
+
+def test_records_are_complete_and_cut_in_linear_time():
+    import time
+    from types import SimpleNamespace
+
+    row = SimpleNamespace(page_id=7, url="http://a/", html="<p>x</p>", digest="0", refers_to=None)
+    head, _, block = zlib.decompress(A._record(row, "2024-01-31T12:00:00Z"), 31).partition(b"\r\n\r\n")
+    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+    assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type"} <= set(fields)
+    assert int(fields["Content-Length"]) == len(block) - 4 and block.startswith(b"HTTP/1.1 200") and block.endswith(b"<p>x</p>\r\n\r\n")
+    row.refers_to = 3
+    assert b"WARC-Profile: http" in zlib.decompress(A._record(row, "2024-01-31T12:00:00Z"), 31)
+    one = A._record(row, "2024-01-31T12:00:00Z")
+    started = time.time()
+    assert sum(1 for _ in A._split(one * 50_000, [len(one)] * 50_000)) == 50_000
+    assert time.time() - started < 10
+    with pytest.raises(A.BadArchive):
+        list(A._split(one + one, [len(one)]))
