@@ -29,6 +29,8 @@ CLOSE = 0.9
 
 def _unit(rows: pd.Series) -> np.ndarray:
     x = np.stack([np.asarray(v, np.float64) for v in rows])
+    # First by the largest component, whose square may be beyond a double's range.
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -108,7 +110,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, nearest: int = NEA
     blocks and each pair of blocks is one task. Pairs are not emitted: a task returns a count and a
     root for each of its vectors, and a pair counts in the list of its smallest shared point only.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), "label")
+    # Single precision stays as it is; all else is compared as doubles.
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), "label")
     odd = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     some = F.exists("embedding", lambda v: v != 0)
     rows = rows.withColumn("valid", F.coalesce(F.col("label").isNotNull() & ~odd & some, F.lit(False)))
@@ -128,7 +132,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, nearest: int = NEA
     for row in sample:
         by_length.setdefault(len(row["embedding"]), []).append(row["embedding"])
     points = {d: _spread(_unit(pd.Series(v))) for d, v in by_length.items()}
-    fields = "rep long, copies long, label int, embedding array<float>"
+    fields = f"rep long, copies long, label int, embedding {kind}"
     described = classes.select("rep", "copies", F.hash("label", F.size("embedding")).alias("label"), "embedding")
     described = stage(described.mapInPandas(_describe(points, nearest), f"{fields}, points array<int>"))
     lists = described.withColumn("point", F.explode("points"))

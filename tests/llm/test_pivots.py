@@ -74,3 +74,10 @@ def test_lengths_that_the_sample_lacks(spark):
         base = vector(n)
         rows += [(len(rows) + k, plain(base + 0.01 * k), k // 3) for k in range(5)]
     assert {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()} == brute(rows)
+
+
+def test_doubles_beyond_single_precision(spark):
+    rows = [(1, [1e-60, 0.0], 0), (2, [1.0, 0.0], 0), (3, [1e300, 0.0], 0), (4, [0.0, 1e-300], 0), (5, [1e-320, 0.0], 0), (6, [1.0, 1e-9], 0)]
+    table = spark.createDataFrame(rows, VECTORS.replace("float", "double"))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicates(table).collect()}
+    assert got == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (0, 4), 5: (4, 1), 6: (4, 1)}
