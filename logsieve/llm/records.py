@@ -30,6 +30,8 @@ from logsieve.sources.sinks import stage
 
 #: Distinct text pieces whose ids a worker remembers, and characters of one call to the tokenizer.
 REMEMBERED, CALL_CHARS = 300_000, 20_000
+#: Characters whose words are looked up together.
+GATHERED = 6_000_000
 #: A word and signs behind it, none of them an apostrophe.
 SIGNS = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[.,;:!?%&*#$|()]+)$"
 SIGNED = re.compile(SIGNS).match
@@ -266,6 +268,21 @@ def pack_frame(doc_id: int, ids: np.ndarray) -> bytes:
     return length + struct.pack("<I", masked(length)) + payload + struct.pack("<I", masked(payload))
 
 
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and texts of several batches, ``GATHERED`` characters and the last text beyond."""
+    doc_ids, texts, size = [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            doc_ids.append(doc_id)
+            texts.append(text or "")
+            size += len(texts[-1])
+            if size >= GATHERED:
+                yield doc_ids, texts
+                doc_ids, texts, size = [], [], 0
+    if doc_ids:
+        yield doc_ids, texts
+
+
 def _writer(tokenizer, folder: str, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = _tokens(tokenizer.value)
@@ -274,9 +291,8 @@ def _writer(tokenizer, folder: str, end_id: int):
         name = attempt_name("shard", ".bin")
         entries, count, low, offset = [], 0, None, 0
         with files.open_output_stream(f"{root}/{name}") as out:
-            for batch in batches:
-                found = tokens.encode_all([text or "" for text in batch["text"]])
-                for doc_id, ids in zip(batch["doc_id"], found):
+            for doc_ids, texts in _gathered(batches):
+                for doc_id, ids in zip(doc_ids, tokens.encode_all(texts)):
                     ids = np.append(ids, end_id)
                     frame = pack_frame(doc_id, ids)
                     out.write(frame)
