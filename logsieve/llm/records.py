@@ -28,7 +28,9 @@ from logsieve.llm.batches import small_batches
 from logsieve.llm.files import attempt_name, new_folder, open_folder
 from logsieve.sources.sinks import stage
 
-#: Distinct text pieces whose ids a worker remembers, and characters of one call to the tokenizer.
+#: Distinct words, and other pieces, whose ids a worker remembers (some 100 bytes each), and characters
+#: of one call to the tokenizer.
+WORDS = 1_000_000
 REMEMBERED, CALL_CHARS = 300_000, 20_000
 #: Characters whose words are looked up together.
 GATHERED = 6_000_000
@@ -196,16 +198,15 @@ class Tokens:
         base = len(self.lengths)
         lengths = np.concatenate([self.lengths, np.fromiter(map(len, packed), np.int64, len(packed)) // 4])
         flat = np.concatenate([self.flat, np.frombuffer(b"".join(packed), "<u4")])
-        before = np.cumsum(lengths) - lengths
         place = np.zeros(len(words.dictionary), np.int64)
         place[used[~spaced]], place[used[spaced]] = usual, base + np.arange(len(others))
         number = np.stack([place[word], base + len(others) + sign], axis=1)
         number[first, 0] = base + len(others) + len(sign_names) + np.arange(len(first))
         number[first, 1] = base + len(packed) - 1
-        number = number[mine].ravel()
-        counts = lengths[number]
-        ids = flat[np.repeat(before[number] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
-        ends = np.cumsum(counts)[2 * np.cumsum(sizes[even]) - 1] if len(first) else []
+        rows_of_ids = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)])), pa.array(flat))
+        found = rows_of_ids.take(pa.array(number[mine].ravel()))
+        ids = found.flatten().to_numpy()
+        ends = found.offsets.to_numpy()[2 * np.cumsum(sizes[even])] - found.offsets[0].as_py() if len(first) else []
         low = 0
         for i, high in zip([i for i, ok in zip(rows, even) if ok], ends):
             out[i] = ids[low:high]
@@ -214,7 +215,7 @@ class Tokens:
 
     def _rows_of(self, names: list[str]) -> np.ndarray:
         """The rows of distinct words without white space, each behind a blank, in the remembered ids."""
-        if len(self.row) > 2 * REMEMBERED:
+        if len(self.row) > WORDS:
             self.row, self.lengths, self.flat = {}, np.empty(0, np.int64), NO_IDS
         fresh = [name for name in names if name not in self.row]
         lengths, flat = [self.lengths], [self.flat]

@@ -31,6 +31,7 @@ def test_batches_give_the_library_ids(library, monkeypatch):
     """Many texts at once, with few remembered pieces, so that they are forgotten and learnt again."""
     random.seed(3)
     monkeypatch.setattr(R, "REMEMBERED", 40)
+    monkeypatch.setattr(R, "WORDS", 5)
     bits = ["the ", "ñandú, ", "x\ny ", "  ", "word. ", "A1 ", "\n", "it's ", "(so) ", "<|endoftext|>"]
     tokens = R.Tokens(open(PATH, encoding="utf-8").read())
     for _ in range(60):
