@@ -207,3 +207,19 @@ def test_staging_uses_the_shared_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert sinks.shared_dir(spark) == folder
     assert sinks.stage(spark.range(5)).inputFiles()[0].startswith("file://" + folder)
+
+
+def test_diff_of_a_hot_commit(spark):
+    import datetime as dt
+
+    from logsieve.operators import history as H
+
+    when = dt.datetime(2024, 1, 1)
+    rows = [("/r", "c1", when, "s", f"f{i:06}", i, "x" * (i % 3)) for i in range(20_000)]
+    rows += [("/q", "c2", when, "s", "a", 0, "long " * 3000), ("/n", "c3", when, "s", "a", 0, None), ("/n", "c3", when, "s", "b", 1, "one")]
+    table = spark.createDataFrame(rows, "project_root string, commit_hash string, commit_ts timestamp, subject string, path string, change_no int, diff string")
+    got = {r["project_root"]: r["diff"] for r in H.diff_for_project(table.repartition(6), 500).collect()}
+    whole = "\n".join(r[6] for r in rows[:20_000])
+    assert got["/r"] == whole[:497] + "..." and got["/q"] == ("long " * 3000)[:497] + "..."
+    plan = H.diff_for_project(table, 500)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
