@@ -60,34 +60,34 @@ def external_summary(
 ) -> DataFrame:
     """(run_id, n_sources, summary, available) for every run.
 
-    The line of a result is built before the shuffle, so page contents do not travel. The count
-    is an aggregate and the top ``k`` a row-number filter: no group is collected whole.
+    One read: the line of a result is built before the shuffle, so page contents do not travel; the
+    first result of each host is a partial aggregate, and one window over a run's hosts counts and
+    ranks them. Only the top ``k`` lines are collected.
     """
-    slim = results.select(
-        "run_id",
-        "query_idx",
-        "result_idx",
-        "url",
-        "score",
-        source_line(F.col("title"), F.col("url"), F.col("content")).alias("line"),
-    )
-    # A row per searched run; the distinct count shuffles by run and host before it does by run.
-    host = F.when(F.col("score") >= min_score, extract_domain(F.col("url")))
-    searched = results.groupBy("run_id").agg(
-        F.countDistinct(host).cast("int").alias("n_sources")
-    )
-    best = Window.partitionBy("run_id").orderBy(
-        F.col("score").desc(), "query_idx", "result_idx"
-    )
-    top = (
-        dedupe_by_domain(slim, min_score)
-        .withColumn("rk", F.row_number().over(best))
-        .filter(F.col("rk") <= k)
+    relevant = F.coalesce(F.col("score") >= min_score, F.lit(False))
+    place = F.struct("query_idx", "result_idx")
+    line = source_line(F.col("title"), F.col("url"), F.col("content"))
+    # Results of too little score stay as one row per run: the run was searched.
+    hosts = (
+        results.select(
+            "run_id", "query_idx", "result_idx", "score", relevant.alias("relevant"),
+            F.when(relevant, extract_domain(F.col("url"))).alias("host"), F.when(relevant, line).alias("line"),
+        )
+        .groupBy("run_id", "relevant", "host")
+        .agg(F.min(place).alias("place"), F.min_by(F.struct("score", "line"), place).alias("first"))
     )
+    run = Window.partitionBy("run_id")
+    best = run.orderBy(F.desc("relevant"), F.col("first.score").desc(), "place")
+    top = hosts.select(
+        "run_id", "relevant", "first",
+        F.count(F.when(F.col("relevant"), F.col("host"))).over(run).cast("int").alias("n"),
+        F.row_number().over(best).alias("rk"),
+    ).filter(F.col("rk") <= k)
     listed = top.groupBy("run_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rk", "line"))), lambda s: s["line"]).alias(
-            "lines"
-        )
+        F.max("n").alias("n_sources"),
+        F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("relevant"), F.struct("rk", "first.line")))), lambda s: s["line"]
+        ).alias("lines"),
     )
     n = F.coalesce("n_sources", F.lit(0))
     head = F.concat(
@@ -96,7 +96,6 @@ def external_summary(
     full = F.array_join(F.concat(F.array(head, F.lit("")), F.col("lines")), "\n")
     return (
         runs.select("run_id")
-        .join(searched, "run_id", "left")
         .join(listed, "run_id", "left")
         .select(
             "run_id",
