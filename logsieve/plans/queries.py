@@ -379,7 +379,8 @@ def related_files(spark, sf_dir):
 
 def snippets(spark, sf_dir, k=C.MAX_SNIPPETS):
     return C.collect_snippets(
-        C.failure_locations(parsed(spark, sf_dir)), B.source_lines(spark, sf_dir), k=k
+        # Read for the cited files and for the windows: parsed once.
+        stage(C.failure_locations(parsed(spark, sf_dir))), B.source_lines(spark, sf_dir), k=k
     )
 
 
