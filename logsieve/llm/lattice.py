@@ -282,10 +282,10 @@ def _score(model: dict, frequent):
                         total += math.lgamma(p + c) - math.lgamma(p) if p > 1e-9 else math.log(p) + math.lgamma(c)
                     else:
                         rare.append(w)
-                        total += math.lgamma(c)
                 seen = len(t)
                 total -= math.lgamma(CONCENTRATION + seen + 1) - math.lgamma(CONCENTRATION)
-                total += math.log(CONCENTRATION * (ends + 0.5) / (tokens + 0.5))
+                # With the half of the end, the masses of words and end sum to 1.
+                total += math.log(CONCENTRATION * (ends + 0.5) / tokens)
                 rows.append((
                     seen + 1,
                     sum(c for w, c in uses.items() if w in counts) + (ends > 0),
@@ -311,10 +311,8 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
     Words are runs outside ASCII white space with A-Z lowered; null texts are empty and score their
     end alone. Repeated rows come back repeated, null ids too; other columns are ignored.
 
-    A word's later uses in a document depend on its probability only when that is not tiny: for a
-    word outside the frequent ones they count as repetitions alone, a lower bound. Counts of the
-    frequent words go to every task (a bounded list); the rare words of a document travel once
-    and meet the word counts in a join.
+    Counts of the frequent words go to every task (a bounded list); the rare words of a document
+    travel once and meet the word counts in a join. Both ways score by the same formula.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -329,7 +327,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     parts = {
         "pieces": model.pieces, "scores": model.scores, "base": _Base(model),
-        "tokens": max(model.tokens, 1), "distinct": model.distinct, "ends": model.ends,
+        "tokens": model.tokens + 0.5, "distinct": model.distinct, "ends": model.ends,
     }
     found = stage(rows.mapInPandas(
         _score(parts, frequent),
@@ -340,21 +338,29 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
         "row", F.explode(F.arrays_zip("rare", "times", "spelled")).alias("r")
     ).select("row", "r.rare", "r.times", "r.spelled").withColumnRenamed("rare", "word")
     c = F.coalesce("n", F.lit(0))
-    tokens, distinct = float(max(model.tokens, 1)), float(model.distinct)
+    tokens, distinct = model.tokens + 0.5, float(model.distinct)
     whole = F.greatest(c - DISCOUNT, F.lit(0.0))
     spelled = F.pow(F.lit(10.0), F.col("spelled").cast("double"))
     # Far below the range of doubles only the spelling is left, and its logarithm is at hand.
     first = F.when(c > 0, F.log10((whole + DISCOUNT * distinct * spelled) / tokens)).otherwise(
         F.col("spelled").cast("double") + (math.log10(DISCOUNT * distinct / tokens) if distinct else 0.0)
     ) + math.log10(CONCENTRATION)
+    # Later uses: the weight of the model and of the uses before, one after another.
+    later = F.when(
+        F.col("times") > 1,
+        F.aggregate(
+            F.sequence(F.lit(1), F.col("times") - 1), F.lit(0.0),
+            lambda total, i: total + F.log10(F.pow(F.lit(10.0), F.col("first")) + i),
+        ),
+    ).otherwise(0.0)
     size = float(model.tokens + 0.5 * (model.distinct + (model.ends > 0) + 1))
     sums = (
-        rare.join(model.counts.select("word", "n"), "word", "left")
+        rare.join(model.counts.select("word", "n"), "word", "left").withColumn("first", first)
         .groupBy("row")
         .agg(
             F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"),
             F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(size))).alias("more_base"),
-            F.sum(first).alias("more_score"),
+            F.sum(F.col("first") + later).alias("more_score"),
         )
     )
     nothing = F.lit(0.0)

@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from logsieve.llm import lattice as lattice_module
 from logsieve.llm.lattice import CONCENTRATION, DISCOUNT, MARK, Lattice, fit, score, vocabulary
 from logsieve.llm.words import words
 
@@ -45,7 +46,10 @@ def test_expected_counts_spell_the_words():
     assert np.exp(scores).sum() == pytest.approx(1)
 
 
-def test_scores_against_brute_force(spark):
+@pytest.mark.parametrize("frequent", [50_000, 4, 0])
+def test_scores_against_brute_force(spark, monkeypatch, frequent):
+    """The same scores whether counts go to the tasks or come by the join."""
+    monkeypatch.setattr(lattice_module, "FREQUENT", frequent)
     random.seed(6)
     rows = [(i, " ".join(random.choice(["The", "cat", "sat", "É" * 3, "x9", f"n{i}"]) for _ in range(random.randint(0, 30)))) for i in range(60)]
     rows += [(60, None), (61, ""), (62, "z" * 20_000), (62, "z" * 20_000), (None, "the cat")]
@@ -65,9 +69,8 @@ def test_scores_against_brute_force(spark):
         total, seen = 0.0, Counter()
         if doc_id != 62:
             for t, (w, q) in enumerate(zip(ws, spelled)):
-                p = (max(c[w] - DISCOUNT, 0) + DISCOUNT * len(c) * q) / n
-                kept = CONCENTRATION * p if seen[w] == 0 or c[w] else 0.0
-                total += math.log10((kept + seen[w]) / (CONCENTRATION + t))
+                p = (max(c[w] - DISCOUNT, 0) + DISCOUNT * len(c) * q) / (n + 0.5)
+                total += math.log10((CONCENTRATION * p + seen[w]) / (CONCENTRATION + t))
                 seen[w] += 1
             total += math.log10(CONCENTRATION * (ends + 0.5) / (n + 0.5) / (CONCENTRATION + len(ws)))
             assert by_id[doc_id]["score"] == pytest.approx(total, rel=1e-6)
@@ -76,6 +79,16 @@ def test_scores_against_brute_force(spark):
         assert r["base_score"] == pytest.approx(sum(base(c[w]) for w in ws) + base(ends))
 
 
+def test_masses_sum_to_one_at_most(spark):
+    """Words and end of a small table: whole words, what is left for spelling, and the end."""
+    train = [(1, "a b a"), (2, "a")]
+    model = fit(spark.createDataFrame(train, DOCS), PATH)
+    tokens, ends, c = 6, 2, {"a": 3, "b": 1}
+    assert (model.tokens, model.ends, model.distinct) == (tokens, ends, 2)
+    words_mass = sum(n - DISCOUNT for n in c.values()) + DISCOUNT * len(c)
+    assert words_mass / (tokens + 0.5) + (ends + 0.5) / (tokens + 0.5) == pytest.approx(1)
+
+
 def test_nothing_learnt(spark):
     none = spark.createDataFrame([], DOCS)
     model = fit(none, PATH)
