@@ -346,21 +346,25 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
         F.col("spelled").cast("double") + (math.log10(DISCOUNT * distinct / tokens) if distinct else 0.0)
     ) + math.log10(CONCENTRATION)
     # Later uses: the weight of the model and of the uses before, one after another.
-    later = F.when(
-        F.col("times") > 1,
-        F.aggregate(
-            F.sequence(F.lit(1), F.col("times") - 1), F.lit(0.0),
-            lambda total, i: total + F.log10(F.pow(F.lit(10.0), F.col("first")) + i),
+    mass = (whole + DISCOUNT * distinct * spelled) * (CONCENTRATION / tokens)
+    more = F.get(
+        F.transform(
+            F.array(mass),
+            lambda m: F.aggregate(
+                F.sequence(F.lit(1), F.col("times") - 1), F.lit(0.0), lambda total, i: total + F.log10(m + i)
+            ),
         ),
-    ).otherwise(0.0)
+        F.lit(0),
+    )
+    later = F.when(F.col("times") == 1, 0.0).when(F.col("times") == 2, F.log10(mass + 1)).otherwise(more)
     size = float(model.tokens + 0.5 * (model.distinct + (model.ends > 0) + 1))
     sums = (
-        rare.join(model.counts.select("word", "n"), "word", "left").withColumn("first", first)
+        rare.join(model.counts.select("word", "n"), "word", "left")
         .groupBy("row")
         .agg(
             F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"),
             F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(size))).alias("more_base"),
-            F.sum(F.col("first") + later).alias("more_score"),
+            F.sum(first + later).alias("more_score"),
         )
     )
     nothing = F.lit(0.0)
