@@ -223,3 +223,16 @@ def test_diff_of_a_hot_commit(spark):
     assert got["/r"] == whole[:497] + "..." and got["/q"] == ("long " * 3000)[:497] + "..."
     plan = H.diff_for_project(table, 500)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def exchanges(rows):
+    """Hash exchanges that the plan of ``rows`` starts with."""
+    return rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_results_are_placed_by_run_once(spark, runs_of):
+    rows = [(r, q, "q", i, "t", f"http://h{i}.x/{q}", "One. Two.", 0.5) for r in range(3) for q in range(2) for i in range(3)]
+    results = spark.createDataFrame(rows, RESULTS)
+    assert exchanges(E.dedupe_by_url(results)) == 1
+    assert E.dedupe_by_url(results).count() == 18
+    assert {r.n_sources for r in E.external_summary(runs_of("a", "b", "c"), results).collect()} == {3}
