@@ -234,5 +234,7 @@ def test_results_are_placed_by_run_once(spark, runs_of):
     rows = [(r, q, "q", i, "t", f"http://h{i}.x/{q}", "One. Two.", 0.5) for r in range(3) for q in range(2) for i in range(3)]
     results = spark.createDataFrame(rows, RESULTS)
     assert exchanges(E.dedupe_by_url(results)) == 1
+    # The second places the runs, by their ids alone.
+    assert exchanges(E.external_summary(runs_of("a", "b", "c"), results)) == 2
     assert E.dedupe_by_url(results).count() == 18
     assert {r.n_sources for r in E.external_summary(runs_of("a", "b", "c"), results).collect()} == {3}
