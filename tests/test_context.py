@@ -238,3 +238,29 @@ def test_results_are_placed_by_run_once(spark, runs_of):
     assert exchanges(E.external_summary(runs_of("a", "b", "c"), results)) == 2
     assert E.dedupe_by_url(results).count() == 18
     assert {r.n_sources for r in E.external_summary(runs_of("a", "b", "c"), results).collect()} == {3}
+
+
+def plan(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sources_move_once_and_keep_their_order(spark):
+    rows = [
+        (1, 1, "b", 0, "t4", "u4", "c4", 0.4), (1, 0, "a", 1, "t2", "u2", None, None), (1, 0, "a", 0, "t1", "u1", "c1", 0.1),
+        (1, 1, "a", 0, "t3", "u3", "c3", 0.3), (2, 0, None, 0, "t5", "u5", "c5", 0.5), (2, None, "z", 0, "t6", "u6", "c6", 0.6),
+    ]
+    sources = A._sources(spark.createDataFrame(rows, RESULTS))
+    assert exchanges(sources) == 1
+    got = {r.run_id: [(q.query, [(h.title, h.content) for h in q.results]) for q in r.sources] for r in sources.collect()}
+    assert got[1] == [("a", [("t1", "c1"), ("t2", None)]), ("a", [("t3", "c3")]), ("b", [("t4", "c4")])]
+    assert got[2] == [("z", [("t6", "c6")]), (None, [("t5", "c5")])]
+
+
+@pytest.mark.parametrize("build", [A.agent_prompts, A.enhancement_prompts])
+def test_runs_are_not_shuffled_by_project(spark, runs_of, build):
+    analysed = analyse_runs(runs_of("Error: x\n    at f (a.ts:1:2)"))
+    latest = spark.createDataFrame([("/repo/p1", "abc", "s", "b")], "project_root string, hash string, subject string, branch string")
+    diffs = spark.createDataFrame([("/repo/p1", "+x")], "project_root string, diff string")
+    rows = build(analysed, P.explain_top(analysed), repo=A.repo_state(latest, diffs))
+    assert "hashpartitioning(project_root" not in plan(rows)
+    assert "+x" in rows.first().text
