@@ -264,3 +264,18 @@ def test_runs_are_not_shuffled_by_project(spark, runs_of, build):
     rows = build(analysed, P.explain_top(analysed), repo=A.repo_state(latest, diffs))
     assert "hashpartitioning(project_root" not in plan(rows)
     assert "+x" in rows.first().text
+
+
+def test_lines_of_sources_move_once(spark):
+    rows = C.collect_snippets(locations(spark, ("a", 1)), source(spark, a="x\ny", b="z"))
+    assert "LeftSemi" not in plan(rows)
+    assert [r.content for r in rows.collect()] == ["x\ny"]
+
+
+def test_windows_meet_line_numbers_before_they_are_cut(spark, runs_of):
+    parsed = P.parse_runs(runs_of("Error: x\n    at f (a.ts:2:1)"))
+    snippets = C.collect_snippets(C.failure_locations(parsed), source(spark, a="1\n2\n3"))
+    rows = C.mark_error_lines(snippets, P.frames_of(parsed))
+    assert "hashpartitioning(run_id" in plan(rows)
+    assert not [line for line in plan(rows).split("\n") if "hashpartitioning(run_id" in line and "line_no" in line]
+    assert sorted((r.line_no, r.is_error) for r in rows.collect()) == [(1, False), (2, True), (3, False)]
