@@ -279,3 +279,9 @@ def test_windows_meet_line_numbers_before_they_are_cut(spark, runs_of):
     assert "hashpartitioning(run_id" in plan(rows)
     assert not [line for line in plan(rows).split("\n") if "hashpartitioning(run_id" in line and "line_no" in line]
     assert sorted((r.line_no, r.is_error) for r in rows.collect()) == [(1, False), (2, True), (3, False)]
+
+
+def test_packets_are_packed_with_zstd(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "/repo/p1", "x", [])], "run_id bigint, project_root string, packet string, reasons array<string>")
+    assert sinks.write_packets(rows, str(tmp_path / "p"), "parquet") == {"accepted": 1, "quarantined": 0}
+    assert [f for f in (tmp_path / "p").rglob("part-*") if ".zstd." in f.name]
