@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logsieve.functions.text import let
 from logsieve.sources.sinks import stage
 
 #: Characters from which on a line has near lines; shorter ones only have equal ones.
@@ -157,8 +158,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     kept = first.join(near, "h", "left_anti").select("place.doc_id", "place.line_no")
     kept = kept.groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list("line_no")).alias("_kept"))
     out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
-    lines = F.split("text", "\n")
-    text = F.array_join(F.transform(F.coalesce("_kept", F.array().cast("array<int>")), lambda i: F.get(lines, i)), "\n")
+    numbers = F.coalesce("_kept", F.array().cast("array<int>"))
+    # Inside a lambda the split would run once for each kept line.
+    text = let(F.split("text", "\n"), lambda lines: F.array_join(F.transform(numbers, lambda i: F.get(lines, i)), "\n"))
     out = out.withColumn("text", F.when(F.col("text").isNotNull(), text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -1,4 +1,5 @@
 import random
+import time
 
 from logsieve.llm.lines import NEAR_CHARS, dedup_lines
 
@@ -59,3 +60,12 @@ def test_columns_stay_and_odd_rows(spark):
     got = {r["doc_id"]: (r["text"], r["n_chars"], r["h"]) for r in out.collect()}
     assert got == {None: ("other", 5, "z"), 1: ("same line", 9, "y"), 2: ("", 0, "x"), 3: (None, None, None)}
     assert dedup_lines(docs.limit(0)).collect() == []
+
+
+def test_time_follows_the_lines_of_a_document(spark):
+    text = "\n".join(f"{i:05d}" for i in range(40_000))
+    docs = spark.createDataFrame([(1, text), (2, "00007\nnew")], DOCS)
+    began = time.time()
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(docs).collect()}
+    assert time.time() - began < 60
+    assert got == {1: text, 2: "new"}
