@@ -188,12 +188,16 @@ def _local(own: Column, before: Column, after: Column) -> Column:
 
     text = _join(own)
     pip = F.when(gated(text, "ERROR:", X.PY_PIP), F.array(X.failure(F.regexp_extract(text, X.PY_PIP, 1), F.lit("PipError"), X.no_frames()))).otherwise(X.no_failures())
-    near = F.concat(before, own)
-    first = F.slice(F.filter(X.positions(near, lambda l: trimmed(l).rlike(X.PY_ERROR)), lambda at: at >= F.size(before)), 1, 1)
-    alone = F.transform(first, lambda at: X.failure(
-        F.regexp_extract(trimmed(F.get(near, at)), X.PY_ERROR, 2), F.regexp_extract(trimmed(F.get(near, at)), X.PY_ERROR, 1),
-        X._python_frames(F.slice(near, F.greatest(at - 3, F.lit(0)) + 1, F.least(at, F.lit(3)))),
-    ))
+
+    def alone_in(near: Column) -> Column:
+        first = F.slice(F.filter(X.positions(near, lambda l: trimmed(l).rlike(X.PY_ERROR)), lambda at: at >= F.size(before)), 1, 1)
+        return F.transform(first, lambda at: X.failure(
+            F.regexp_extract(trimmed(F.get(near, at)), X.PY_ERROR, 2), F.regexp_extract(trimmed(F.get(near, at)), X.PY_ERROR, 1),
+            X._python_frames(F.slice(near, F.greatest(at - 3, F.lit(0)) + 1, F.least(at, F.lit(3)))),
+        ))
+
+    # Lists that are put together are bound once: a lambda would put them together anew for every line.
+    alone = let(F.concat(before, own), alone_in)
     failed = F.transform(X.pytest_lines(text), lambda m: X.failure(
         F.concat(F.lit("Test failed: "), F.regexp_extract(m, X.PY_TEST, 3)), F.regexp_extract(m, X.PY_TEST, 3), X.no_frames(), None,
         F.regexp_extract(m, X.PY_TEST, 2), F.regexp_extract(m, X.PY_TEST, 1),
@@ -204,7 +208,7 @@ def _local(own: Column, before: Column, after: Column) -> Column:
         .when(fmt == "python", F.concat(of(pip, 1), of(alone, 2), of(failed, 2, 1)))
         .when(fmt == "java", of(X.java_compile_failures(own), 0))
         .when(fmt == "go", of(X.go_compile_failures(own), 0))
-        .when(fmt == "rust", of(X.rust_compile_failures(F.concat(own, after), F.size(own)), 0))
+        .when(fmt == "rust", of(let(F.concat(own, after), lambda near: X.rust_compile_failures(near, F.size(own))), 0))
         .otherwise(F.array()).cast(kind)
     )
 
@@ -218,19 +222,25 @@ def _chunk_columns() -> list[Column]:
         F.when(fmt == "python", _python_pieces(own, first)).when(fmt == "java", _java_pieces(own, first))
         .when(fmt.isin(special), F.array().cast(f"array<{PIECE}>")).otherwise(_generic_pieces(own, after, first, F.col("way")))
     )
-    issues = X.eslint_issues(F.when(first, own).otherwise(F.concat(F.array(F.lit(CARRIED_FILE)), own)))
+    issues = let(F.when(first, own).otherwise(F.concat(F.array(F.lit(CARRIED_FILE)), own)), X.eslint_issues)
     is_file = lambda l: let(trimmed(l), lambda t: t.rlike(X.ESLINT_FILE) & ~has(t, "  ") & ~t.rlike(X.ESLINT_ISSUE) & ~t.rlike(X.ESLINT_TOTAL))
-    stack = F.filter(own, lambda l: l.rlike(X.GO_FUNC) | l.rlike(X.GO_FRAME))
-    named = F.transform(
+    stack = let(
+        F.filter(own, lambda l: l.rlike(X.GO_FUNC) | l.rlike(X.GO_FRAME)),
+        lambda s: F.transform(s, lambda l, k: F.struct(l.alias("text"), F.get(s, k - 1).alias("above"))),
+    )
+    named = let(F.concat(own, after), lambda near: F.transform(
         X.positions(own, lambda l: has(l, "--- FAIL: ")),
         lambda i: F.struct(
             F.regexp_extract_all(F.get(own, i), F.lit(r"--- FAIL: (\w+)"), F.lit(1)).alias("words"),
             F.transform(
-                F.filter(F.slice(F.concat(own, after), i + 2, 9), lambda l: gated(l, ".go:", X.GO_DETAIL)),
+                F.filter(
+                    F.transform(F.sequence(F.lit(1), F.lit(9)), lambda k: F.get(near, i + k)),
+                    lambda l: F.coalesce(gated(l, ".go:", X.GO_DETAIL), F.lit(False)),
+                ),
                 lambda l: F.struct(F.regexp_extract(l, X.GO_DETAIL, 3).alias("message"), X.frame(F.lit(None).cast("string"), F.regexp_extract(l, X.GO_DETAIL, 1), captured_int(l, X.GO_DETAIL, 2)).alias("frame")),
             ).alias("details"),
         ),
-    )
+    ))
     npm = fmt == "npm"
     after_head = F.slice(own, F.coalesce(F.get(X.positions(own, lambda l: l.rlike(PEER_HEAD)), F.lit(0)), F.size(own)) + 2, F.size(own))
     peer = lambda lines: F.get(F.transform(F.filter(lines, lambda l: l.rlike(PEER)), lambda l: F.struct(F.regexp_extract(l, PEER, 1).alias("by"), F.regexp_extract(l, PEER, 2).alias("of"))), F.lit(0))
@@ -246,7 +256,7 @@ def _chunk_columns() -> list[Column]:
         _local(own, before, after).alias("local"), pieces.alias("pieces"),
         F.when(fmt == "eslint", issues).alias("issues"),
         F.when(fmt == "eslint", trimmed(F.try_element_at(F.filter(own, is_file), F.lit(-1)))).alias("last_file"),
-        F.when(go, F.transform(stack, lambda l, k: F.struct(l.alias("text"), F.get(stack, k - 1).alias("above")))).alias("stack"),
+        F.when(go, stack).alias("stack"),
         F.when(go, captured(seen, X.GO_PANIC)).alias("go_panic"), F.when(go, gated(seen, "goroutine", X.GO_ROUTINE)).alias("go_routine"),
         F.when(go, named).alias("named"), F.when(go, F.regexp_extract_all(_join(own), F.lit(X.GO_TEST), F.lit(1))).alias("tests"),
         panic.alias("panic"), F.when(rust, captured(seen, X.RUST_TEST)).alias("rust_test"),
