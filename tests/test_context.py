@@ -1,6 +1,7 @@
 """Snippets, prompts, packets and sources on small hand-made tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from logsieve.operators import assemble as A
 from logsieve.operators import context as C
@@ -285,3 +286,21 @@ def test_packets_are_packed_with_zstd(spark, tmp_path):
     rows = spark.createDataFrame([(1, "/repo/p1", "x", [])], "run_id bigint, project_root string, packet string, reasons array<string>")
     assert sinks.write_packets(rows, str(tmp_path / "p"), "parquet") == {"accepted": 1, "quarantined": 0}
     assert [f for f in (tmp_path / "p").rglob("part-*") if ".zstd." in f.name]
+
+
+def test_first_sentences_of_a_head_are_those_of_the_whole_text(spark):
+    """The head answers only where it holds every sentence and a character behind them."""
+    from logsieve.functions.text import SENTENCE, SENTENCE_END, SENTENCE_HEAD, first_sentences, trimmed
+
+    n = SENTENCE_HEAD
+    texts = [None, "", ".", "...", "a", "a.", "a. b", "a. b.", "a. b. c", " a! b? c. d", "?!a.b!c", "..a...b!!", "a\nb. \nc.\n d", "x" * n]
+    for k in (n - 4, n - 3, n - 2, n - 1, n, n + 1):
+        texts += [tail.join(["x" * k, ""]) for tail in (". b. c", ". b.", ".", "...", ".b...c", "é. ✗! c")]
+        texts += ["a." + "é" * k + "." * r + t for r in (1, 2, 5) for t in ("", "b", "b.")]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    t = F.col("t")
+    for count in (1, 2, 3):
+        found = F.regexp_extract(t, f"(?:{SENTENCE}){{1,{count}}}", 0)
+        whole = F.when(t.rlike(SENTENCE_END), trimmed(found)).otherwise(F.substring(t, 1, 200))
+        wrong = rows.where(~first_sentences(t, count).eqNullSafe(whole)).collect()
+        assert not wrong, (count, wrong[:3])
