@@ -5,7 +5,7 @@ look-back, into small partial results; a block that reaches over chunks leaves o
 What a chunk has to know of the text before it (the block that is open, the last file line, the last
 stack line) is folded over one small row per chunk, and pieces of a block are joined by folds that take
 them in any grouping: first or last of a value, lists in order, or. No step holds more of a log than
-one chunk, except the text of a single block, which is left out beyond ``RAW_LINES`` lines.
+one chunk, except the text of a single block, which is whole however many lines it has.
 
 The results are those of the run grain (``parse.failures_of`` and ``parse.frames_of``) for a text whose
 lines are the given ones. A pattern that spans lines is seen when it ends within ``AFTER`` lines.
@@ -25,8 +25,6 @@ from logsieve.sources.sinks import stage
 
 #: Lines of a chunk, and lines that a chunk sees behind and before its own.
 CHUNK, AFTER, BEFORE = 10_000, 9, 3
-#: A block's text is kept if its chunks hold no more lines than this.
-RAW_LINES = 160_000
 #: A line that cannot be a file name stands for the file line of an earlier chunk.
 CARRIED_FILE = "/\x01"
 # Fixed value: the two ends of a peer conflict, each on a line of its own.
@@ -380,8 +378,11 @@ def _go_rows(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return panics.union(tested), of_panic
 
 
-def _block_rows(parsed: DataFrame, raw_chunks: int) -> tuple[DataFrame, DataFrame]:
-    """Failures of blocks joined from their pieces, and their frames."""
+def _block_rows(parsed: DataFrame, raw_chunks: int | None) -> tuple[DataFrame, DataFrame]:
+    """Failures of blocks joined from their pieces, and their frames.
+
+    Blocks over more than ``raw_chunks`` chunks come without their text; None: each has its whole text.
+    """
     n_heads = F.size(F.filter("pieces", lambda p: p["head"]))
     opened = before_chunks(
         parsed.select("run_id", "chunk", F.when(n_heads > 0, F.struct("chunk", (n_heads - 1).alias("idx"))).alias("last_head")),
@@ -393,15 +394,18 @@ def _block_rows(parsed: DataFrame, raw_chunks: int) -> tuple[DataFrame, DataFram
     own = F.struct("chunk", (F.col("k") - F.when(F.col("headed"), 0).otherwise(1)).alias("idx"))
     pieces = pieces.withColumn("block", F.when(F.col("p.head"), own).otherwise(F.col("open"))).where("block IS NOT NULL")
     pieces = pieces.select(*KEY, "chunk", "block.idx", F.col("block.chunk").alias("start"), "p.*")
-    near = F.col("chunk") - F.col("start") < raw_chunks
-    texts = F.collect_list(F.when(near, F.struct("chunk", "raw")))
+    piece, raw = F.struct("chunk", "raw"), F.col("raw")
+    if raw_chunks is not None:
+        # Texts that nobody asked for are not gathered either.
+        piece = F.when(F.col("chunk") - F.col("start") < raw_chunks, piece)
+        raw = F.when(F.col("end") - F.col("chunk") < raw_chunks, raw)
     blocks = pieces.groupBy(*KEY, "start", "idx").agg(
         _first("error_type").alias("first_type"), _first("error_message").alias("first_message"),
         _last("error_type").alias("last_type"), _last("error_message").alias("last_message"),
         _first("first").alias("first"), _first("test_name").alias("test_name"), _first("test_file").alias("test_file"),
         F.bool_or("raw_syntax").alias("raw_syntax"), F.bool_or("raw_unhandled").alias("raw_unhandled"),
         F.sum(F.size("frames")).alias("n_frames"), F.max("chunk").alias("end"),
-        F.array_join(F.transform(F.sort_array(texts), lambda t: t["raw"]), "").alias("raw"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda t: t["raw"]), "").alias("raw"),
     )
     python, java = F.col("format") == "python", F.col("format") == "java"
     blocks = blocks.where(~python | F.col("last_message").isNotNull() | (F.col("n_frames") > 0)).withColumnRenamed("start", "chunk")
@@ -412,7 +416,7 @@ def _block_rows(parsed: DataFrame, raw_chunks: int) -> tuple[DataFrame, DataFram
     rows = blocks.select(
         *KEY, F.when(java, 1).otherwise(0).alias("priority"), F.lit(0).alias("grp"), "chunk", "idx", "test_name", "test_file",
         message.alias("error_message"), kind.alias("error_type"),
-        F.when(F.col("end") - F.col("chunk") < raw_chunks, F.col("raw")).alias("raw_block"), "raw_syntax", "raw_unhandled",
+        raw.alias("raw_block"), "raw_syntax", "raw_unhandled",
     )
     counts = pieces.select("run_id", "start", "idx", "chunk", F.size("frames").alias("n"), "frames").where("n > 0")
     counts = before_chunks(counts, ["run_id", "start", "idx"], "chunk", earlier=F.sum("n"))
@@ -431,13 +435,14 @@ def _paired(blocks: DataFrame, parsed: DataFrame) -> DataFrame:
     return blocks.where(~python).union(mine)
 
 
-def parse_lines(lines: DataFrame, size: int = CHUNK, raw_lines: int = RAW_LINES) -> tuple[DataFrame, DataFrame]:
+def parse_lines(lines: DataFrame, size: int = CHUNK, raw_lines: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(run_id, project_root, line_no, line) -> (failures, frames), as from the run grain.
 
     failures: run_id, project_root, failure_idx, test_name, test_file, error_message, error_type,
-    raw_syntax, raw_unhandled, raw_block (null: the whole text, or a block over more than ``raw_lines``
-    lines). frames: run_id, project_root, failure_idx, frame_idx and the frame's columns. Runs without
-    lines have no rows; null lines count as empty.
+    raw_syntax, raw_unhandled, raw_block (null: the whole text). A caller who can do without the text of
+    long blocks gives ``raw_lines``: blocks over more lines then have null too. frames: run_id,
+    project_root, failure_idx, frame_idx and the frame's columns. Runs without lines have no rows; null
+    lines count as empty.
 
     The text is shuffled once, into chunks of ``size`` lines, and written twice: cut, and parsed into
     partial results. Neither a hot run nor a large one meets in one task.
@@ -446,7 +451,7 @@ def parse_lines(lines: DataFrame, size: int = CHUNK, raw_lines: int = RAW_LINES)
     facts = stage(run_facts(chunks, size))
     known = facts.select(F.col("run_id").alias("of"), "format", "way", "blank")
     parsed = stage(parse_chunks(chunks.join(known, F.col("run_id").eqNullSafe(F.col("of"))).where("NOT blank OR format <> 'unknown'")))
-    blocks, block_frames = _block_rows(parsed, max(1, raw_lines // size))
+    blocks, block_frames = _block_rows(parsed, None if raw_lines is None else max(1, raw_lines // size))
     go, panic_frames = _go_rows(parsed)
     blocks = _paired(blocks, parsed)
     direct = _local_rows(parsed).union(_eslint_rows(parsed)).union(_npm_rows(parsed)).union(_rust_rows(parsed)).union(go)

@@ -76,6 +76,13 @@ def test_long_blocks_leave_their_text_out(spark, runs_of):
     assert [sorted(f[2] for f in frames if f[1] == 0)] == [list(range(199))]
 
 
+def test_longest_blocks_keep_their_whole_text(spark, runs_of):
+    """A null text stands for the whole output, so a block that lost its own would be given that of others."""
+    block = "\n".join(["FAIL a.test.ts", "TypeError: x", *["y"] * 180_000, ""])
+    failures, _, _ = line_grain(runs_of(f"{block}FAIL b.test.ts\nError: y"), 10_000)
+    assert {f[1]: f[6] for f in failures} == {0: block, 1: "FAIL b.test.ts\nError: y"}
+
+
 def test_odd_lines(spark):
     schema = "run_id long, project_root string, line_no long, line string, chunk string"
     assert line_bags(L.parse_lines(spark.createDataFrame([], schema))) == ([], [])
