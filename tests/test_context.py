@@ -304,3 +304,41 @@ def test_first_sentences_of_a_head_are_those_of_the_whole_text(spark):
         whole = F.when(t.rlike(SENTENCE_END), trimmed(found)).otherwise(F.substring(t, 1, 200))
         wrong = rows.where(~first_sentences(t, count).eqNullSafe(whole)).collect()
         assert not wrong, (count, wrong[:3])
+
+
+def test_diffs_of_older_commits_do_not_move(spark):
+    import datetime as dt
+    import re
+
+    from logsieve.operators import history as H
+
+    changes = spark.createDataFrame(
+        [("/repo/p1", f"{c:04}", dt.datetime(2026, 1, 1 + c // 9), f"s{c}", f"f{k}", k, f"diff {c} {k}") for c in range(90) for k in range(3)],
+        "project_root string, commit_hash string, commit_ts timestamp, subject string, path string, change_no int, diff string",
+    )
+    # Ties on the newest day: the smallest hash is the newest commit.
+    assert H.diff_for_project(changes).first().diff == "diff 81 0\ndiff 81 1\ndiff 81 2"
+    assert [r.hash for r in H.recent_commits(changes, 3).orderBy("rk").collect()] == ["0081", "0082", "0083"]
+    assert {(r.path, r.changes) for r in H.hot_files(changes).collect()} == {("f0", 30), ("f1", 30), ("f2", 30)}
+    for rows in (H.diff_for_project(changes), H.recent_commits(changes), H.hot_files(changes)):
+        assert "hashpartitioning(project_root" in plan(rows) and not re.search(r"hashpartitioning\(project_root#\d+, commit_hash", plan(rows))
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    def files():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    before = files()
+    assert sinks.stage(spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count()).count() == 10
+    # The count's own shuffle has two files for its one task at most.
+    assert files() <= before + 3
+    assert spark.conf.get(sinks.SHUFFLE_CLEANUP, "false") == "false"
+
+
+@pytest.mark.parametrize("build", [A.agent_prompts, A.enhancement_prompts])
+def test_causes_in_the_row_are_not_placed_by_run(spark, runs_of, build):
+    analysed = sinks.stage(analyse_runs(runs_of("Error: heap\n    at f (a.ts:1:2)", "", "TypeError: x is not a function")).select("run_id", "project_root", "format", "failures", "top"))
+    snippets = C.collect_snippets(C.failure_locations(analysed), source(spark, a="let a"))
+    apart, inside = build(analysed, P.explain_top(analysed), snippets), build(P.with_explained(analysed), None, snippets)
+    assert sorted(map(tuple, apart.collect())) == sorted(map(tuple, inside.collect()))
+    assert exchanges(inside) < exchanges(apart)
