@@ -342,3 +342,16 @@ def test_causes_in_the_row_are_not_placed_by_run(spark, runs_of, build):
     apart, inside = build(analysed, P.explain_top(analysed), snippets), build(P.with_explained(analysed), None, snippets)
     assert sorted(map(tuple, apart.collect())) == sorted(map(tuple, inside.collect()))
     assert exchanges(inside) < exchanges(apart)
+
+
+def test_packets_of_large_projects_are_not_moved_to_be_written(spark, tmp_path):
+    runs = spark.range(4000).select(F.col("id").alias("run_id"), F.concat(F.lit("/repo/p"), F.col("id") % 3).alias("project_root"))
+    bad = F.when(F.col("run_id") % 100 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    rows = sinks.stage(runs.repartition(8, "run_id").select("*", F.lit("p").alias("packet"), bad.alias("reasons")))
+    for name, given in (("few", runs.where("run_id < 1000")), ("many", runs), ("none", None)):
+        assert sinks.write_packets(rows, str(tmp_path / name), "parquet", runs=given) == {"accepted": 3960, "quarantined": 40}
+        back = spark.read.parquet(str(tmp_path / name))
+        assert back.count() == 4000 and back.where("status = 'quarantined'").count() == 40
+    files = {name: len(list((tmp_path / name).rglob("part-*"))) for name in ("few", "many", "none")}
+    # Gathered by side and project, or a file for each of them and each task.
+    assert files["few"] == files["none"] == 6 < files["many"] <= 6 * 8
