@@ -355,3 +355,19 @@ def test_packets_of_large_projects_are_not_moved_to_be_written(spark, tmp_path):
     files = {name: len(list((tmp_path / name).rglob("part-*"))) for name in ("few", "many", "none")}
     # Gathered by side and project, or a file for each of them and each task.
     assert files["few"] == files["none"] == 6 < files["many"] <= 6 * 8
+
+
+def test_contents_are_joined_last_to_condensed_rows(spark, runs_of):
+    texts = ["Error: heap\n    at f (a.ts:1:2)", "", "Error: b\n    at f (b.ts:2:2)", "Error: no\n    at g (none.ts:1:2)", "Error: far\n    at f (a.ts:99:1)"]
+    lines = source(spark, a="let a\nf(a)", b="x\ny\nz")
+    digests = sinks.stage(A.digest(analyse_runs(runs_of(*texts, *texts))))
+    found = C.locations_of_keys(digests)
+    whole = A.condense(digests, C.collect_snippets(found, lines, k=1))
+    places, contents = C.collect_snippets(found, lines, k=1, apart=True)
+    last = A.condense(digests, places, contents=contents)
+    assert "content" not in places.columns and last.columns == whole.columns
+    assert sorted(map(str, last.collect())) == sorted(map(str, whole.collect()))
+    assert sum(r.code_context is not None and r.code_context.endswith("f(a)") for r in last.collect()) == 2
+    # The outermost join is that of the contents.
+    first = next(line for line in plan(condense_runs(runs_of(*texts), lines)).split("\n") if "Join " in line)
+    assert "_line" in first and "run_id" not in first
