@@ -371,3 +371,23 @@ def test_contents_are_joined_last_to_condensed_rows(spark, runs_of):
     # The outermost join is that of the contents.
     first = next(line for line in plan(condense_runs(runs_of(*texts), lines)).split("\n") if "Join " in line)
     assert "_line" in first and "run_id" not in first
+
+
+def test_listed_snippets_are_the_rows_in_order(spark):
+    """Windows that overlap, touch, lie apart or behind the end, files with holes and lines that come twice."""
+    where = [(r, i, f"/repo/p1/{f}.ts", n) for r, spots in enumerate([
+        [("a", 3), ("a", 5), ("b", 1), ("a", 40)], [("a", 50), ("a", 3), ("gone", 1), ("c", 9)], [("a", 99)], [("b", 3), ("b", 2), ("a", 8), ("c", 1)],
+        [("a", 1), ("a", 6)], [("h", 3), ("h", 6), ("b", 99), ("b", 1)], [("gone", 2)],
+    ]) for i, (f, n) in enumerate(spots, 1)]
+    found = spark.createDataFrame(where, "run_id bigint, loc_idx int, file string, line int")
+    odd = [("/repo/p1", "/repo/p1/h.ts", n, t) for n, t in ((1, "1"), (3, "x\ny"), (3, "again"), (5, None), (6, "6"), (9, "9"))]
+    lines = source(spark, a="\n".join(f"line {i}" for i in range(1, 51)), b="x\ny\nz", c="only").union(spark.createDataFrame(odd, LINES))
+    for radius, k in ((2, 10), (1, 3), (15, 2), (0, 10)):
+        rows = C.collect_snippets(found, lines, radius, k)
+        fields = ("snippet_idx", "file", "start_line", "end_line", "content", "language")
+        want = sorted((r.run_id, *[r[c] for c in fields]) for r in rows.collect())
+        listed = C.collect_snippets(found, lines, radius, k, listed=True).collect()
+        got = [(r.run_id, *[s[c] for c in fields]) for r in sorted(listed) for s in r.snippets]
+        assert got == want and len(listed) == len({w[0] for w in want})
+    # A run's overlapping windows are one interval: its lines move to the run once.
+    assert "texts" in plan(C.collect_snippets(found, lines, listed=True))
